@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id inside an operator; results have null again.
 NO_ID = -(2**63)
@@ -142,3 +143,81 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+BLOCK = 1 << 16
+FILTER_BITS = 1 << 27
+
+
+def packed(block: np.ndarray) -> bytes:
+    """A block of a filter: as it is, or the places and values of its bytes that aren't 0."""
+    at = np.flatnonzero(block)
+    return b"r" + block.tobytes() if 3 * len(at) > len(block) else b"s" + at.astype(np.uint16).tobytes() + block[at].tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    if raw[:1] == b"r":
+        return np.frombuffer(raw, np.uint8, offset=1)
+    n = (len(raw) - 1) // 3
+    out = np.zeros(size, np.uint8)
+    out[np.frombuffer(raw, np.uint16, n, 1)] = np.frombuffer(raw, np.uint8, n, 1 + 2 * n)
+    return out
+
+
+def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def holds(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may have been put into the Bloom filter; never False for one that was."""
+    out = np.ones(len(h), bool)
+    for at in places(h, len(filter_) * 8):
+        out &= (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def put(filter_: np.ndarray, h: np.ndarray) -> None:
+    for at in places(h, len(filter_) * 8):
+        np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def maybe_among(ids: DataFrame, bits: int = FILTER_BITS):
+    """A function of a long column, True for every value of the one column of ids and for few others.
+
+    It thins out the large side of a join before its shuffle. The Bloom filter has bits // 8 bytes, however many ids
+    there are; overfilled it lets more rows through, and the join still decides.
+    """
+    size = min(BLOCK, bits // 8)
+
+    def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            own = np.zeros(bits // 8, np.uint8) if own is None else own
+            put(own, mix(batch.column(0).to_numpy().view(np.uint64)))
+        for k in range(0, bits // 8 if own is not None else 0, size):
+            if own[k : k + size].any():
+                yield pa.record_batch([pa.array([k // size], pa.int32()), pa.array([packed(own[k : k + size])], pa.binary())], names=["block", "bytes"])
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, None
+        for batch in batches:
+            for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != block:
+                    if block is not None:
+                        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "bytes"])
+                    block, own = k, np.zeros(size, np.uint8)
+                own |= unpacked(raw, size)
+        if block is not None:
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "bytes"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    blocks = ids.mapInArrow(collected, "block int, bytes binary").repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, bytes binary")
+    for row in blocks.toLocalIterator():
+        whole[row[0] * size : (row[0] + 1) * size] = np.frombuffer(bytes(row[1]), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.arrow_udf(T.BooleanType())
+    def among(values: pa.Array) -> pa.Array:
+        return pa.array(holds(shared.value, mix(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+
+    return among

@@ -2,8 +2,8 @@
 
 Copies with equal shingle sets are one class before anything else, so a group of a million copies costs as much as
 one text. Bands propose candidates between classes. A bucket never emits all its pairs: the first round links each
-member to a leader of its bucket, the second compares only members that are still in different components, and
-every link is confirmed on the full sets of shingles.
+member to a leader of its bucket, the second to the most similar member of another component, the third compares only
+members that are still in different components, and every link is confirmed on the full sets of shingles.
 
 Defined results: a null or wordless text has no shingles and is a component of its own; a null doc_id takes part but
 is never the smallest id of a component; equal rows give equal rows; where one doc_id has several texts, the first class
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffer_of, chunks, hash_ranges, mix, stage, texts_of, words_of
+from .common import LOWER, buffer_of, chunks, hash_ranges, maybe_among, mix, stage, texts_of, words_of
 
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 21, 6
-#: Signature slots of a pair at the threshold differ from it by less than this share but for about one pair in 1000.
-SLACK = 0.10
+#: Signature slots of a pair at the threshold differ from it by less than this share but for about one pair in 10,000.
+SLACK = 0.085
 #: So many links at most go to one task (16 bytes each); beyond, components are found by star operations.
 ONE_TASK_LINKS = 1_000_000
 LAST = 2**63 - 1
@@ -171,6 +171,27 @@ def _to_leaders(share: float):
     return run
 
 
+def _to_nearest(share: float, percent: int):
+    """Each member of a bucket with the one that looks most alike of those in other components."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for did, n, sig, comp in _buckets(batches):
+            if (comp == comp[0]).all():
+                continue
+            low, high = [], []
+            for i in range(len(did)):
+                js = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+                if len(js):
+                    alike = (sig[js] == sig[i]).mean(axis=1)
+                    if alike.max() >= share:
+                        low.append(did[i : i + 1])
+                        high.append(did[js[alike.argmax()]][None])
+            if low:
+                yield _pairs(low, high)
+
+    return run
+
+
 def _across(share: float, percent: int):
     """All pairs of a bucket that look alike enough, have sizes that allow a link and lie in different components."""
 
@@ -265,13 +286,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     full = feats.where("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("did").alias("rep"))
     sole = classes.groupBy("rep").agg(F.first(F.struct("d1", "d2", "n")).alias("c"))
-    reps = full.join(sole, (full.did == sole.rep) & (full.d1 == F.col("c.d1")) & (full.d2 == F.col("c.d2")), "left_semi").dropDuplicates(["did"])
+    same = (F.col("did") == F.col("rep")) & (F.col("d1") == F.col("c.d1")) & (F.col("d2") == F.col("c.d2"))
+    reps = full.select("did", "d1", "d2", "bands").join(sole, same, "left_semi").dropDuplicates(["did"])
     met = reps.select("did", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
     some = stage(met.join(crowded, "bucket", "left_semi"), "buckets")
-    signed = some.join(reps.select("did", "n", "sig"), "did")
-    members = stage(signed.select("bucket", "did", "n", "sig"), "members")
-    texts = own.join(members.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
+    wanted = maybe_among(some.select("did"))
+    signed = feats.where(wanted("did")).join(sole, same, "left_semi").dropDuplicates(["did"])
+    members = stage(some.join(signed.select("did", "n", "sig"), "did").select("bucket", "did", "n", "sig"), "members")
+    texts = own.where(wanted("did")).join(some.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
     texts = stage(texts, "texts")
 
     def by_bucket(rows_: DataFrame, fn) -> DataFrame:
@@ -283,11 +306,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         held = held.join(texts.select(F.col("did").alias("b"), F.col("text").alias("tb")), "b")
         return held.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
 
-    tried = stage(by_bucket(members.withColumn("comp", F.col("did")), _to_leaders(percent / 100)), "tried")
-    first = stage(confirmed(tried), "links")
-    joined = members.join(components(first, one_task_links), "did", "left").withColumn("comp", F.coalesce("comp", "did"))
-    second = confirmed(by_bucket(joined, _across(share, percent)).join(tried, ["a", "b"], "left_anti"))
-    final = components(first.union(second), one_task_links)
+    tried = links = None
+    grouped = members.withColumn("comp", F.col("did"))
+    for choose in (_to_leaders(percent / 100), _to_nearest(share, percent), _across(share, percent)):
+        pairs = by_bucket(grouped, choose)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        found = stage(confirmed(pairs), "links")
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        final = components(links, one_task_links)
+        grouped = members.join(final, "did", "left").withColumn("comp", F.coalesce("comp", "did"))
 
     named = classes.join(final, classes.rep == final.did, "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("comp", "rep").alias("comp"))
     out = feats.select("did", "n", "d1", "d2").join(named.withColumnRenamed("d1", "c1").withColumnRenamed("d2", "c2"), F.expr("d1 = c1 and d2 = c2 and n = cn"), "left")

@@ -5,9 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import drop_repeated_lines
 from .near_dup import near_duplicates
+from .packing import pack
+from .quality_classifier import classify_quality
+from .quality_rules import line_quality
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +37,64 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.doc_id, k.k, k.line, c.key IS NOT NULL AND k.doc_id <> c.keeper AS lost FROM keyed k LEFT JOIN common c ON k.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_OP9 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
+), word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w
+), grams AS (
+  SELECT doc_id, i, word, lead(word, 1) OVER v AS w2, lead(word, 2) OVER v AS w3 FROM word WINDOW v AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS again FROM grams
+), covered AS (
+  SELECT doc_id, i, again OR coalesce(lag(again, 1) OVER v, false) OR coalesce(lag(again, 2) OVER v, false) AS c FROM twice WINDOW v AS (PARTITION BY doc_id ORDER BY i)
+), repeats AS (
+  SELECT doc_id, count(*) FILTER (c) AS n FROM covered GROUP BY doc_id
+), line AS (
+  SELECT doc_id, host, no_host, unnest(string_split(text, chr(10))) AS line FROM w
+), worded AS (
+  SELECT *, regexp_replace(translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id
+), common AS (
+  SELECT host, no_host, norm, min(doc_id) AS first FROM worded GROUP BY ALL HAVING count(DISTINCT doc_id) > 20
+), removed AS (
+  SELECT x.doc_id, sum(x.n) AS n FROM worded x JOIN common c ON x.host = c.host AND x.no_host = c.no_host AND x.norm = c.norm AND x.doc_id <> c.first GROUP BY x.doc_id
+), base AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+    CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN repeats ON w.doc_id = repeats.doc_id LEFT JOIN dups ON w.doc_id = dups.doc_id LEFT JOIN removed ON w.doc_id = removed.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM base
+"""
+
+ORACLES: dict[str, str] = {"op8_line_dedup": _OP8, "op9_quality_rules": _OP9}
