@@ -114,13 +114,13 @@ def _features(width: int, bands: int, rows: int):
 
 
 def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The members of each bucket (ids, sizes, signatures, components) from rows sorted by bucket."""
+    """The members of each bucket (ids, sizes, signatures, components) and its band, from rows sorted by bucket."""
     held: list[pa.RecordBatch] = []
 
     def told(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
-        return t["did"].to_numpy(), t["n"].to_numpy(), sig, t["comp"].to_numpy()
+        return t["did"].to_numpy(), t["n"].to_numpy(), sig, t["comp"].to_numpy(), t["band"][0].as_py()
 
     key = None
     for batch in batches:
@@ -152,7 +152,7 @@ def _to_leaders(share: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: list = []
         high: list = []
-        for did, n, sig, _ in _buckets(batches):
+        for did, n, sig, _, _ in _buckets(batches):
             rest = np.argsort(did, kind="stable")
             while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
@@ -175,7 +175,7 @@ def _to_nearest(share: float, percent: int):
     """Each member of a bucket with the one that looks most alike of those in other components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, n, sig, comp in _buckets(batches):
+        for did, n, sig, comp, _ in _buckets(batches):
             if (comp == comp[0]).all():
                 continue
             low, high = [], []
@@ -192,18 +192,23 @@ def _to_nearest(share: float, percent: int):
     return run
 
 
-def _across(share: float, percent: int):
-    """All pairs of a bucket that look alike enough, have sizes that allow a link and lie in different components."""
+def _across(share: float, percent: int, rows: int):
+    """All pairs of a bucket that look alike enough, have sizes that allow a link and lie in different components.
+
+    A pair that met in an earlier band already is left to the bucket there.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, n, sig, comp in _buckets(batches):
+        for did, n, sig, comp, band in _buckets(batches):
             if len(did) < 2 or (comp == comp[0]).all():
                 continue
             low, high = [], []
             for i in range(len(did) - 1):
                 js = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
                 js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                js = js[(sig[js] == sig[i]).mean(axis=1) >= share] if len(js) else js
+                same = sig[js] == sig[i]
+                met = same[:, : band * rows].reshape(len(js), band, rows).all(axis=2).any(axis=1)
+                js = js[(same.mean(axis=1) >= share) & ~met]
                 if len(js):
                     low.append(np.full(len(js), did[i]))
                     high.append(did[js])
@@ -288,17 +293,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     sole = classes.groupBy("rep").agg(F.first(F.struct("d1", "d2", "n")).alias("c"))
     same = (F.col("did") == F.col("rep")) & (F.col("d1") == F.col("c.d1")) & (F.col("d2") == F.col("c.d2"))
     reps = full.select("did", "d1", "d2", "bands").join(sole, same, "left_semi").dropDuplicates(["did"])
-    met = reps.select("did", F.explode("bands").alias("bucket"))
+    met = reps.select("did", F.posexplode("bands").alias("band", "bucket"))
     crowded = met.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
     some = stage(met.join(crowded, "bucket", "left_semi"), "buckets")
     wanted = maybe_among(some.select("did"))
     signed = feats.where(wanted("did")).join(sole, same, "left_semi").dropDuplicates(["did"])
-    members = stage(some.join(signed.select("did", "n", "sig"), "did").select("bucket", "did", "n", "sig"), "members")
+    members = stage(some.join(signed.select("did", "n", "sig"), "did").select("bucket", "band", "did", "n", "sig"), "members")
     texts = own.where(wanted("did")).join(some.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
     texts = stage(texts, "texts")
 
     def by_bucket(rows_: DataFrame, fn) -> DataFrame:
-        dealt = rows_.select("bucket", "did", "n", "sig", "comp").repartition("bucket").sortWithinPartitions("bucket", "did")
+        dealt = rows_.select("bucket", "band", "did", "n", "sig", "comp").repartition("bucket").sortWithinPartitions("bucket", "did")
         return dealt.mapInArrow(fn, "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -308,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     tried = links = None
     grouped = members.withColumn("comp", F.col("did"))
-    for choose in (_to_leaders(percent / 100), _to_nearest(share, percent), _across(share, percent)):
+    for choose in (_to_leaders(percent / 100), _to_nearest(share, percent), _across(share, percent, rows)):
         pairs = by_bucket(grouped, choose)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         found = stage(confirmed(pairs), "links")
