@@ -33,11 +33,11 @@ ROUNDS = 120
 
 LABELLERS = ("symbols", "shouting", "exclamation", "tables", "runs", "repeats", "word_length")
 #: Of each labeller's measure: at or below the first it votes good, at or above the second bad, between them nothing.
-LIMITS = {"symbols": (0.05, 0.2), "shouting": (0.15, 0.4), "exclamation": (0.03, 0.15), "tables": (0.05, 0.2), "runs": (0.06, 0.25), "repeats": (0.2, 0.5), "word_length": (0.0, 1.0)}
+LIMITS = {"symbols": (0.05, 0.2), "shouting": (0.15, 0.4), "exclamation": (0.03, 0.15), "tables": (0.05, 0.2), "runs": (0.06, 0.25), "repeats": (0.2, 0.8), "word_length": (0.0, 1.0)}
 #: With fewer words a text shows too little for a vote.
 LEAST_WORDS = 5
 STEPS = 16
-PAIR_SCALE = 20.0
+PAIR_SCALE, MEASURE_SCALE = 20.0, 1.5
 #: So many pairs count in favour of no feature, as a short text shows little.
 PAIR_PRIOR = 50
 
@@ -100,7 +100,7 @@ def features(data: np.ndarray, at: np.ndarray, found: np.ndarray) -> tuple[np.nd
     value = PAIR_SCALE * many / (np.diff(at) + PAIR_PRIOR)[of]
     step = measure_buckets(found)
     k = step.shape[1]
-    return np.concatenate([of, np.repeat(np.arange(texts), k)]), np.concatenate([PAIR_BUCKET[cell & 0xFFFF], step.reshape(-1)]), np.concatenate([value, np.full(texts * k, 0.5)])
+    return np.concatenate([of, np.repeat(np.arange(texts), k)]), np.concatenate([PAIR_BUCKET[cell & 0xFFFF], step.reshape(-1)]), np.concatenate([value, np.full(texts * k, MEASURE_SCALE)])
 
 
 PAIR_BUCKET = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> Da
             np.cumsum(pair_weight[data[:-1].astype(np.int64) << 8 | data[1:]], out=total[1 : len(data)])
             last = np.maximum(at[1:] - 1, at[:-1])
             z = (total[np.minimum(last, len(total) - 1)] - total[np.minimum(at[:-1], len(total) - 1)]) / (np.diff(at) + PAIR_PRIOR)
-            z += 0.5 * weights[measure_buckets(found)].sum(axis=1) + bias
+            z += MEASURE_SCALE * weights[measure_buckets(found)].sum(axis=1) + bias
             s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             scores.append(np.where(n < LEAST_WORDS, 1.0, s))
             bad.append(posterior[pattern_of(votes(found, n))])
