@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its rows are the next one's docs."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir), and its rows are the next one's docs.
+
+quality classifier, line dedup, MinHash near-dedup, PII, packing. All but the last return the columns of documents;
+where a text changes, n_chars follows it.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stage, table
+from factloom.llm.common import NO_ID, stage, table
+from factloom.llm.line_dedup import drop_repeated_lines
 from factloom.llm.near_dup import near_duplicates
+from factloom.llm.packing import pack
+from factloom.llm.pii import redact
+from factloom.llm.quality_classifier import classify_quality
+
+
+def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with the named columns alone, n_chars counted anew."""
+    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify_quality(docs).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for one document's; a document that has nothing left goes."""
+    out = drop_repeated_lines(spark, docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return sized(out, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").dropDuplicates()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One document of each group of near copies stays, the one with the smallest doc_id; of equal rows one."""
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    kept = near_duplicates(docs).where("kept").select(key.alias("__kept"))
+    return docs.withColumn("__id", key).join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the names of its kinds."""
+    return sized(redact(docs), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids, in sequences."""
+    return pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("pii", pii),
+    ("packing", packing),
+]
 
-#: The last stages count tokens and score with trained trees, which SQL cannot express.
+#: A trained scorer and trees decide in three stages and the last counts a tokenizer's ids: SQL cannot express them.
 ORACLE_SQL = None
 
 
