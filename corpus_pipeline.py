@@ -30,9 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go, but for one document's; a document that has nothing left goes."""
-    out = drop_repeated_lines(spark, docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return sized(out, docs.columns)
+    """Lines that many documents share go, but for one document's; no document goes."""
+    return sized(drop_repeated_lines(spark, docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
