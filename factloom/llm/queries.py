@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
+from .chat import chat_digests
 from .common import table
 from .line_dedup import drop_repeated_lines
 from .near_dup import near_duplicates
@@ -18,6 +20,15 @@ from .token_count import count_tokens
 from .unigram import encode_texts
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row opens a message of its turn; conversation -1 says control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return chat_digests(events)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -52,16 +67,34 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+_OP1 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]')) AS n,
+    length(role) + len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?INST\]')) AS header
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN n + 7 ELSE header + n + 17 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 _OP8 = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
@@ -115,4 +148,4 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
-ORACLES: dict[str, str] = {"op8_line_dedup": _OP8, "op9_quality_rules": _OP9}
+ORACLES: dict[str, str] = {"op1_chat_formatting": _OP1, "op8_line_dedup": _OP8, "op9_quality_rules": _OP9}
