@@ -1,4 +1,4 @@
-"""The registered queries of the engine, and SQL for them."""
+"""The registered queries of the engine, each over whole tables, and SQL for them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_facts, catalog_pairs, catalog_rules
+
 FLAGSHIP = "c13_bounded_expansion"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (catalog_facts, catalog_pairs, catalog_rules):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

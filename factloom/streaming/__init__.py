@@ -1 +1 @@
-
+"""Incremental variants on Structured Streaming; each has a batch twin with equal results."""
