@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, file_stem, fnv1a_sql, identifier_shape, identifier_similarity, import_leaf, normalize_identifier, parent_dir
+from ..functions.text import ascii_lower, file_stem, fnv1a, identifier_shape, identifier_similarity, import_leaf, normalize_identifier, parent_dir
+from .graph import cut
 
 MAX_ITEMS, MAX_CALLS = 24, 16
 
@@ -69,7 +70,7 @@ def function_signals(symbols: DataFrame, imports: DataFrame, changed: DataFrame
     out = out.withColumn("calls", call_leaves("import_signature"))
     out = out.withColumn("control", F.concat(F.lit("function_count="), "function_count", F.lit(";prev="), "previous", F.lit(";next="), "next"))
     out = out.withColumn("literals", F.concat(F.lit("evidence="), "evidence_class", F.lit(";line_bucket="), F.floor(F.col("line_number") / 10)))
-    out = out.withColumn("window_hash", fnv1a_sql(F.concat_ws("|", "declaration", "calls", "control", "literals", "symbol_context_signature")))
+    out = out.withColumn("window_hash", fnv1a(F.concat_ws("|", "declaration", "calls", "control", "literals", "symbol_context_signature")))
     behaviour = [("lang", "language"), ("decl", "declaration"), ("calls", "calls"), ("control", "control"), ("literals", "literals"), ("window_hash", "window_hash"), ("imports", "import_signature"), ("symbol_context", "symbol_context_signature"), ("evidence", "evidence_class")]
     out = out.withColumn("behaviour", F.concat_ws("|", *[F.concat(F.lit(f"{k}="), c) for k, c in behaviour]))
     out = out.withColumn("id", F.concat("name", F.lit("@"), "relative_path", F.lit(":"), F.col("line_number").cast("string")))
@@ -133,11 +134,12 @@ def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least:
     """Pairs (ref_id, tgt_id, strategy, score): tier by tier over what earlier ones left; similarity last, if asked for.
 
     Candidates of the last tier are pairs that share a declaration, a window, calls or a word of the name, found by
-    equi-joins; others cannot reach the least score. At most max_signals of each side and language take part there.
+    equi-joins; others cannot reach the least score. What a tier finds is written once. At most max_signals of each side and language take part there.
     """
+    ref, tgt = cut(ref, "signals"), cut(tgt, "signals")
     pairs = None
     for strategy, score, keys in TIERS:
-        found = _zipped(ref, tgt, keys, strategy, score)
+        found = cut(_zipped(ref, tgt, keys, strategy, score), "pairs")
         pairs = found if pairs is None else pairs.union(found)
         ref = ref.join(found.select(F.col("ref_id").alias("fact_id")), "fact_id", "left_anti")
         tgt = tgt.join(found.select(F.col("tgt_id").alias("fact_id")), "fact_id", "left_anti")

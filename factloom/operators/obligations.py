@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import col, fnv1a_sql
+from ..functions.text import col, fnv1a
 
 LEAST_ALIGNMENT = 70
 MISSING_TARGET = "target counterpart is missing under current alignment bounds"
@@ -32,11 +32,11 @@ def valid_contracts(contracts: DataFrame) -> DataFrame:
 
 
 def encoding_hash(contract: Column, pair: Column, assumptions: Column) -> Column:
-    return fnv1a_sql(F.concat(F.lit("contract="), contract, F.lit(";pair="), pair, F.lit(";assumptions="), F.array_join(assumptions, "|")))
+    return fnv1a(F.concat(F.lit("contract="), contract, F.lit(";pair="), pair, F.lit(";assumptions="), F.array_join(assumptions, "|")))
 
 
 def obligation_id(contract: Column, hash_: Column) -> Column:
-    return F.concat(F.lit("thm_"), fnv1a_sql(F.concat(contract, F.lit("|"), hash_)))
+    return F.concat(F.lit("thm_"), fnv1a(F.concat(contract, F.lit("|"), hash_)))
 
 
 def _made(rows: DataFrame, contract_id: str, environment: list[str]) -> DataFrame:

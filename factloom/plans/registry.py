@@ -28,4 +28,4 @@ class Registry:
 
 def _selects(sql: str) -> bool:
     """Whether the text is a statement; else it begins with more views."""
-    return sql.lstrip().upper().startswith("SELECT")
+    return sql.lstrip().upper().startswith("SELECT") or sql.lstrip().startswith("(")
