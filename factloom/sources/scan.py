@@ -38,9 +38,23 @@ def included(path: Column | str, size: Column | str, more_folders: tuple[str, ..
     return ~bad & ~F.coalesce(extension(path), F.lit("")).isin(*EXCLUDED_EXTENSIONS) & (size <= MAX_BYTES)
 
 
+def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int, bytes]]:
+    """Files without a byte, which the reader of binary files leaves out: from the listing, which the driver has to make
+    for the reader as well."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    out = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            out.append((status.getPath().toString(), 0, b""))
+    return out
+
+
 def read_tree(spark: SparkSession, root: str, snapshot_id: str, more_folders: tuple[str, ...] = ()) -> DataFrame:
     """Files below root with their bytes; sizes are filtered before contents are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES).select("path", "length", "content")
+    raw = raw.union(spark.createDataFrame(empty_files(spark, root), "path string, length long, content binary"))
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     relative = F.substring(path, F.lit(len(base) + 2), F.length(path))
