@@ -122,21 +122,21 @@ def brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Dat
     routed = graph.cut(route(requests.where("scope_hint is not null")), "routed")
     targets = routed.select("request_id", F.col("scope_hint").alias("target"))
     report = graph.blast_radius(targets, facts)
-    seeds = graph.cut(report["seeds"], "seeds")
-    paths, plan, related = (graph.cut(report[x], x) for x in ("paths", "plan", "relationships"))
+    seeds, paths, plan = report["seeds"], report["paths"], report["plan"]
     unknown = routed.join(seeds.select("request_id").distinct(), "request_id", "left_anti")
     queries = unknown.select("request_id", F.col("scope_hint").alias("text"), F.lit("").alias("scope"), F.col("max_candidates").alias("limit"))
     hits = graph.cut(lexical.search(index, queries), "hits")
-    anchors = seeds.union(hits.select("request_id", "relative_path"))
+    anchors = seeds.select("request_id", "relative_path").union(hits.select("request_id", "relative_path"))
     most = routed.agg(F.max("max_hops")).first()[0] or 0
     near = graph.expand(anchors, facts["imports"], most).where("hop > 0").join(routed.select("request_id", "max_hops", "max_candidates"), "request_id").where("hop <= max_hops")
     near = near.withColumn("n", F.row_number().over(W.partitionBy("request_id").orderBy("hop", "relative_path"))).where("n <= max_candidates").select("request_id", "relative_path", "hop")
+    near = graph.cut(near, "near")
     suggested = graph.cut(suggested_files(paths, hits, near, routed), "suggested")
     documents = decisions.fast_candidates(anchors, suggested, facts["files"])
     listed = lambda df, c, name: df.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", c))).alias("x")).select("request_id", F.col(f"x.{c}").alias(name))
     count = lambda df, name: df.groupBy("request_id").agg(F.count("*").alias(name))
     out = routed.join(listed(suggested, "relative_path", "suggested_files"), "request_id", "left").join(plan, "request_id", "left").join(listed(documents, "relative_path", "decision_docs"), "request_id", "left")
-    for part, name in ((anchors, "anchors"), (related, "relationships"), (paths, "changed"), (paths.select("request_id").distinct(), "capsules")):
+    for part, name in ((anchors, "anchors"), (report["relationships"], "relationships"), (paths, "changed"), (paths.select("request_id").distinct(), "capsules")):
         out = out.join(count(part, name), "request_id", "left")
     none = F.array().cast("array<string>")
     for c in ("suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs"):

@@ -83,25 +83,26 @@ def call_pairs(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Called: the first function of the resolved file, by line, name and id, whose name is the import's last part, case not
     counting. Calling: as of the import's line, the last function of the importer that begins at or before it, or else
-    the importer's first. Both are aggregates after one join, not searches.
+    the importer's first. The first is an equi-join, the second a window: no range join.
     """
     functions = symbols.where("kind = 'function'").select("relative_path", "name", "line_number", "fact_id")
-    leaf = import_leaf("import_spec")
-    keyed = imports.select("fact_id", "importer_path", "resolved_path", F.col("line_number").alias("at"), ascii_lower(leaf).alias("leaf"))
-    order = lambda name: F.struct("line_number", "name", F.col(f"{name}.fact_id"))
-    f = functions.alias("f").withColumn("lower", ascii_lower("name"))
-    k = keyed.alias("k")
-    called = k.join(f, (F.col("k.resolved_path") == F.col("f.relative_path")) & (F.col("k.leaf") == F.col("lower")))
-    called = called.groupBy("k.fact_id").agg(F.min(order("f")).alias("called"), F.min_by("f.relative_path", order("f")).alias("called_path"))
-    calling = k.join(functions.alias("f"), F.col("k.importer_path") == F.col("f.relative_path"))
-    before = F.when(F.col("line_number") <= F.col("at"), order("f"))
-    calling = calling.groupBy("k.fact_id").agg(F.coalesce(F.max(before), F.min(order("f"))).alias("calling"), F.first("f.relative_path").alias("calling_path"))
-    both = called.join(calling, "fact_id")
+    order = F.struct("line_number", "name", "fact_id")
+    keyed = imports.select("fact_id", "importer_path", "resolved_path", F.col("line_number").alias("at"), ascii_lower(import_leaf("import_spec")).alias("leaf"))
+    named = functions.groupBy(F.col("relative_path").alias("called_path"), ascii_lower("name").alias("leaf")).agg(F.min(order).alias("called"))
+    called = keyed.join(named, (F.col("resolved_path") == F.col("called_path")) & (keyed.leaf == named.leaf)).select("fact_id", "called", "called_path")
+    # functions and imports of a file in one order: the last function so far is the calling one
+    none = F.lit(None)
+    steps = functions.select("relative_path", F.col("line_number").alias("at"), F.lit(0).alias("later"), order.alias("f"), none.cast("string").alias("id"))
+    steps = steps.union(keyed.select("importer_path", "at", F.lit(1), none.cast(steps.schema["f"].dataType), "fact_id"))
+    file = W.partitionBy("relative_path")
+    before = F.last("f", ignorenulls=True).over(file.orderBy("at", "later", "f").rowsBetween(W.unboundedPreceding, W.currentRow))
+    calling = steps.select("relative_path", "id", F.coalesce(before, F.min("f").over(file)).alias("calling")).where("id is not null and calling is not null")
+    both = called.join(calling.select(F.col("id").alias("fact_id"), "calling", F.col("relative_path").alias("calling_path")), "fact_id")
     return both.select("fact_id", F.col("calling.name").alias("caller"), "calling_path", F.col("calling.line_number").alias("caller_line"), F.col("called.name").alias("callee"), "called_path", F.col("called.line_number").alias("callee_line"))
 
 
 def call_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    pairs = call_pairs(imports.drop("request_id"), symbols)
+    pairs = call_pairs(imports.drop("request_id").dropDuplicates(["fact_id"]), symbols)
     joined = imports.select("request_id", "fact_id", "import_spec").join(pairs, "fact_id")
     src, dst = symbol_node("caller", "calling_path"), symbol_node("callee", "called_path")
     summary = F.concat(src, F.lit(" calls "), dst, F.lit(" via `"), "import_spec", F.lit("`"))
@@ -226,17 +227,18 @@ def expand_ordered(seeds: DataFrame, imports: DataFrame, max_hops: int, max_cand
 
 def blast_radius(requests: DataFrame, facts: dict[str, DataFrame], documents: DataFrame | None = None) -> dict[str, DataFrame]:
     """The parts of an impact report for a batch of targets: impacted nodes, relationships, plan, receipts and capsules."""
-    seeds = lookup.seed_paths(facts["files"], facts["symbols"], requests)
-    paths = impacted_paths(seeds, facts["imports"])
+    # every part below starts from these: they are written once
+    seeds = cut(lookup.seed_paths(facts["files"], facts["symbols"], requests), "seeds")
+    paths = cut(impacted_paths(seeds, facts["imports"]), "paths")
     named = lookup.exact_symbol(facts["symbols"], requests)
     nodes = named.select("request_id", F.lit(0).alias("part"), symbol_node("name", "relative_path").alias("node")).union(paths.select("request_id", F.lit(1), file_node("relative_path"))).distinct()
     nodes = nodes.withColumn("place", F.row_number().over(W.partitionBy("request_id").orderBy("part", "node")))
-    plan = verification_plan(paths, facts["verification_targets"])
+    plan = cut(verification_plan(paths, facts["verification_targets"]), "plan")
     symbols, imports = defined_symbols(paths, facts["symbols"]), touching_imports(seeds, facts["imports"])
     edges = [define_edges(symbols), reference_edges(imports), call_edges(imports, facts["symbols"]), check_edges(paths, plan)]
     if documents is not None:
         edges.append(document_edges(paths, documents, requests))
-    related = relationships(*edges)
+    related = cut(relationships(*edges), "relationships")
     receipts = related.select("request_id", F.explode("evidence_ids").alias("id")).distinct()
     return {"seeds": seeds, "paths": paths, "nodes": nodes, "plan": plan, "relationships": related, "receipts": receipts, "capsules": capsules(requests, named, paths, related, plan)}
 
