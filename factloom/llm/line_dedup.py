@@ -131,6 +131,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, least_docs: int =
     found = own.select(F.col("__id").alias("id"), version.alias("version"), F.col("__text").alias("text")).mapInArrow(suspects, "id long, version long, key string, line int")
     found = stage(found, "suspects")
     common = found.groupBy("key").agg(F.countDistinct("id").alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= least_docs)
+    common = stage(common, "common")  # a plain input of the join, so that a hot line's side can be split
     lost = found.join(common, "key").where("id <> keeper").groupBy(F.col("id").alias("__of"), F.col("version").alias("__version")).agg(F.collect_set("line").alias("__lost"))
 
     flagged = own.withColumn("__flag", suspected("__text"))
