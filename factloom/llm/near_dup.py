@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         grouped = members.join(final, "did", "left").withColumn("comp", F.coalesce("comp", "did"))
 
     named = classes.join(final, classes.rep == final.did, "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("comp", "rep").alias("comp"))
+    named = stage(named, "classes")  # a plain input of the join, so that a hot class's side can be split
     out = feats.select("did", "n", "d1", "d2").join(named.withColumnRenamed("d1", "c1").withColumnRenamed("d2", "c2"), F.expr("d1 = c1 and d2 = c2 and n = cn"), "left")
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     out = out.withColumn("comp", F.coalesce("comp", "did"))
