@@ -31,7 +31,7 @@ TABLES, HASHES = 6, 8
 #: Cell width, as a share of the mean distance of sampled vectors.
 WIDTH = 1.4
 SAMPLE_ROWS, SAMPLE_QUERIES = 2000, 64
-TARGET = 0.95
+TARGET = 0.97
 PROBES = (50, 100, 150, 200, 300, 400, 600)
 BUCKET_ROWS = 20_000
 BLOCK_QUERIES = 1024
