@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,10 +25,14 @@ def ema(gains: Column) -> Column:
 def running_stats(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: observations, missing, healed and unresolved slots, and the moving mean of gain by time.
 
-    outcomes: keys, at, missing, healed, gain. The fold needs a key's gains in order, 16 bytes each.
+    outcomes: keys, at, missing, healed, gain. The mean is a weighted sum, by how many outcomes of the key are later: a
+    window and an aggregate, no list of a key's gains.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "gain"))), lambda x: x["gain"])
-    return outcomes.groupBy(*keys).agg(F.count("*").alias("observations"), F.sum("missing").alias("missing"), F.sum("healed").alias("healed"), (F.sum("missing") - F.sum("healed")).alias("unresolved"), ema(ordered).alias("ema"))
+    w = W.partitionBy(*keys)
+    later = F.row_number().over(w.orderBy(F.desc("at"), F.desc("gain"))) - 1
+    rows = outcomes.withColumn("later", later).withColumn("n", F.count("*").over(w))
+    weight = F.pow(F.lit(OLD), F.col("later")) * F.when(F.col("later") == F.col("n") - 1, 1.0).otherwise(NEW)
+    return rows.groupBy(*keys).agg(F.count("*").alias("observations"), F.sum("missing").alias("missing"), F.sum("healed").alias("healed"), (F.sum("missing") - F.sum("healed")).alias("unresolved"), F.sum(weight * F.col("gain")).alias("ema"))
 
 
 _STATE = "observations long, missing long, healed long, ema double"
@@ -56,8 +61,6 @@ def running_stats_stream(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 
 def controller(outcomes: DataFrame, keys: list[str], floor: float) -> DataFrame:
     """For each step of a key (at, gain) the forecast before it and whether the controller goes on."""
-    from pyspark.sql import Window as W
-
     before = F.collect_list(F.struct("at", "gain")).over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1))
     forecast = ema(F.transform(F.array_sort(before), lambda x: x["gain"]))
     out = outcomes.withColumn("forecast", forecast)
