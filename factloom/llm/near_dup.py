@@ -30,6 +30,8 @@ SLACK = 0.085
 #: So many links at most go to one task (16 bytes each); beyond, components are found by star operations.
 ONE_TASK_LINKS = 1_000_000
 LAST = 2**63 - 1
+#: A bucket with more members is dealt to several tasks, in blocks that hold any two of its parts together.
+WHOLE_BUCKET, PART_UNIT = 256, 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(16)]
@@ -113,29 +115,40 @@ def _features(width: int, bands: int, rows: int):
     return run
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The members of each bucket (ids, sizes, signatures, components) and its band, from rows sorted by bucket."""
-    held: list[pa.RecordBatch] = []
+class _Bucket:
+    """The members of a bucket, or of two parts of a large one: ids, sizes, signatures, components, parts; its band."""
 
-    def told(parts: list[pa.RecordBatch]):
+    def __init__(self, parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
-        return t["did"].to_numpy(), t["n"].to_numpy(), sig, t["comp"].to_numpy(), t["band"][0].as_py()
+        self.did, self.n, self.comp, self.part = (t[c].to_numpy() for c in ("did", "n", "comp", "part"))
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        self.band, self.across = t["band"][0].as_py(), t["low"][0].as_py() != t["high"][0].as_py()
+
+    def others(self, i: int, js: np.ndarray, percent: int) -> np.ndarray:
+        """Those of js whose sizes allow a link with i and that this block has to compare with it."""
+        keep = 100 * np.minimum(self.n[js], self.n[i]) >= percent * np.maximum(self.n[js], self.n[i])
+        if self.across:
+            keep &= self.part[js] != self.part[i]
+        return js[keep]
+
 
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[_Bucket]:
+    """Buckets from rows sorted by bucket and block."""
+    held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        if not len(keys):
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        if not keys.size:
             continue
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if keys[a] != key and held:
-                yield told(held)
+            if tuple(keys[:, a]) != key and held:
+                yield _Bucket(held)
                 held = []
-            key = keys[a]
+            key = tuple(keys[:, a])
             held.append(batch.slice(a, b - a))
     if held:
-        yield told(held)
+        yield _Bucket(held)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -146,22 +159,22 @@ def _pairs(low: list, high: list) -> pa.RecordBatch:
     return pa.record_batch([np.minimum(a, b), np.maximum(a, b)], schema=_PAIR)
 
 
-def _to_leaders(share: float):
+def _to_leaders(share: float, percent: int):
     """Each member of a bucket with the first earlier leader that looks alike enough; without one it leads itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: list = []
         high: list = []
-        for did, n, sig, _, _ in _buckets(batches):
-            rest = np.argsort(did, kind="stable")
+        for x in _buckets(batches):
+            rest = np.argsort(x.did, kind="stable")
             while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
-                near = (sig[others] == sig[lead]).mean(axis=1) >= share
-                near &= 100 * np.minimum(n[others], n[lead]) >= PERCENT * np.maximum(n[others], n[lead])
-                if near.any():
-                    low.append(np.full(near.sum(), did[lead]))
-                    high.append(did[others[near]])
-                rest = others[~near]
+                near = x.others(lead, others, percent)
+                near = near[(x.sig[near] == x.sig[lead]).mean(axis=1) >= share]
+                if len(near):
+                    low.append(np.full(len(near), x.did[lead]))
+                    high.append(x.did[near])
+                rest = others[~np.isin(others, near)] if len(near) else others
                 if len(low) > 2000:
                     yield _pairs(low, high)
                     low, high = [], []
@@ -175,17 +188,17 @@ def _to_nearest(share: float, percent: int):
     """Each member of a bucket with the one that looks most alike of those in other components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, n, sig, comp, _ in _buckets(batches):
-            if (comp == comp[0]).all():
+        for x in _buckets(batches):
+            if (x.comp == x.comp[0]).all():
                 continue
             low, high = [], []
-            for i in range(len(did)):
-                js = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for i in range(len(x.did)):
+                js = x.others(i, np.flatnonzero(x.comp != x.comp[i]), percent)
                 if len(js):
-                    alike = (sig[js] == sig[i]).mean(axis=1)
+                    alike = (x.sig[js] == x.sig[i]).mean(axis=1)
                     if alike.max() >= share:
-                        low.append(did[i : i + 1])
-                        high.append(did[js[alike.argmax()]][None])
+                        low.append(x.did[i : i + 1])
+                        high.append(x.did[js[alike.argmax()]][None])
             if low:
                 yield _pairs(low, high)
 
@@ -199,19 +212,18 @@ def _across(share: float, percent: int, rows: int):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, n, sig, comp, band in _buckets(batches):
-            if len(did) < 2 or (comp == comp[0]).all():
+        for x in _buckets(batches):
+            if (x.comp == x.comp[0]).all():
                 continue
             low, high = [], []
-            for i in range(len(did) - 1):
-                js = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                same = sig[js] == sig[i]
-                met = same[:, : band * rows].reshape(len(js), band, rows).all(axis=2).any(axis=1)
+            for i in range(len(x.did) - 1):
+                js = x.others(i, i + 1 + np.flatnonzero(x.comp[i + 1 :] != x.comp[i]), percent)
+                same = x.sig[js] == x.sig[i]
+                met = same[:, : x.band * rows].reshape(len(js), x.band, rows).all(axis=2).any(axis=1)
                 js = js[(same.mean(axis=1) >= share) & ~met]
                 if len(js):
-                    low.append(np.full(len(js), did[i]))
-                    high.append(did[js])
+                    low.append(np.full(len(js), x.did[i]))
+                    high.append(x.did[js])
                 if len(low) > 2000:
                     yield _pairs(low, high)
                     low, high = [], []
@@ -294,16 +306,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     same = (F.col("did") == F.col("rep")) & (F.col("d1") == F.col("c.d1")) & (F.col("d2") == F.col("c.d2"))
     reps = full.select("did", "d1", "d2", "bands").join(sole, same, "left_semi").dropDuplicates(["did"])
     met = reps.select("did", F.posexplode("bands").alias("band", "bucket"))
-    crowded = met.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    some = stage(met.join(crowded, "bucket", "left_semi"), "buckets")
+    shared = met.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
+    some = stage(met.join(shared, "bucket", "left_semi"), "buckets")
     wanted = maybe_among(some.select("did"))
     signed = feats.where(wanted("did")).join(sole, same, "left_semi").dropDuplicates(["did"])
     members = stage(some.join(signed.select("did", "n", "sig"), "did").select("bucket", "band", "did", "n", "sig"), "members")
     texts = own.where(wanted("did")).join(some.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
     texts = stage(texts, "texts")
 
+    many = members.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > WHOLE_BUCKET)
+    crowded = stage(many.select("bucket", F.ceil(F.sqrt(F.col("many") / PART_UNIT)).cast("int").alias("parts")), "crowded")
+
     def by_bucket(rows_: DataFrame, fn) -> DataFrame:
-        dealt = rows_.select("bucket", "band", "did", "n", "sig", "comp").repartition("bucket").sortWithinPartitions("bucket", "did")
+        split = rows_.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        split = split.withColumn("part", F.pmod(F.xxhash64("did"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "band", "did", "n", "sig", "comp")
+        dealt = split.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "did")
         return dealt.mapInArrow(fn, "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -313,7 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     tried = links = None
     grouped = members.withColumn("comp", F.col("did"))
-    for choose in (_to_leaders(percent / 100), _to_nearest(share, percent), _across(share, percent, rows)):
+    for choose in (_to_leaders(percent / 100, percent), _to_nearest(share, percent), _across(share, percent, rows)):
         pairs = by_bucket(grouped, choose)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         found = stage(confirmed(pairs), "links")
