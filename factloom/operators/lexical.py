@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, receipt_id
+from .graph import cut
 from .lookup import scope_filter
 
 K1, B = 1.2, 0.75
@@ -36,12 +37,15 @@ def body(path: Column | str, text: Column | str) -> Column:
 def index_terms(text: Column | str) -> Column:
     """Words of letters and digits of any script, in lower case and without marks."""
     plain = F.translate(F.lower(F.col(text) if isinstance(text, str) else text), _MARKED, _PLAIN)
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 
 def build_index(docs: DataFrame) -> dict[str, DataFrame]:
-    """Postings (snapshot_id, relative_path, term, tf) and lengths of docs (snapshot_id, relative_path, body)."""
-    terms = docs.select("snapshot_id", "relative_path", index_terms("body").alias("terms"))
+    """Postings (snapshot_id, relative_path, term, tf) and lengths of docs (snapshot_id, relative_path, body).
+
+    Words are split once and written; both tables are read from there.
+    """
+    terms = cut(docs.select("snapshot_id", "relative_path", index_terms("body").alias("terms")), "terms")
     postings = terms.select("snapshot_id", "relative_path", F.explode("terms").alias("term")).groupBy("snapshot_id", "relative_path", "term").agg(F.count("*").alias("tf"))
     return {"postings": postings, "lengths": terms.select("snapshot_id", "relative_path", F.size("terms").cast("long").alias("length"))}
 
