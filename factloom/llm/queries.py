@@ -148,4 +148,23 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": _OP1, "op8_line_dedup": _OP8, "op9_quality_rules": _OP9}
+_OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM w)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), way AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), walk(doc, reached) AS (
+  SELECT a, a FROM way UNION SELECT doc, b FROM walk JOIN way ON reached = a
+), component AS (SELECT doc, min(reached) AS c FROM walk GROUP BY doc)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN component ON doc = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": _OP1, "op8_line_dedup": _OP8, "op9_quality_rules": _OP9, "op10_minhash_near_dedup": _OP10}
