@@ -308,4 +308,6 @@ def redact(docs: DataFrame) -> DataFrame:
     by_start = F.array_sort(F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
     text = F.when(F.size("__spans") > 0, F.aggregate(by_start, start, step, rest)).otherwise(F.col("text"))
-    return with_spans(docs).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select("text", F.struct(F.lit(0).alias("__none"), *others).alias("__row"))  # no name of docs can clash
+    return with_spans(own).select(*[text.alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

@@ -66,9 +66,9 @@ def test_calibrated_precision_holds_on_fresh_rows(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "mail é a@b.cc or +1 (743) 555-3824.", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "mail é a@b.cc or +1 (743) 555-3824.", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, n_chars long").withColumn("__spans", pii.F.lit("own"))
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
-    assert out[1].text == "mail é [EMAIL] or [PHONE]." and out[2].text is None and out[3].text == "clean" and out[3].n_chars == 7
+    assert out[1].text == "mail é [EMAIL] or [PHONE]." and out[2].text is None and out[3].text == "clean" and out[3].n_chars == 7 and out[1]["__spans"] == "own"
 
 
 def test_empty_table(spark):
