@@ -13,6 +13,7 @@ other than the two named ones are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from .common import LOWER, buffer_of, chunks, hash_ranges, maybe_among, mix, sta
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 21, 6
-#: Signature slots of a pair at the threshold differ from it by less than this share but for about one pair in 10,000.
-SLACK = 0.085
+#: A pair at the threshold agrees in too few signature slots to be checked on its full sets with less than this chance.
+LOST = 1e-6
 #: So many links at most go to one task (16 bytes each); beyond, components are found by star operations.
 ONE_TASK_LINKS = 1_000_000
 LAST = 2**63 - 1
@@ -37,6 +38,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(16)]
 
 
+def least_alike(slots: int, percent: int, lost: float = LOST) -> float:
+    """The share of equal slots below which a pair at the threshold falls with a chance of at most lost.
+
+    The law is the binomial one of plain MinHash: SuperMinHash comes near to it for large sets and varies less for small ones.
+    """
+    p, below, k = percent / 100, 0.0, 0
+    while k < slots and (below := below + math.comb(slots, k) * p**k * (1 - p) ** (slots - k)) <= lost:
+        k += 1
+    return k / slots
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
     """For every text its distinct shingles, as sorted 64-bit hashes."""
     start, end, owner = words_of(LOWER[data], at)
@@ -295,9 +307,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string).
 
     Two texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. With the
-    default bands a pair at the threshold of 85 meets in none of them about once in 20,000.
+    default bands a pair at the threshold of 85 meets in none of them about once in 20,000; the slots of those that meet
+    are too few less than once in 1,000,000.
     """
-    share = percent / 100 - SLACK
+    share = least_alike(bands * rows, percent)
     own = texts_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text")
     feats = stage(own.mapInArrow(_features(width, bands, rows), "did long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signatures")
     full = feats.where("n > 0")

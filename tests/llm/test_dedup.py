@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -78,6 +79,26 @@ def test_a_group_around_one_text(spark):
     assert got == brute(rows)
 
 
+def long_pair(seed, words=1200, changed=96):
+    """Two texts of 1,196 shingles each with a similarity of 0.8514."""
+    a = [f"w{seed}x{k}" for k in range(words)]
+    return " ".join(a), " ".join(a[: words - changed] + [f"y{seed}x{k}" for k in range(changed)])
+
+
+def test_long_texts_whose_signatures_agree_in_few_slots(spark):
+    """Linked pairs that meet in a band and agree in 94 to 96 of 126 slots, all there are among the first 1,850 seeds."""
+    rows = [(10 * seed + k, t) for seed in (571, 1236, 1558, 1804, 1830) for k, t in enumerate(long_pair(seed))]
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows) and sum(r.kept for r in got) == 5
+
+
+def test_few_slots_are_rarely_too_few():
+    for slots, percent in ((126, 85), (125, 80), (126, 100)):
+        least = round(near_dup.least_alike(slots, percent) * slots)
+        below = [math.comb(slots, k) * (percent / 100) ** k * (1 - percent / 100) ** (slots - k) for k in range(least + 1)]
+        assert sum(below[:-1]) <= 1e-6 < sum(below)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     same = "a b c d e f g"
     rows = [(None, same), (7, same), (7, same), (None, None), (3, "other words that are not the same at all"), (None, "alone here with five words")]
