@@ -6,9 +6,9 @@ member to a leader of its bucket, the second to the most similar member of anoth
 members that are still in different components, and every link is confirmed on the full sets of shingles.
 
 Defined results: a null or wordless text has no shingles and is a component of its own; a null doc_id takes part but
-is never the smallest id of a component; equal rows give equal rows; where one doc_id has several texts, the first class
-of them is searched for near copies and the others for exact copies; an empty table gives an empty result; columns
-other than the two named ones are ignored.
+is never the smallest id of a component; equal rows give equal rows; where one doc_id has several texts, or none is
+given, each text is searched for near copies on its own, and of those that would share the first place of a component one
+text is kept; an empty table gives an empty result; columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -106,10 +106,12 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 
 def _features(width: int, bands: int, rows: int):
-    schema = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("did", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = bands * rows
+        from pyspark import TaskContext
+
+        slots, row = bands * rows, TaskContext.get().partitionId() << 36
         for part in chunks(batches, most=2 << 20):
             sets = shingle_sets(*buffer_of(part.column(1)), width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -122,7 +124,8 @@ def _features(width: int, bands: int, rows: int):
             short = (mix(best.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
             d1 = np.array([mix(s ^ _STEP).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([np.bitwise_xor.reduce(mix(s + _STEP), initial=np.uint64(0)) for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([part.column(0), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1)), pa.array([s.tobytes() for s in short], pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(2), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1)), pa.array([s.tobytes() for s in short], pa.binary())], schema=schema)
+            row += len(sets)
 
     return run
 
@@ -303,28 +306,26 @@ def components(links: DataFrame, one_task_links: int = ONE_TASK_LINKS) -> DataFr
     return edges.union(roots).groupBy("v").agg(F.min("m").alias("m")).select(F.col("v").alias("did"), F.col("m").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string).
-
-    Two texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. With the
-    default bands a pair at the threshold of 85 meets in none of them about once in 20,000; the slots of those that meet
-    are too few less than once in 1,000,000.
-    """
+def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+    """did, version, n, head for every row of docs (doc_id long, text string): its id or LAST, a hash of its text, the
+    number of its shingles, and the smallest (did, version) of its component."""
     share = least_alike(bands * rows, percent)
-    own = texts_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text")
-    feats = stage(own.mapInArrow(_features(width, bands, rows), "did long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signatures")
+    own = texts_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text", F.xxhash64("text").alias("version"))
+    feats = stage(own.mapInArrow(_features(width, bands, rows), "row long, did long, version long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signatures")
     full = feats.where("n > 0")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("did").alias("rep"))
-    sole = classes.groupBy("rep").agg(F.first(F.struct("d1", "d2", "n")).alias("c"))
-    same = (F.col("did") == F.col("rep")) & (F.col("d1") == F.col("c.d1")) & (F.col("d2") == F.col("c.d2"))
-    reps = full.select("did", "d1", "d2", "bands").join(sole, same, "left_semi").dropDuplicates(["did"])
-    met = reps.select("did", F.posexplode("bands").alias("band", "bucket"))
+    # a class goes by the number of one of its rows: ids may be missing or have several texts
+    classes = full.groupBy("d1", "d2", "n").agg(F.min("row").alias("class"), F.min(F.struct("did", "version")).alias("low"))
+    classes = stage(classes, "classes")
+    chosen = classes.select("class")
+    met = full.select(F.col("row").alias("class"), "bands").join(chosen, "class", "left_semi").select("class", F.posexplode("bands").alias("band", "bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
     some = stage(met.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = maybe_among(some.select("did"))
-    signed = feats.where(wanted("did")).join(sole, same, "left_semi").dropDuplicates(["did"])
-    members = stage(some.join(signed.select("did", "n", "sig"), "did").select("bucket", "band", "did", "n", "sig"), "members")
-    texts = own.where(wanted("did")).join(some.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
+    wanted = maybe_among(some.select("class"))
+    signed = full.where(wanted("row")).select(F.col("row").alias("class"), "n", "sig")
+    members = stage(some.join(signed, "class").select("bucket", "band", "class", "n", "sig"), "members")
+    sought = classes.join(some.select("class").distinct(), "class", "left_semi").select("class", F.col("low.did").alias("of"), F.col("low.version").alias("text_version"))
+    wanted = maybe_among(sought.select(F.xxhash64("of", "text_version").alias("key")))
+    texts = own.where(wanted(F.xxhash64("did", "version"))).join(sought, F.expr("did = of and version = text_version")).select("class", "text").dropDuplicates(["class"])
     texts = stage(texts, "texts")
 
     many = members.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > WHOLE_BUCKET)
@@ -332,29 +333,42 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     def by_bucket(rows_: DataFrame, fn) -> DataFrame:
         split = rows_.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        split = split.withColumn("part", F.pmod(F.xxhash64("did"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        split = split.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "band", "did", "n", "sig", "comp")
+        split = split.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "band", F.col("class").alias("did"), "n", "sig", "comp")
         dealt = split.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "did")
         return dealt.mapInArrow(fn, "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(texts.select(F.col("did").alias("a"), F.col("text").alias("ta")), "a")
-        held = held.join(texts.select(F.col("did").alias("b"), F.col("text").alias("tb")), "b")
+        held = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
+        held = held.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
         return held.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
 
     tried = links = None
-    grouped = members.withColumn("comp", F.col("did"))
+    placed = members.withColumn("comp", F.col("class"))
     for choose in (_to_leaders(percent / 100, percent), _to_nearest(share, percent), _across(share, percent, rows)):
-        pairs = by_bucket(grouped, choose)
+        pairs = by_bucket(placed, choose)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         found = stage(confirmed(pairs), "links")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-        final = components(links, one_task_links)
-        grouped = members.join(final, "did", "left").withColumn("comp", F.coalesce("comp", "did"))
+        final = components(links, one_task_links).withColumnRenamed("did", "class")
+        placed = members.join(final, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+    # staged, as named below: plain inputs of joins, so that the side of a hot component or class can be split
+    inside = stage(classes.join(final, "class").select("class", "comp", "low"), "inside")
+    heads = inside.join(inside.groupBy("comp").agg(F.min("low").alias("head")), "comp").select("class", "head")
+    named = classes.join(heads, "class", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), F.coalesce("head", "low").alias("head"))
+    named = stage(named, "named")
+    out = feats.select("did", "version", "n", "d1", "d2").join(named, F.expr("d1 = c1 and d2 = c2 and n = cn"), "left")
+    return out.select("did", "version", "n", F.coalesce("head", F.struct("did", "version")).alias("head"))
 
-    named = classes.join(final, classes.rep == final.did, "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("comp", "rep").alias("comp"))
-    named = stage(named, "classes")  # a plain input of the join, so that a hot class's side can be split
-    out = feats.select("did", "n", "d1", "d2").join(named.withColumnRenamed("d1", "c1").withColumnRenamed("d2", "c2"), F.expr("d1 = c1 and d2 = c2 and n = cn"), "left")
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string).
+
+    Two texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. With the
+    default bands a pair at the threshold of 85 meets in none of them about once in 20,000; the slots of those that meet
+    are too few less than once in 1,000,000.
+    """
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    out = out.withColumn("comp", F.coalesce("comp", "did"))
-    return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("did") == F.col("comp")).alias("kept"))
+    out = grouped(docs, width, percent, bands, rows, one_task_links)
+    return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("head.did").alias("component_id"), (F.struct("did", "version") == F.col("head")).alias("kept"))

@@ -107,6 +107,22 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def changed(text, places):
+    w = text.split()
+    return " ".join(f"new{k}" if k in places else x for k, x in enumerate(w))
+
+
+def test_texts_without_an_id_and_texts_of_one_id_are_searched_each(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
+    rows = [(7, a), (None, changed(a, {3})), (None, b), (None, changed(b, {100})), (None, "nothing like the other texts of this table"), (9, c), (9, d), (4, changed(d, {50})), (12, changed(c, {60})), (9, changed(c, {61}))]
+    for order in (rows, rows[::-1]):
+        got = near_dup.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in order], SCHEMA).repartition(3)).collect()
+        shown = sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles > 100) for r in got)
+        assert shown == sorted([(7, 7, True), (-1, 7, True), (-1, -1, True), (-1, -1, True), (-1, -1, False), (9, 9, True), (9, 4, True), (4, 4, True), (12, 9, True), (9, 9, True)])
+        # one text of each of the five components is kept: a, b, c, d and the lone one
+        assert sorted((r.doc_id or -1, r.component_id or -1) for r in got if r.kept) == [(-1, -1), (-1, -1), (4, 4), (7, 7), (9, 9)]
+
+
 def test_components_by_stars_and_by_one_task(spark):
     draw = random.Random(4)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]
