@@ -18,6 +18,9 @@ from factloom.llm.packing import pack
 from factloom.llm.pii import redact
 from factloom.llm.quality_classifier import classify_quality
 
+#: Near copies of the pipeline. A pair at this threshold meets in no band about once in 20,000.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 25, 5
+
 
 def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with the named columns alone, n_chars counted anew."""
@@ -37,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; of equal rows one."""
     key = F.coalesce("doc_id", F.lit(NO_ID))
-    kept = near_duplicates(docs).where("kept").select(key.alias("__kept"))
+    kept = near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).where("kept").select(key.alias("__kept"))
     return docs.withColumn("__id", key).join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(docs.columns)
 
 

@@ -24,3 +24,15 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert 100 not in ids["minhash_near_dedup"] and set(range(30)) <= ids["minhash_near_dedup"]
     assert next(r.text for r in seen["pii"] if r.doc_id == 102).endswith("write to [EMAIL]") and ids["packing"] == ids["pii"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "pii", "packing"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dedup_groups_from_a_similarity_of_80_percent(spark):
+    rows = []
+    for i, tail in enumerate((17, 18, 20, 21, 23, 25)):  # of 204 words: similarities of 0.843 to 0.778
+        a = [f"p{i}w{k}" for k in range(204)]
+        rows += [(2 * i, " ".join(a), "en", "s", 1), (2 * i + 1, " ".join(a[: 204 - tail] + [f"q{i}w{k}" for k in range(tail)]), "en", "s", 1)]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {0, 2, 4, 6, 8, 10} | {2 * i + 1 for i, n in enumerate((17, 18, 20, 21, 23, 25)) if (200 - n) / (200 + n) < 0.8}
