@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NO_ID, stage, table
+from factloom.llm.common import stage, table
 from factloom.llm.line_dedup import drop_repeated_lines
-from factloom.llm.near_dup import near_duplicates
+from factloom.llm.near_dup import drop_near_duplicates
 from factloom.llm.packing import pack
 from factloom.llm.pii import redact
 from factloom.llm.quality_classifier import classify_quality
@@ -38,10 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; of equal rows one."""
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    kept = near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).where("kept").select(key.alias("__kept"))
-    return docs.withColumn("__id", key).join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(docs.columns)
+    """One document of each group of near copies stays, the one with the smallest doc_id; of rows with equal id and text one.
+
+    A row goes only when its text is a copy, whether its doc_id is null or has other texts too.
+    """
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

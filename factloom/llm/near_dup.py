@@ -372,3 +372,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     out = grouped(docs, width, percent, bands, rows, one_task_links)
     return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("head.did").alias("component_id"), (F.struct("did", "version") == F.col("head")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs without near copies: of each component the text of the smallest doc_id stays, a null one being the largest.
+
+    A text's component decides, not its doc_id. Of rows with equal id and text one stays; rows without words all stay.
+    """
+    found = grouped(docs, width, percent, bands, rows)
+    kept = found.where(F.struct("did", "version") == F.col("head")).groupBy(F.col("did").alias("__did"), F.col("version").alias("__of")).agg((F.max("n") > 0).alias("__worded"))
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).withColumn("__version", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    held = keyed.join(kept, F.expr("__id = __did and __version = __of"))
+    held = held.withColumn("__row", F.when(~F.col("__worded"), F.monotonically_increasing_id()))
+    return held.dropDuplicates(["__id", "__version", "__row"]).select(docs.columns)

@@ -36,3 +36,17 @@ def test_near_dedup_groups_from_a_similarity_of_80_percent(spark):
         rows += [(2 * i, " ".join(a), "en", "s", 1), (2 * i + 1, " ".join(a[: 204 - tail] + [f"q{i}w{k}" for k in range(tail)]), "en", "s", 1)]
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert got == {0, 2, 4, 6, 8, 10} | {2 * i + 1 for i, n in enumerate((17, 18, 20, 21, 23, 25)) if (200 - n) / (200 + n) < 0.8}
+
+
+def test_near_dedup_drops_a_row_only_for_its_text(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(100)) for x in "abcde")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(None, a), (None, b), (None, near(b)), (7, c), (7, c), (7, d), (3, near(c)), (9, e), (None, near(e)), (None, None), (None, ""), (11, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    for kept_b in (b, near(b)):
+        if (-1, kept_b) in got:
+            assert got == sorted([(-1, a), (-1, kept_b), (7, d), (3, near(c)), (9, e), (-1, ""), (-1, ""), (11, ""), (7, "")])
+            break
+    else:
+        raise AssertionError(got)
