@@ -401,3 +401,52 @@ def f6_fast_candidates(spark, d):
     f = A.files(spark, d)
     near = f.where(F.startswith("relative_path", F.lit("src7/"))).select(F.col("language").alias("request_id"), "relative_path")
     return decisions.fast_candidates(near, near, f).select("request_id", "relative_path", "score", "place")
+
+
+# --- The same over whole tables: the SQL of the ones above is bound to one source, or to documents without headings. --------
+
+
+@add(
+    r"""SELECT relative_path, regexp_matches(lower(text), 'license|copyright') AS marked,
+  coalesce(nullif(trim(regexp_replace(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: starts_with(trim(x), '#'))[1], '^[# ]+', '')), ''), 'doc ' || regexp_extract(relative_path, 'doc_(\d+)', 1)) AS title FROM files""",
+    (A.FILES,),
+)
+def e18_scan_all_documents(spark, d):
+    """Marks and titles of all documents, those with a heading too."""
+    return decisions.scan_documents(A.files(spark, d), ("license", "copyright")).select("relative_path", "marked", "title")
+
+
+def _by_source(files):
+    """Every file as one of the request of its source and language."""
+    return files.select(F.substring_index("relative_path", "/", 2).alias("request_id"), F.col("language").alias("target"), "relative_path")
+
+
+_REQUESTS = "asked AS (SELECT regexp_extract(relative_path, '^[^/]*/[^/]*') AS request_id, language AS lang, relative_path FROM files)"
+
+
+@add(
+    """terms AS (SELECT DISTINCT request_id, lang, unnest(list_filter(regexp_split_to_array(relative_path, '[^0-9a-z]'), lambda t: length(t) >= 3)) AS term FROM asked),
+good AS (SELECT relative_path, lower(text) AS t FROM files WHERE regexp_matches(lower(text), 'license') AND size_bytes <= 262144), lists AS (SELECT request_id, lang, list(term) AS terms FROM terms GROUP BY ALL),
+scored AS (SELECT request_id, relative_path, CASE WHEN contains(relative_path, lang) THEN 24 ELSE 0 END + CASE WHEN contains(t, lang) THEN 18 ELSE 0 END
+    + 6 * len(list_filter(terms, lambda x: contains(relative_path, x))) + 4 * len(list_filter(terms, lambda x: contains(t, x))) AS score FROM good, lists)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, relative_path) AS place FROM scored) WHERE place <= 4""",
+    (A.FILES, _REQUESTS),
+)
+def f2_rank_documents_by_source(spark, d):
+    """The best licensed documents for the files of each source and language."""
+    f = A.files(spark, d)
+    near = _by_source(f)
+    return decisions.rank_documents(near.select("request_id", "target").distinct(), f, near, markers=("license",)).select("request_id", "relative_path", "score", "place")
+
+
+@add(
+    """best AS (SELECT relative_path FROM files WHERE size_bytes <= 262144 ORDER BY relative_path LIMIT 64),
+near AS (SELECT request_id, relative_path, 4 AS s FROM asked SEMI JOIN (SELECT relative_path FROM files WHERE size_bytes <= 262144) USING (relative_path)
+  UNION ALL SELECT request_id, best.relative_path, 0 FROM (SELECT DISTINCT request_id FROM asked), best)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, relative_path) AS place FROM (SELECT request_id, relative_path, max(s) AS score FROM near GROUP BY ALL)) WHERE place <= 4""",
+    (A.FILES, _REQUESTS),
+)
+def f6_fast_candidates_by_source(spark, d):
+    f = A.files(spark, d)
+    near = _by_source(f).select("request_id", "relative_path")
+    return decisions.fast_candidates(near, near, f).select("request_id", "relative_path", "score", "place")
