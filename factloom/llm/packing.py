@@ -8,13 +8,14 @@ the costliest first, each to the group with the fewest tokens so far.
 
 Defined results: a null or empty text is the end id alone; a null doc_id stays null; equal rows are packed one by one;
 an empty table gives an empty result; columns other than the two named ones are ignored. Special tokens' strings in a
-text are ordinary text.
+text are ordinary text, or with special_tokens the added tokens of the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -42,31 +43,38 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(vocabulary: tuple[str, str]):
-    """A function from text to uint32 ids; both files hold the same vocabulary, as ranks and for `tokenizers`."""
-    if vocabulary not in _encoders:
+def encoder(vocabulary: tuple[str, str], special_tokens: bool = False):
+    """A function from text to uint32 ids; both files hold the same vocabulary, as ranks and for `tokenizers`.
+
+    special_tokens: added tokens are found in texts, as `tokenizers` does by default.
+    """
+    if (vocabulary, special_tokens) not in _encoders:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(vocabulary[0], "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = {}
+        if special_tokens:
+            with open(vocabulary[1], encoding="utf-8") as said:
+                added = {x["content"]: x["id"] for x in json.load(said).get("added_tokens", [])}
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         slow: list = []
 
         def ids(text: str) -> np.ndarray:
             if len(text) <= LONG_TEXT:
                 try:
-                    return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+                    return np.asarray(fast.encode_to_numpy(text, allowed_special=set(added), disallowed_special=()), np.uint32)
                 except Exception:  # its splitter gives up on some very long runs
                     pass
             if not slow:
                 slow.append(Tokenizer.from_file(vocabulary[1]))
-                slow[0].encode_special_tokens = True
+                slow[0].encode_special_tokens = not special_tokens
             return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
-        _encoders[vocabulary] = ids
-    return _encoders[vocabulary]
+        _encoders[vocabulary, special_tokens] = ids
+    return _encoders[vocabulary, special_tokens]
 
 
 Piece = tuple[int, int, int]  # number of the document, start there, length
@@ -169,12 +177,12 @@ def step_groups(sequences: list[tuple[int, list[Piece]]], step_tokens: int) -> l
     return out
 
 
-def _packed(vocabulary: tuple[str, str], tiers: tuple[int, ...], with_ids: bool, held_tokens: int, step_tokens: int):
+def _packed(vocabulary: tuple[str, str], tiers: tuple[int, ...], with_ids: bool, held_tokens: int, step_tokens: int, special_tokens: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence = group = TaskContext.get().partitionId() << 36
-        ids, packer = encoder(vocabulary), Packer(tiers)
+        ids, packer = encoder(vocabulary, special_tokens), Packer(tiers)
         held: dict[int, tuple[int | None, np.ndarray]] = {}
         done: list[tuple[int, list[Piece]]] = []
         number = tokens = 0
@@ -221,9 +229,10 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 _TYPES = ["long", "long", "long", "long", "long", "long", "long", "int", "long", "array<int>"]
 
 
-def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = True, held_tokens: int = HELD_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = True, held_tokens: int = HELD_TOKENS, step_tokens: int = STEP_TOKENS, special_tokens: bool = False) -> DataFrame:
     """A row for each piece of docs (doc_id, text): where it lies in its document and in its sequence, its tier, its step
-    group and, with_ids, its ids. vocabulary: paths of the rank file and of the same vocabulary for `tokenizers`."""
+    group and, with_ids, its ids. vocabulary: paths of the rank file and of the same vocabulary for `tokenizers`.
+    special_tokens: strings of added tokens in a text become these tokens."""
     n = 9 + with_ids
     schema = ", ".join(f"{name} {kind}" for name, kind in zip(_NAMES[:n], _TYPES[:n], strict=True))
-    return texts_of(docs, "doc_id", "text").mapInArrow(_packed(vocabulary or default_vocabulary(), tiers, with_ids, held_tokens, step_tokens), schema)
+    return texts_of(docs, "doc_id", "text").mapInArrow(_packed(vocabulary or default_vocabulary(), tiers, with_ids, held_tokens, step_tokens, special_tokens), schema)

@@ -34,7 +34,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), with_ids=False, special_tokens=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

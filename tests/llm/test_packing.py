@@ -76,3 +76,19 @@ def test_packer_fills_windows():
     done += packer.last()
     assert sum(p[2] for _, pieces in done for p in pieces) == total and sum(sum(p[2] for p in pieces) < 16 or sum(p[2] for p in pieces) not in (16, 32, 64) for _, pieces in done) <= 1
     assert {t for t, _ in done} == {64, 32, 16}
+
+
+def test_the_query_finds_added_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from factloom.llm.queries import op3_packing
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|><|endoftext|>", " <|endoftext|> x", "<|endoftext|", "<|endoftext|>" + "a" * packing.LONG_TEXT]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_packing(spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], np.uint32)
+        parts = [r for r in rows if r.doc_id == i]
+        assert parts and all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in parts)
+        assert (50256 in ids) == (i != 3)
