@@ -84,8 +84,9 @@ def measures(part: pa.Array) -> dict[str, np.ndarray]:
             covered[k:] |= twice[: n - k]
     a, b, of = _lines(data, at)
     held = np.searchsorted(start, b) - np.searchsorted(start, a)
+    number = np.arange(len(a)) - np.searchsorted(of, np.arange(texts))[of]
     worded = held > 0
-    a, b, of, held = a[worded], b[worded], of[worded], held[worded]
+    a, b, of, held, number = a[worded], b[worded], of[worded], held[worded], number[worded]
     again = _repeats(hash_ranges(data, a, b), of)
     # normalised: from the first to the last word, A-Z in lower case, digits as 0
     plain = LOWER[data]
@@ -95,7 +96,7 @@ def measures(part: pa.Array) -> dict[str, np.ndarray]:
     return {
         "n_words": n_words, "word_chars": np.bincount(owner, chars, texts).astype(np.int64), "n_symbols": per_text(SYMBOLS[data], at),
         "n_dup_lines": np.bincount(of[again], minlength=texts), "n_repeat_words": np.bincount(owner[covered], minlength=texts),
-        "line": line, "line_words": held, "line_of": of,
+        "line": line, "line_words": held, "line_of": of, "line_number": number,
     }
 
 
@@ -103,31 +104,38 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SCHEMA = "row long, doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<long>, words array<int>"
 
 
-def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _measured(with_text: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    row = TaskContext.get().partitionId() << 36
-    for part in chunks(batches):
-        m, n = measures(part.column(2)), part.num_rows
-        at = pa.array(np.searchsorted(m["line_of"], np.arange(n + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (m["line"].view(np.int64), m["line_words"].astype(np.int32))]
-        yield pa.record_batch([pa.array(np.arange(row, row + n)), part.column(0), part.column(1), *[pa.array(m[c].astype(np.int64)) for c in _COUNTS], *lists], names=["row", "doc_id", "host", *_COUNTS, "lines", "words"])
-        row += n
+        row = TaskContext.get().partitionId() << 36
+        for part in chunks(batches):
+            m, n = measures(part.column(2)), part.num_rows
+            at = pa.array(np.searchsorted(m["line_of"], np.arange(n + 1)).astype(np.int32))
+            lists = [m["line"].view(np.int64), m["line_words"].astype(np.int32), m["line_number"].astype(np.int32)][: 2 + with_text]
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in lists] + [part.column(2)] * with_text
+            yield pa.record_batch([pa.array(np.arange(row, row + n)), part.column(0), part.column(1), *[pa.array(m[c].astype(np.int64)) for c in _COUNTS], *lists], names=["row", "doc_id", "host", *_COUNTS, "lines", "words", "numbers", "text"][: 5 + len(_COUNTS) + 2 * with_text])
+            row += n
 
+    return run
 
-def line_quality(docs: DataFrame, least_words: int = LEAST_WORDS, most_docs: int = MOST_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """The base measures of every row of docs (doc_id, source, text), removed_words, base_failed and kept."""
+
+def line_quality(docs: DataFrame, least_words: int = LEAST_WORDS, most_docs: int = MOST_DOCS, least_left: float = LEAST_LEFT, with_text: bool = False) -> DataFrame:
+    """The base measures of every row of docs (doc_id, source, text), removed_words, base_failed, kept and, with_text, the
+    text without the removed lines."""
     own = texts_of(docs, "doc_id", "source", "text")
-    found = stage(own.mapInArrow(_measured, _SCHEMA), "measures")
+    found = stage(own.mapInArrow(_measured(with_text), _SCHEMA + ", numbers array<int>, text string" * with_text), "measures")
     passed = (F.col("n_words") >= least_words) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
     doc = F.coalesce("doc_id", F.lit(NO_DOC))
-    lines = found.select("row", doc.alias("doc"), F.coalesce(F.concat(F.lit("s"), "host"), F.lit("")).alias("host"), F.explode(F.arrays_zip("lines", "words")).alias("x"))
-    lines = lines.select("row", "doc", "host", F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
+    lines = found.select("row", doc.alias("doc"), F.coalesce(F.concat(F.lit("s"), "host"), F.lit("")).alias("host"), F.explode(F.arrays_zip("lines", "words", *["numbers"] * with_text)).alias("x"))
+    lines = lines.select("row", "doc", "host", F.col("x.lines").alias("line"), F.col("x.words").alias("words"), *[F.col("x.numbers").alias("number")] * with_text)
     common = lines.groupBy("host", "line").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") > most_docs)
     common = stage(common, "common")  # a plain input of the join, so that a hot line's side can be split
-    removed = lines.join(common, ["host", "line"]).where(F.col("doc") != F.col("first")).groupBy("row").agg(F.sum("words").alias("removed_words"))
-    out = found.drop("lines", "words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    removed = lines.join(common, ["host", "line"]).where(F.col("doc") != F.col("first")).groupBy("row").agg(F.sum("words").alias("removed_words"), *[F.collect_set("number").alias("lost")] * with_text)
+    out = found.drop("lines", "words", "numbers").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
     return out.select(
         "doc_id", *_COUNTS, "removed_words", (~passed).alias("base_failed"),
         (passed & (F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words"))).alias("kept"),
+        *[F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text")] * with_text,
     )

@@ -118,3 +118,17 @@ def test_classifier_edges(spark):
     out = qc.classify_quality(spark.createDataFrame(rows, schema)).collect()
     assert len(out) == 6 and all(r.kept for r in out if r.doc_id in (1, 2))
     assert qc.classify_quality(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_texts_without_the_common_lines(spark):
+    """Lines in more than 20 documents of a host go from the text, but for the smallest id; others stay as they are."""
+    shared = ["Menu one 1", "\tmenu ONE 2 ", "Menu one 3"]
+    rows = [(i, f"first {i}x\n\n{shared[i % 3]}\n  own line number {i} \n{shared[(i + 1) % 3]}\n", "h") for i in range(21)]
+    rows += [(50, "Menu one 1\nother host", "g"), (51, None, "h"), (52, "\n\n", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = quality_rules.line_quality(docs, with_text=True).collect()
+    expected = {i: t or "" for i, t, _ in rows} | {i: f"first {i}x\n\n  own line number {i} \n" for i in range(1, 21)}
+    # "first 1x" and "own line number 1" differ by digits alone: one-digit and two-digit ones are in 10 and 11 documents
+    assert {r.doc_id: r.text for r in got} == expected and sum(r.removed_words for r in got) == 20 * 6
+    plain = quality_rules.line_quality(docs)
+    assert "text" not in plain.columns and sorted(plain.collect()) == sorted(tuple(r)[:-1] for r in got)
