@@ -115,7 +115,7 @@ def _zipped(ref: DataFrame, tgt: DataFrame, keys: tuple[str, ...], strategy: str
 def greedy(candidates: DataFrame, group: str = "language") -> DataFrame:
     """One-to-one pairs from scored candidates (group, ref_id, tgt_id, score), the highest score first, ties by ids.
 
-    It is one pass over a group's candidates in order; groups are capped by the caller's policy.
+    It is one pass over a group's candidates in order; the caller's policy may cap signals before (function_signals).
     """
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,11 +130,12 @@ def greedy(candidates: DataFrame, group: str = "language") -> DataFrame:
     return candidates.select(group, "ref_id", "tgt_id", "score").groupBy(group).applyInPandas(pairs, "ref_id string, tgt_id string, strategy string, score int")
 
 
-def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least: int = 65, max_signals: int = 256) -> DataFrame:
+def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least: int = 65, max_signals: int | None = None) -> DataFrame:
     """Pairs (ref_id, tgt_id, strategy, score): tier by tier over what earlier ones left; similarity last, if asked for.
 
     Candidates of the last tier are pairs that share a declaration, a window, calls or a word of the name, found by
-    equi-joins; others cannot reach the least score. What a tier finds is written once. At most max_signals of each side and language take part there.
+    equi-joins; others cannot reach the least score. What a tier finds is written once. All
+    left-over signals take part there, or with max_signals so many of each side and language.
     """
     ref, tgt = cut(ref, "signals"), cut(tgt, "signals")
     pairs = None
@@ -144,7 +145,7 @@ def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least:
         ref = ref.join(found.select(F.col("ref_id").alias("fact_id")), "fact_id", "left_anti")
         tgt = tgt.join(found.select(F.col("tgt_id").alias("fact_id")), "fact_id", "left_anti")
     if signature_aware:
-        capped = lambda df: df.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy(*_ORDER))).where(F.col("n") <= max_signals).drop("n")
+        capped = lambda df: df if max_signals is None else df.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy(*_ORDER))).where(F.col("n") <= max_signals).drop("n")
         r, t = capped(ref), capped(tgt)
         shared = F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("d:"), "declaration"), F.concat(F.lit("w:"), "window_hash"), F.concat(F.lit("c:"), "calls")), F.transform(F.split("name_key", " "), lambda x: F.concat(F.lit("n:"), x)))))
         keys = lambda df, name: df.select("language", shared.alias("key"), F.col("fact_id").alias(name))

@@ -100,3 +100,14 @@ def test_contracts(spark):
     lists = "environment_assumptions array<string>, input_domains array<string>, observables array<string>, equivalence_claims array<string>"
     rows = [("c", ["a"], ["a"], ["a"], ["a"]), (" ", ["a"], ["a"], ["a"], ["a"]), ("d", ["a"], None, ["a"], ["a"]), (None, ["a"], ["a"], ["a"], ["a"])]
     assert [r.valid for r in obligations.valid_contracts(spark.createDataFrame(rows, f"contract_id string, {lists}")).collect()] == [True, False, False, False]
+
+
+def test_all_renamed_functions_enter_the_similarity_tier(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    paths = [f"src/f{i:03}.rs" for i in range(300)]
+    ref = side(spark, [(f"gather_total_{word(i)}", p, 1) for i, p in enumerate(paths)], dict.fromkeys(paths, "1"))
+    tgt = side(spark, [(f"obtain_total_{word(i)}", p, 11) for i, p in enumerate(paths)], dict.fromkeys(paths, "2"))
+    a, b = (align.function_signals(x["symbols"], x["imports"]) for x in (ref, tgt))
+    got = {(r.ref_id, r.tgt_id) for r in align.align(a, b, signature_aware=True, least=50).collect()}
+    assert got == {(f"{p}:1:gather_total_{word(i)}", f"{p}:11:obtain_total_{word(i)}") for i, p in enumerate(paths)}
+    assert align.align(a, b, signature_aware=True, least=50, max_signals=256).count() == 256
