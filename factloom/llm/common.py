@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,15 +15,15 @@ from pyspark.sql import types as T
 
 #: Stands for a null id inside an operator; results have null again.
 NO_ID = -(2**63)
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that a kernel works on at a time, and bytes of an Arrow batch on its way to it.
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 2**64)
-_powers: list[np.ndarray] = []
+#: Words of 8 bytes that one step of a hash folds into one.
+FOLD = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a new temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Only a local master, where the driver is the one
+    executor, may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES and a row, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: lost executors cost no recomputation.
 
@@ -53,7 +62,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns; a null text is an empty one."""
+    """The named columns, for a kernel; a null text is an empty one."""
+    small_batches(docs.sparkSession)
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c == "text" else F.col(c) for c in columns])
 
 
@@ -94,26 +104,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p^i and p^-i modulo 2^64 for i below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        made = []
-        for base in (_P, _P_INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
-
-
 def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for every pair; it depends on these bytes alone."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    h = (sums[end] - sums[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of data[start:end] for every pair; it depends on these bytes alone.
+
+    Every step mixes a word of 8 bytes into its range's hash; a range of more than FOLD words is cut into parts of as many,
+    whose hashes are the words of the next round. No sum of powers: inputs cannot cancel out by their structure.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = (end - start).astype(np.int64)
+
+    def word(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        x = words[at]
+        short = left < 8
+        if short.any():
+            x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        return x
+
+    h = _folded(lambda at, k: word(start[at] + 8 * k, size[at] - 8 * k), (size + 7) // 8)
+    return mix(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _folded(word, many: np.ndarray) -> np.ndarray:
+    """One hash for each row from its words; word(rows, numbers) gives words, many is how many each row has."""
+    parts = np.maximum((many + FOLD - 1) // FOLD, 1)
+    first = np.cumsum(parts) - parts
+    row = np.repeat(np.arange(len(many)), parts)
+    begin = (np.arange(len(row)) - first[row]) * FOLD
+    held = np.minimum(many[row] - begin, FOLD)
+    h = np.full(len(row), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(int(held.max(initial=0))):
+        at = np.flatnonzero(held > k) if k else np.flatnonzero(held > 0)
+        h[at] = mix((h[at] ^ word(row[at], begin[at] + k)) + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64))
+    if len(row) == len(many):
+        return h
+    long = np.flatnonzero(parts > 1)
+    out = h[first]
+    out[long] = _folded(lambda at, k: h[first[long[at]] + k], parts[long])
+    return out
 
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
@@ -145,23 +174,13 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return out
 
 
-BLOCK = 1 << 16
-FILTER_BITS = 1 << 27
+#: Bytes of a block of a filter, bits for each entry, and the most bits of a filter that goes to every task.
+BLOCK, BITS_EACH, MOST_BITS = 1 << 16, 12, 1 << 27
 
 
-def packed(block: np.ndarray) -> bytes:
-    """A block of a filter: as it is, or the places and values of its bytes that aren't 0."""
-    at = np.flatnonzero(block)
-    return b"r" + block.tobytes() if 3 * len(at) > len(block) else b"s" + at.astype(np.uint16).tobytes() + block[at].tobytes()
-
-
-def unpacked(raw: bytes, size: int) -> np.ndarray:
-    if raw[:1] == b"r":
-        return np.frombuffer(raw, np.uint8, offset=1)
-    n = (len(raw) - 1) // 3
-    out = np.zeros(size, np.uint8)
-    out[np.frombuffer(raw, np.uint16, n, 1)] = np.frombuffer(raw, np.uint8, n, 1 + 2 * n)
-    return out
+def filter_bits(entries: int) -> int:
+    """Bits of a Bloom filter for so many entries: a power of two."""
+    return 1 << max(13, (BITS_EACH * max(entries, 1) - 1).bit_length())
 
 
 def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,39 +200,53 @@ def put(filter_: np.ndarray, h: np.ndarray) -> None:
         np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
 
-def maybe_among(ids: DataFrame, bits: int = FILTER_BITS):
-    """A function of a long column, True for every value of the one column of ids and for few others.
+def filter_of(ids: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray | None:
+    """A Bloom filter of the one long column of ids, sized by their number, or None where it would be beyond most_bits.
 
-    It thins out the large side of a join before its shuffle. The Bloom filter has bits // 8 bytes, however many ids
-    there are; overfilled it lets more rows through, and the join still decides.
+    Each task sends the places that it fills; the driver gets the filter alone, block by block.
     """
+    bits = filter_bits(ids.count())
+    if bits > most_bits:
+        return None
     size = min(BLOCK, bits // 8)
 
-    def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
+    def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.zeros(bits // 8, np.uint8) if own is None else own
-            put(own, mix(batch.column(0).to_numpy().view(np.uint64)))
-        for k in range(0, bits // 8 if own is not None else 0, size):
-            if own[k : k + size].any():
-                yield pa.record_batch([pa.array([k // size], pa.int32()), pa.array([packed(own[k : k + size])], pa.binary())], names=["block", "bytes"])
+            at = np.unique(np.concatenate(places(mix(batch.column(0).to_numpy().view(np.uint64)), bits)))
+            block = at // (8 * size)
+            edge = np.searchsorted(block, np.arange(bits // 8 // size + 1))
+            some = np.flatnonzero(np.diff(edge))
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([(at[edge[k] : edge[k + 1]] - k * 8 * size).astype(np.uint32).tobytes() for k in some], pa.binary())], names=["block", "at"])
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own = None, None
+        block, own = None, np.zeros(8 * size, bool)
+        done = lambda: pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["block", "bytes"])
         for batch in batches:
             for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != block:
                     if block is not None:
-                        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "bytes"])
-                    block, own = k, np.zeros(size, np.uint8)
-                own |= unpacked(raw, size)
+                        yield done()
+                    block, own = k, np.zeros(8 * size, bool)
+                own[np.frombuffer(raw, np.uint32)] = True
         if block is not None:
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "bytes"])
+            yield done()
 
     whole = np.zeros(bits // 8, np.uint8)
-    blocks = ids.mapInArrow(collected, "block int, bytes binary").repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, bytes binary")
+    blocks = ids.mapInArrow(filled, "block int, at binary").repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, bytes binary")
     for row in blocks.toLocalIterator():
         whole[row[0] * size : (row[0] + 1) * size] = np.frombuffer(bytes(row[1]), np.uint8)
+    return whole
+
+
+def maybe_among(ids: DataFrame):
+    """A function from a long column to a condition, true for every value of the one column of ids and for few others.
+
+    It thins out the large side of a join before its shuffle. For more ids than a filter of MOST_BITS serves it is
+    always true, and the join alone decides.
+    """
+    whole = filter_of(ids)
+    if whole is None:
+        return lambda column: F.lit(True)
     shared = ids.sparkSession.sparkContext.broadcast(whole)
 
     @F.arrow_udf(T.BooleanType())

@@ -22,6 +22,8 @@ from .common import buffer_of, chunks, hash_ranges, texts_of, words_of
 from .trie import DoubleArray
 
 NONE = -1
+#: Bytes of texts whose different words are counted at once.
+TEXT_BYTES = 4 << 20
 
 
 class Automaton:
@@ -112,7 +114,7 @@ def count_tokens(docs: DataFrame, automaton: Automaton | None = None, prefix: by
     shared = docs.sparkSession.sparkContext.broadcast(automaton or default_automaton())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=TEXT_BYTES):
             data, at = buffer_of(part.column(1))
             start, end, owner = words_of(data, at)
             _, first, which = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)

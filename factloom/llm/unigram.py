@@ -26,8 +26,8 @@ from .trie import DoubleArray
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-#: Places (stretches times the longest one's bytes) that are solved at once.
-AREA = 1 << 22
+#: Places (stretches times the longest one's bytes) that are solved at once, and bytes of texts whose stretches are.
+AREA, TEXT_BYTES = 1 << 22, 4 << 20
 
 
 def zipf_scores(ranks: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, zipf: bool = Tr
         if (model_path, zipf) not in _models:
             _models[model_path, zipf] = Unigram.load(model_path, zipf)
         model = _models[model_path, zipf]
-        for part in chunks(batches):
+        for part in chunks(batches, most=TEXT_BYTES):
             ids, at = model.encode(*buffer_of(part.column(1)))
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             same = [model.decode(ids[a:b]) == text.as_py().replace("▁", " ") for a, b, text in zip(at[:-1], at[1:], part.column(1), strict=True)]
