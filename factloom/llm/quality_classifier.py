@@ -6,8 +6,10 @@ posterior labels then train a logistic scorer on hashed features: pairs of bytes
 The scorer is fitted on `train_rows` documents (a bound, chosen by hash, all of them in a small table); votes are counted
 on all.
 
-Defined results: a null or empty text gets no votes and is kept; null ids and equal rows are scored like others; an empty
-table gives an empty result; all columns of docs are kept as they are (its own ones of the added names are replaced).
+Every text is measured and scored alike; shares of a short one are taken of LEAST_WORDS words, of which it shows but a part.
+
+Defined results: a null or empty text is scored like one without faults; null ids and equal rows are scored like others; an
+empty table gives an empty result; all columns of docs are kept as they are (its own ones of the added names are replaced).
 """
 
 from __future__ import annotations
@@ -20,22 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, chunks, code_points, hash_ranges, mix, words_of
+from .common import buffer_of, chunks, hash_ranges, mix, small_batches, words_of
 from .quality_rules import per_text
 
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 12
 #: A document is rejected when the scorer gives it less than this chance of being good.
 LEAST_SCORE = 0.5
-#: A labeller's bad vote is taken to be wrong on no more than this share of good documents.
-MOST_FALSE = 0.002
+#: What is believed of a labeller's false votes on good documents before any are seen, as if on so many times all documents.
+FALSE_VOTES, BELIEF = 0.002, 50
 ROUNDS = 120
 
 LABELLERS = ("symbols", "shouting", "exclamation", "tables", "runs", "repeats", "word_length")
 #: Of each labeller's measure: at or below the first it votes good, at or above the second bad, between them nothing.
 LIMITS = {"symbols": (0.05, 0.2), "shouting": (0.15, 0.4), "exclamation": (0.03, 0.15), "tables": (0.05, 0.2), "runs": (0.06, 0.25), "repeats": (0.2, 0.8), "word_length": (0.0, 1.0)}
-#: With fewer words a text shows too little for a vote.
-LEAST_WORDS = 5
+#: Shares are taken of so many words at least, with so many letters each.
+LEAST_WORDS, WORD_LETTERS = 5, 5
 STEPS = 16
 PAIR_SCALE, MEASURE_SCALE = 20.0, 1.5
 #: So many pairs count in favour of no feature, as a short text shows little.
@@ -51,12 +53,12 @@ def _mask(chars: str) -> np.ndarray:
 _SYMBOLS, _BANG, _BAR, _UPPER, _LOWER = _mask("#*$%&<>{}^~\\"), _mask("!"), _mask("|"), _mask("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _mask("abcdefghijklmnopqrstuvwxyz")
 
 
-def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every text the labellers' measures (texts x labellers) and its number of words."""
+def measures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For every text the labellers' measures (texts x labellers)."""
     texts = len(at) - 1
     start, end, owner = words_of(data, at)
     n = np.bincount(owner, minlength=texts)
-    some = np.maximum(n, 1)
+    some = np.maximum(n, LEAST_WORDS)
     upper, lower = per_text(_UPPER[data], at), per_text(_LOWER[data], at)
     word = hash_ranges(data, start, end) if len(start) else np.zeros(0, np.uint64)
     run = np.zeros(len(word), bool)
@@ -68,21 +70,24 @@ def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         repeats = np.bincount((again >> np.uint64(40)).astype(np.int64), minlength=texts)
     else:
         repeats = np.zeros(texts)
-    points = code_points(data)
-    length = np.bincount(owner, points[end] - points[start], texts) / some
+    # letters of scripts that put blanks between words: U+0000 to U+07FF
+    narrow = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data < 0x80) | ((data >= 0xC0) & (data < 0xE0)), out=narrow[1:])
+    letters = narrow[end] - narrow[start]
+    spaced = np.bincount(owner[letters > 0], minlength=texts)
+    length = np.bincount(owner, letters, texts) / np.maximum(spaced, 1)
+    odd = ((length < 2.5) | (length > 14)).astype(float) * np.minimum(spaced / LEAST_WORDS, 1)
     out = np.stack([
-        per_text(_SYMBOLS[data], at) / some, upper / np.maximum(upper + lower, 1), per_text(_BANG[data], at) / some, per_text(_BAR[data], at) / some,
-        np.bincount(owner[run], minlength=texts) / some, repeats / some, ((length < 2.5) | (length > 14)).astype(float),
+        per_text(_SYMBOLS[data], at) / some, upper / np.maximum(upper + lower, LEAST_WORDS * WORD_LETTERS), per_text(_BANG[data], at) / some, per_text(_BAR[data], at) / some,
+        np.bincount(owner[run], minlength=texts) / some, repeats / some, odd,
     ], axis=1)
-    return out, n
+    return out
 
 
-def votes(found: np.ndarray, n: np.ndarray) -> np.ndarray:
+def votes(found: np.ndarray) -> np.ndarray:
     """1 bad, 0 good, 2 nothing."""
     low, high = (np.array([LIMITS[k][i] for k in LABELLERS]) for i in (0, 1))
-    out = np.where(found >= high, 1, np.where(found <= low, 0, 2))
-    out[n < LEAST_WORDS] = 2
-    return out
+    return np.where(found >= high, 1, np.where(found <= low, 0, 2))
 
 
 def pattern_of(v: np.ndarray) -> np.ndarray:
@@ -124,7 +129,8 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, float]
     """Posterior of bad for each vote pattern, and each labeller's accuracy, by expectation-maximisation.
 
     Hidden classes: good, and one kind of fault for each labeller to begin with, as a labeller that looks for one fault
-    has nothing to say on another. Every class has its own chance of each labeller's votes.
+    has nothing to say on another. Every class has its own chance of each labeller's votes. Expected counts have beliefs
+    added to them: a labeller that votes bad on a good document is rare.
     """
     patterns = np.array(sorted(counts), np.int64)
     many = np.array([counts[p] for p in patterns], float)[:, None]
@@ -132,20 +138,20 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, float]
     fired = (v == 1).astype(float)
     share = np.hstack([np.where(fired.any(axis=1), 0.05, 1.0)[:, None], fired + 1e-6])
     share /= share.sum(axis=1, keepdims=True)
+    prior, belief = np.r_[10.0, np.full(len(LABELLERS), 0.1)], np.full((2, len(LABELLERS) + 1, len(LABELLERS)), 0.1)
+    belief[:, 0] = BELIEF * many.sum() * np.array([1 - FALSE_VOTES, FALSE_VOTES])[:, None]
     for _ in range(rounds):
-        prior = (share * many).sum(axis=0) + np.r_[10.0, np.full(len(LABELLERS), 0.1)]
-        log = np.tile(np.log(prior / prior.sum()), (len(patterns), 1))
-        says = np.stack([(share * many).T @ (v == value) for value in (0, 1)])  # votes x classes x labellers
-        seen = (says + 0.1) / (says + 0.1).sum(axis=0)
-        seen[1, 0] = np.minimum(seen[1, 0], MOST_FALSE)
-        seen[0, 0] = 1 - seen[1, 0]
-        for value in (0, 1):
-            log += (v == value) @ np.log(seen[value]).T
+        size = (share * many).sum(axis=0) + prior
+        size /= size.sum()
+        says = np.stack([(share * many).T @ (v == value) for value in (0, 1)]) + belief  # votes x classes x labellers
+        seen = says / says.sum(axis=0)
+        log = np.log(size)[None] + (v == 0) @ np.log(seen[0]).T + (v == 1) @ np.log(seen[1]).T
         share = np.exp(log - log.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
-    bad = 1 - share[:, 0]
-    right = ((v == 1) * many * bad[:, None] + (v == 0) * many * (1 - bad)[:, None]).sum(axis=0) / np.maximum(((v != 2) * many).sum(axis=0), 1)
-    return dict(zip(patterns.tolist(), bad.tolist(), strict=True)), dict(zip(LABELLERS, right.tolist(), strict=True))
+    spoken = says[0] + says[1] - belief.sum(axis=0)  # votes of each class and labeller, without beliefs
+    right = np.vstack([seen[0][:1], seen[1][1:]])
+    accuracy = (right * spoken).sum(axis=0) / np.maximum(spoken.sum(axis=0), 1e-9)
+    return dict(zip(patterns.tolist(), (1 - share[:, 0]).tolist(), strict=True)), dict(zip(LABELLERS, accuracy.tolist(), strict=True))
 
 
 def fit_scorer(rows: int, of: np.ndarray, bucket: np.ndarray, value: np.ndarray, bad: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -171,12 +177,13 @@ def _parts(texts: pa.Array):
 
 @F.arrow_udf(T.IntegerType())
 def vote_pattern(texts: pa.Array) -> pa.Array:
-    found = [pattern_of(votes(*measures(*part))) for part in _parts(texts)]
+    found = [pattern_of(votes(measures(*part))) for part in _parts(texts)]
     return pa.array(np.concatenate(found or [np.zeros(0)]).astype(np.int32))
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """The model for docs (doc_id, text). Only vote counts and train_rows documents' features reach the driver."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
     counted = own.select(vote_pattern("text").alias("pattern")).groupBy("pattern").count().collect()
     counts = {r["pattern"]: r["count"] for r in counted}
@@ -186,12 +193,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     def run(batches):
         for part in chunks(batches):
             data, at = buffer_of(part.column(0))
-            found, n = measures(data, at)
+            found = measures(data, at)
             of, bucket, value = features(data, at, found)
             order = np.argsort(of, kind="stable")
             edge = pa.array(np.searchsorted(of[order], np.arange(len(at))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(edge, pa.array(x[order])) for x in (bucket.astype(np.int32), value.astype(np.float32))]
-            yield pa.record_batch([pa.array(pattern_of(votes(found, n)).astype(np.int32)), *lists], names=["pattern", "bucket", "value"])
+            yield pa.record_batch([pa.array(pattern_of(votes(found)).astype(np.int32)), *lists], names=["pattern", "bucket", "value"])
 
     # a chance of 2^-64 steps; twice the wanted rows is more than a sample by hash ever gives
     some = own if share == 1 else own.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1))))
@@ -215,22 +222,22 @@ def score(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> Da
     def judged(texts: pa.Array) -> pa.Array:
         bad, scores = [], []
         for data, at in _parts(texts):
-            found, n = measures(data, at)
+            found = measures(data, at)
             # the same sum as over features(), without counting equal pairs
             total = np.zeros(max(len(data), 1))
             np.cumsum(pair_weight[data[:-1].astype(np.int64) << 8 | data[1:]], out=total[1 : len(data)])
             last = np.maximum(at[1:] - 1, at[:-1])
             z = (total[np.minimum(last, len(total) - 1)] - total[np.minimum(at[:-1], len(total) - 1)]) / (np.diff(at) + PAIR_PRIOR)
             z += MEASURE_SCALE * weights[measure_buckets(found)].sum(axis=1) + bias
-            s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            scores.append(np.where(n < LEAST_WORDS, 1.0, s))
-            bad.append(posterior[pattern_of(votes(found, n))])
+            scores.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+            bad.append(posterior[pattern_of(votes(found))])
         columns = [pa.array(np.concatenate(x or [np.zeros(0)]), pa.float64()) for x in (bad, scores)]
         return pa.StructArray.from_arrays(columns, names=["bad", "score"])
 
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("weak_bad", "quality_score", "kept")]
-    out = docs.select(*own, judged(F.coalesce("text", F.lit(""))).alias("__judged"))
-    return out.select(*own, F.col("__judged.bad").alias("weak_bad"), F.col("__judged.score").alias("quality_score"), (F.col("__judged.score") >= least_score).alias("kept"))
+    out = docs.select(F.struct(*own).alias("row"), judged(F.coalesce("text", F.lit(""))).alias("judged"))
+    return out.select(*[F.col("row")[c].alias(c) for c in own], F.col("judged.bad").alias("weak_bad"), F.col("judged.score").alias("quality_score"), (F.col("judged.score") >= least_score).alias("kept"))
 
 
 def classify_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_score: float = LEAST_SCORE) -> DataFrame:

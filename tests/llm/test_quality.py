@@ -132,3 +132,65 @@ def test_texts_without_the_common_lines(spark):
     assert {r.doc_id: r.text for r in got} == expected and sum(r.removed_words for r in got) == 20 * 6
     plain = quality_rules.line_quality(docs)
     assert "text" not in plain.columns and sorted(plain.collect()) == sorted(tuple(r)[:-1] for r in got)
+
+
+def test_estimation_over_patterns_is_that_over_documents():
+    """EM with a row for each document, votes by dictionaries, in plain Python."""
+    draw = random.Random(6)
+    names = qc.LABELLERS
+    docs = [tuple(draw.choice([0, 0, 0, 2, 1] if draw.random() < 0.3 else [0, 0, 2]) for _ in names) for _ in range(300)]
+    counts = {}
+    for v in docs:
+        key = sum(x * 3**k for k, x in enumerate(v))
+        counts[key] = counts.get(key, 0) + 1
+    classes = range(len(names) + 1)
+    share = []
+    for v in docs:
+        s = [0.05 if 1 in v else 1.0] + [(x == 1) + 1e-6 for x in v]
+        share.append([x / sum(s) for x in s])
+    for _ in range(15):
+        size = [sum(s[c] for s in share) + (10 if c == 0 else 0.1) for c in classes]
+        size = [x / sum(size) for x in size]
+        bad_vote = {}
+        for c in classes:
+            for k in range(len(names)):
+                yes, no = (sum(s[c] for s, v in zip(share, docs, strict=True) if v[k] == value) for value in (1, 0))
+                yes += qc.BELIEF * len(docs) * qc.FALSE_VOTES if c == 0 else 0.1
+                no += qc.BELIEF * len(docs) * (1 - qc.FALSE_VOTES) if c == 0 else 0.1
+                bad_vote[c, k] = yes / (yes + no)
+        share = []
+        for v in docs:
+            s = list(size)
+            for c in classes:
+                for k, x in enumerate(v):
+                    s[c] *= 1 if x == 2 else bad_vote[c, k] if x else 1 - bad_vote[c, k]
+            share.append([x / sum(s) for x in s])
+    posterior, accuracy = qc.estimate(counts, 15)
+    for v, s in zip(docs, share, strict=True):
+        assert abs(posterior[sum(x * 3**k for k, x in enumerate(v))] - (1 - s[0])) < 1e-9
+    assert set(accuracy) == set(names) and all(0 <= a <= 1 for a in accuracy.values())
+
+
+def test_scores_are_sums_over_features(spark):
+    rows = [(i, t) for i, t, _ in made(200, 3)] + [(900, None), (901, ""), (902, "x"), (903, "### ###"), (904, "字" * 5000), (905, "Ñandú é"), (906, "!" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = qc.fit(df)
+    got = {r.doc_id: r for r in qc.score(df, model).collect()}
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        at = np.array([0, len(raw)])
+        found = qc.measures(raw, at)
+        _, bucket, value = qc.features(raw, at, found)
+        z = float((model.weights[bucket] * value).sum() + model.bias)
+        assert abs(got[i].quality_score - 1 / (1 + np.exp(-max(-50, min(50, z))))) < 1e-9, i
+        assert got[i].weak_bad == model.posterior[int(qc.pattern_of(qc.votes(found))[0])]
+    assert got[904].kept and not got[903].kept and got[900].kept
+
+
+def test_lines_that_cancel_out_in_sums_of_powers_are_no_copies(spark):
+    line = "a"
+    while len(line) < 2048:
+        line += line.translate(str.maketrans("ab", "ba"))
+    other = line.translate(str.maketrans("ab", "ba"))
+    got = quality_rules.line_quality(spark.createDataFrame([(1, "h", f"{line}\n{other}\n{line}", "")], SCHEMA)).first()
+    assert (got.n_words, got.n_dup_lines, got.n_repeat_words) == (3, 1, 0)
