@@ -50,3 +50,21 @@ def test_near_dedup_drops_a_row_only_for_its_text(spark):
             break
     else:
         raise AssertionError(got)
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark):
+    clash = ["kept", "weak_bad", "n_lines", "__id", "__text", "__judged", "__spans", "row", "id", "n_dropped", "version", "text_version"]
+    schema = SCHEMA + "".join(f", {c} string" for c in clash)
+    draw = random.Random(2)
+    words = lambda: " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9))) for _ in range(60))
+    texts = [words() for _ in range(8)]
+    rows = [(i, t, "en", "s", 1, *[f"{c}{i}" for c in clash]) for i, t in zip([1, 2, 2, 3, None, None, 4, 5], texts, strict=True)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(step(spark, docs, ""), "clash")
+        assert sorted((r.doc_id or -1, r.text, *r[5:]) for r in docs.collect()) == sorted((r[0] or -1, r[1], *r[5:]) for r in rows)
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, "").collect()} == {1, 2, 3, 4, 5, None}
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, step in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stage(step(spark, docs, ""), "empty")
+        assert docs.count() == 0
