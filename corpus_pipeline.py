@@ -18,23 +18,29 @@ from factloom.llm.packing import pack
 from factloom.llm.pii import redact
 from factloom.llm.quality_classifier import classify_quality
 
-#: Near copies of the pipeline. A pair at this threshold meets in no band about once in 20,000.
-NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 25, 5
+#: Near copies of the pipeline. A pair at this threshold meets in no band about once in 200,000.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 31, 5
 
 
-def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with the named columns alone, n_chars counted anew."""
-    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row beside them, so that no column of docs clashes with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
+def retold(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The carried columns with the new text, n_chars counted anew."""
+    told = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return found.select(*[told.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify_quality(docs).where("kept").select(docs.columns)
+    return classify_quality(carried(docs)).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, but for one document's; no document goes."""
-    return sized(drop_repeated_lines(spark, docs), docs.columns)
+    return retold(drop_repeated_lines(spark, carried(docs)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the names of its kinds."""
-    return sized(redact(docs), docs.columns)
+    return retold(redact(carried(docs)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
