@@ -2,11 +2,13 @@
 
 Each of several tables cuts some random directions (Gaussian, made orthogonal) into cells of one width. A vector lies in
 one bucket of a table; a query also visits buckets whose cells lie next to its own, in the order of estimated success:
-the sum of squared distances to the borders crossed. How many buckets are visited is calibrated on a sample of
-`sample_rows` vectors against brute force. Every vector is indexed.
+the sum of squared distances to the borders crossed. How many buckets are visited is calibrated on SAMPLE_QUERIES vectors,
+whose true neighbours among all vectors one scan finds. Every vector is indexed.
 
-Equal vectors are one before anything else, with their k + 1 smallest ids, which are all that can matter. A bucket of
-more than `bucket_rows` vectors is dealt to several tasks. Queries that find too few go over all vectors, in blocks.
+Buckets are dealt to parts of at most `part_bytes`, a bucket that is larger to several. A part gets its rows of the index,
+and from each query that visits any of them its vector once, with the numbers of the buckets; queries stream by. Equal
+vectors are one before anything else, with their k + 1 smallest ids, which are all that can matter. Queries that find
+too few, and all of them should the calibration miss its target, go over all vectors, part by part.
 
 Defined results: rows with a null id take no part, nor do vectors that are null, empty or zero or that have null or
 non-finite components; vectors of different lengths never meet; equal rows count once; an empty table gives an
@@ -15,26 +17,29 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, stage
+from .common import mix, small_batches, stage
 
 K = 10
-TABLES, HASHES = 6, 8
+TABLES, HASHES = 8, 12
 #: Cell width, as a share of the mean distance of sampled vectors.
-WIDTH = 1.4
+WIDTH = 2.0
 SAMPLE_ROWS, SAMPLE_QUERIES = 2000, 64
-TARGET = 0.97
-PROBES = (50, 100, 150, 200, 300, 400, 600)
-BUCKET_ROWS = 20_000
-BLOCK_QUERIES = 1024
+TARGET = 0.95
+#: Numbers of visits in a table to choose from, and how many times as many are ranked by a query's own distances.
+PROBES, RANKED = (1, 2, 5, 10, 20, 35, 50, 75, 100, 150, 200, 300, 400, 600, 1000), 2
+#: Bytes of vectors (as doubles) that a part holds, and queries that it takes at a time.
+PART_BYTES, QUERIES_AT_ONCE = 8 << 20, 32
 
 
 def directions(dim: int, tables: int, hashes: int) -> np.ndarray:
@@ -75,40 +80,47 @@ class Hasher:
         cells = np.floor(self.cells(x))
         return np.stack([self.keys(cells[t], np.full(len(x), t), x.shape[1]) for t in range(self.tables)])
 
-    def visits(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each row the keys of the buckets to visit, in each table the likeliest first."""
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """(tables, rows, probes) keys of the buckets to visit, the likeliest first."""
         at = self.cells(x)
         cells = np.floor(at)
-        out = []
-        for row in range(len(x)):
-            found, tables = [], []
-            for t in range(self.tables):
-                base = cells[t, row]
-                steps = self.perturbations(at[t, row] - base)
-                moved = np.repeat(base[None], len(steps), axis=0)
-                for k, step in enumerate(steps):
-                    for hash_, by in step:
-                        moved[k, hash_] += by
-                found.append(moved)
-                tables.append(np.full(len(steps), t))
-            out.append(self.keys(np.concatenate(found), np.concatenate(tables), x.shape[1]))
+        inside = at - cells
+        borders = np.concatenate([inside, 1 - inside], axis=2)  # one below, one above, by hash
+        order = np.argsort(borders, axis=2, kind="stable")
+        cost = np.take_along_axis(borders, order, 2) ** 2
+        sets = perturbations(self.hashes, RANKED * self.probes)
+        best = np.argsort(cost @ sets.T.astype(float), axis=2, kind="stable")[:, :, : self.probes]
+        out = np.empty(best.shape, np.int64)
+        for t in range(self.tables):
+            for row in range(len(x)):
+                moves = np.zeros((best.shape[2], 2 * self.hashes))
+                moves[:, order[t, row]] = sets[best[t, row]]
+                moved = cells[t, row] - moves[:, : self.hashes] + moves[:, self.hashes :]
+                out[t, row] = self.keys(moved, np.full(len(moved), t), x.shape[1])
         return out
 
-    def perturbations(self, inside: np.ndarray) -> list[tuple[tuple[int, int], ...]]:
-        """Sets of (hash, -1 or 1), by ascending sum of squared distances to the borders that they cross."""
-        borders = sorted([(d * d, h, -1) for h, d in enumerate(inside.tolist())] + [((1 - d) ** 2, h, 1) for h, d in enumerate(inside.tolist())])
-        out: list[tuple[tuple[int, int], ...]] = [()]
-        heap = [(borders[0][0], (0,))]
-        while heap and len(out) < self.probes:
-            score, chosen = heapq.heappop(heap)
-            if len({borders[j][1] for j in chosen}) == len(chosen):
-                out.append(tuple((borders[j][1], borders[j][2]) for j in chosen))
-            last = chosen[-1]
-            if last + 1 < len(borders):
-                step = borders[last + 1][0]
-                heapq.heappush(heap, (score + step, (*chosen, last + 1)))
-                heapq.heappush(heap, (score - borders[last][0] + step, (*chosen[:-1], last + 1)))
-        return out
+
+@functools.cache
+def perturbations(hashes: int, many: int) -> np.ndarray:
+    """Sets of borders to cross (sets x 2 * hashes, by a border's place in the order of distances), by ascending sum of what
+    the squared distances are expected to be; no set holds both borders of a cell, as far as the expectation shows."""
+    j = np.arange(1, 2 * hashes + 1)
+    near = j * (j + 1) / (4 * (hashes + 1) * (hashes + 2))
+    k = 2 * hashes + 1 - j
+    z = np.where(j <= hashes, near, 1 - k / (hashes + 1) + k * (k + 1) / (4 * (hashes + 1) * (hashes + 2))).tolist()
+    out, heap = [()], [(z[0], (0,))]
+    while heap and len(out) < many:
+        score, chosen = heapq.heappop(heap)
+        if all(2 * hashes - 1 - x not in chosen for x in chosen):
+            out.append(chosen)
+        last = chosen[-1]
+        if last + 1 < len(z):
+            heapq.heappush(heap, (score + z[last + 1], (*chosen, last + 1)))
+            heapq.heappush(heap, (score - z[last] + z[last + 1], (*chosen[:-1], last + 1)))
+    sets = np.zeros((len(out), 2 * hashes), np.int8)
+    for row, chosen in enumerate(out):
+        sets[row, list(chosen)] = 1
+    return sets
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -133,105 +145,124 @@ def best(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, d))[:k]
 
 
-def calibrated(sample: np.ndarray, k: int, target: float, tables: int, hashes: int, width: float) -> Hasher:
-    """The hasher with the fewest visits whose recall on the sample is target; its neighbours lie farther than those of
-    all vectors, so all are found no less often."""
-    n = min(SAMPLE_QUERIES, len(sample))
-    spread = distances(sample[:n], sample)
+def calibrated(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray], target: float, tables: int, hashes: int, width: float) -> Hasher | None:
+    """The hasher with the fewest visits that meets the share `target` of the true neighbours (near, by query), or None."""
+    spread = distances(queries, sample)
     hasher = Hasher(width * float(spread[spread > 0].mean()) if (spread > 0).any() else 1.0, PROBES[-1], tables, hashes)
-    if len(sample) < 2:
+    if not sum(map(len, near)):
         return hasher
-    spread[np.arange(n), np.arange(n)] = np.inf
-    k = min(k, len(sample) - 1)
-    true = np.argsort(spread, axis=1, kind="stable")[:, :k]
-    keys, visits = hasher.index(sample), hasher.visits(sample[:n])
-    first = np.full((n, k), np.inf)  # at how many visits in a table each neighbour is met
-    for row in range(n):
-        per = np.array_split(visits[row], tables) if len(visits[row]) % tables == 0 else [visits[row]]
-        for t, mine in enumerate(per):
-            place = {key: p for p, key in reversed(list(enumerate(mine.tolist())))}
-            for j, other in enumerate(true[row]):
-                first[row, j] = min(first[row, j], place.get(int(keys[t, other]), np.inf))
+    keys, visits = hasher.index(np.concatenate(near)), hasher.visits(queries)
+    owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    first = np.full(len(owner), PROBES[-1])
+    for t in range(tables):
+        same = visits[t][owner] == keys[t][:, None]
+        first = np.minimum(first, np.where(same.any(axis=1), same.argmax(axis=1), PROBES[-1]))
     for probes in PROBES:
-        hasher.probes = probes
         if (first < probes).mean() >= target:
-            break
-    return hasher
+            hasher.probes = probes
+            return hasher
+    return None
 
 
 _HITS = "qrep long, rep long, score double"
 
 
-def _hits(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    q = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
-    return pa.record_batch([pa.array(q, pa.int64()), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]))], names=["qrep", "rep", "score"])
-
-
-def _in_buckets(k: int):
-    """From rows sorted by bucket, queries first: the k nearest in the bucket of each query. Rows of the index stream by."""
+class _Part:
+    """The index rows of a part with vectors of one length: each vector once, and which buckets it lies in."""
+
+    def __init__(self, buckets: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+        self.ids, self.x = ids[order][self.starts], x[order][self.starts]
+        self.buckets, self.of = np.unique(buckets[order], return_inverse=True)
+        self.squares = (self.x**2).sum(axis=1)
+
+    def hits(self, q: np.ndarray, visits: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its number, and ids and exact distances of the k nearest in the buckets that it visits."""
+        seen = np.zeros((len(q), len(self.buckets)), bool)
+        for row, keys in enumerate(visits):
+            at = np.minimum(np.searchsorted(self.buckets, keys), len(self.buckets) - 1)
+            seen[row, at[self.buckets[at] == keys]] = True
+        met = np.logical_or.reduceat(seen[:, self.of], self.starts, axis=1)
+        some = np.flatnonzero(met.any(axis=0))
+        if not len(some):
+            return
+        # products order the candidates; those within rounding of the k-th are measured exactly
+        about = self.squares[some] - 2 * (q @ self.x[some].T) + (q**2).sum(axis=1)[:, None]
+        about[~met[:, some]] = np.inf
+        slack = 1e-9 * (float(self.squares[some].max()) + float((q**2).sum(axis=1).max()))
+        for row in range(len(q)):
+            d = about[row]
+            limit = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+            near = some[np.flatnonzero((d <= limit + slack) & (d < np.inf))]
+            if len(near):
+                exact = distances(q[row : row + 1], self.x[near])[0]
+                chosen = best(self.ids[near], exact, k)
+                yield row, self.ids[near][chosen], exact[chosen]
+
+
+def _in_parts(k: int):
+    """From rows sorted by part, index first: the k nearest in each part of each query that comes by."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, q, found = None, [], None, {}
-
-        def closed() -> list[tuple]:
-            return [(qid, *x) for qid, x in found.items()]
-
+        part, held, made = None, [], {}
         for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            done: list[tuple] = []
+            parts = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)] if len(parts) else []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if (keys[0, a], keys[1, a]) != key:
-                    done += closed()
-                    key, queries, q, found = (keys[0, a], keys[1, a]), [], None, {}
-                part = batch.slice(a, b - a)
-                ids, side = part.column(3).to_numpy(), part.column(2).to_numpy()
-                m = int((side == 0).sum())
+                if parts[a] != part:
+                    part, held, made = parts[a], [], {}
+                rows = batch.slice(a, b - a)
+                m = int((rows.column(1).to_numpy() == 0).sum())
                 if m:
-                    queries.append((ids[:m], matrix(part.column(4).slice(0, m))))
-                if m == len(ids) or not queries:
-                    continue
-                if q is None:
-                    q = np.concatenate([x for x, _ in queries]), np.concatenate([x for _, x in queries])
-                for first in range(m, len(ids), 2048):
-                    some = ids[first : first + 2048]
-                    d = distances(q[1], matrix(part.column(4).slice(first, len(some))))
-                    for qid, row in zip(q[0].tolist(), d, strict=True):
-                        names, row = (np.concatenate([found[qid][0], some]), np.concatenate([found[qid][1], row])) if qid in found else (some, row)
-                        near = best(names, row, k)
-                        found[qid] = names[near], row[near]
-            if done:
-                yield _hits(done)
-        if found:
-            yield _hits(closed())
+                    held.append(rows.slice(0, m).select(["bucket", "id", "vector"]))
+                if held and m < rows.num_rows:
+                    t = pa.Table.from_batches(held)
+                    for n, at in _by_length(t["vector"]):
+                        some = t.take(pa.array(at))
+                        made[n] = _Part(some["bucket"].to_numpy(), some["id"].to_numpy(), matrix(some["vector"]))
+                    held = []
+                for first in range(m, rows.num_rows, QUERIES_AT_ONCE):
+                    asked = rows.slice(first, QUERIES_AT_ONCE)
+                    found = []
+                    for n, at in _by_length(asked.column("vector")):
+                        if n in made:
+                            some = asked.take(pa.array(at))
+                            visits = [np.asarray(x.values) for x in some.column("buckets")]
+                            names = some.column("id").to_numpy()
+                            found += [(names[row], ids, d) for row, ids, d in made[n].hits(matrix(some.column("vector")), visits, k)]
+                    if found:
+                        q = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+                        yield pa.record_batch([pa.array(q, pa.int64()), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["qrep", "rep", "score"])
 
     return run
 
 
-def _scan(qids: np.ndarray, q: np.ndarray, k: int):
-    """Over all vectors: the k nearest of a task's rows for each of a block of queries."""
+def _by_length(vectors: pa.Array) -> list[tuple[int, np.ndarray]]:
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else pc.list_value_length(vectors).to_numpy()
+    return [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple] = {}
-        for batch in batches:
-            sizes = np.array([len(v) for v in batch.column(1)])
-            same = np.flatnonzero(sizes == q.shape[1])
-            for first in range(0, len(same), 2048):
-                rows = batch.take(pa.array(same[first : first + 2048]))
-                ids, d = rows.column(0).to_numpy(), distances(q, matrix(rows.column(1)))
-                for qid, row in zip(qids.tolist(), d, strict=True):
-                    names, row = (np.concatenate([found[qid][0], ids]), np.concatenate([found[qid][1], row])) if qid in found else (ids, row)
-                    near = best(names, row, k)
-                    found[qid] = names[near], row[near]
-        if found:
-            yield _hits([(qid, *x) for qid, x in found.items()])
 
-    return run
+def searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qrep, rep, score): in each part the k nearest of each query, for an index (part, bucket, id, vector) and queries
+    (part, id, vector, buckets)."""
+    none = F.lit(None).cast("array<long>")
+    left = index.select("part", F.lit(0).alias("side"), "bucket", "id", "vector", none.alias("buckets"))
+    right = queries.select("part", F.lit(1).alias("side"), F.lit(0).cast("long").alias("bucket"), "id", "vector", "buckets")
+    return left.union(right).repartition("part").sortWithinPartitions("part", "side").mapInArrow(_in_parts(k), _HITS)
+
+
+def scanned(vectors: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
+    """The same over all vectors (rep, embedding), for queries (qrep, embedding): each goes by every part."""
+    index = vectors.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.lit(0).cast("long").alias("bucket"), F.col("rep").alias("id"), F.col("embedding").alias("vector"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("qrep").alias("id"), F.col("embedding").alias("vector"), F.array(F.lit(0).cast("long")).alias("buckets"))
+    return searched(index, asked, k)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, target: float = TARGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, target: float = TARGET, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found for each query among vectors (vec_id,
     embedding), nearest first, ties to the smaller id; is_query: a condition on vec_id."""
+    small_batches(vectors.sparkSession)
     v = F.col("embedding")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), v).where(good)
@@ -241,76 +272,73 @@ def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hash
     asked = rows.where(is_query).distinct().join(apart.select("rep", "embedding"), "embedding")
     asked = stage(asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("qrep"), "embedding"), "queries")
     queries = asked.select("qrep", "embedding").dropDuplicates(["qrep"])
+    many, length = apart.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    part_rows = max(64, part_bytes // (8 * (length or 1)))
+
+    def top(found: DataFrame, of: DataFrame) -> DataFrame:
+        """Rows by query id: its own left out, ranked."""
+        near = found.groupBy("qrep", "rep").agg(F.min("score").alias("score"))
+        near = near.withColumn("r", F.row_number().over(W.partitionBy("qrep").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
+        ids = near.join(apart.select("rep", "ids"), "rep").select("qrep", "score", F.explode("ids").alias("vec_id"))
+        ids = ids.withColumn("r", F.row_number().over(W.partitionBy("qrep").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
+        mine = of.select("query_id", "qrep").join(ids, "qrep").where(F.col("vec_id") != F.col("query_id"))
+        rank = F.row_number().over(W.partitionBy("query_id", "qrep").orderBy("score", "vec_id"))
+        return mine.select("query_id", "qrep", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
-    sample = apart.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"]
-    sizes = np.array([len(x) for x in sample], np.int64)
+    # calibration: a bounded sample, whose queries' true neighbours among all vectors are few rows
+    sample = apart.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("rep", "embedding").toArrow()
+    sizes = np.array([len(x) for x in sample["embedding"]], np.int64)
     dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
     some = sample.take(pa.array(np.flatnonzero(sizes == dim)))
-    hasher = calibrated(matrix(some) if len(some) else np.zeros((0, dim)), k, target, tables, hashes, width)
+    few = some.slice(0, SAMPLE_QUERIES)
+    wanted = few["rep"].to_pylist()
+    trial = apart.where(F.col("rep").isin(wanted)).select(F.col("rep").alias("qrep"), "embedding")
+    true = scanned(apart, trial, k + 1, -(-many // part_rows) or 1).where("qrep <> rep")
+    true = true.withColumn("r", F.row_number().over(W.partitionBy("qrep").orderBy("score", "rep"))).where(F.col("r") <= k)
+    true = true.join(apart.select("rep", "embedding"), "rep").select("qrep", "embedding").toArrow() if wanted else None
+    near = [matrix(mine) if len(mine := true.filter(pc.equal(true["qrep"], q))["embedding"]) else np.zeros((0, dim)) for q in wanted]
+    hasher = calibrated(matrix(some["embedding"]), matrix(few["embedding"]), near, target, tables, hashes, width) if wanted else None
+
+    scan_parts = -(-many // part_rows) or 1
+    if hasher is None:
+        return top(scanned(apart, queries, k + 1, scan_parts), asked).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    kind = apart.schema["embedding"].dataType.simpleString()
 
     def indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(1)])
-            for n in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == n)))
+            for _, at in _by_length(batch.column(1)):
+                part = batch.take(pa.array(at))
                 for keys in hasher.index(matrix(part.column(1))):
                     yield pa.record_batch([pa.array(keys), *part.columns], names=["bucket", "id", "vector"])
 
     def visited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 16):
-                part = batch.slice(first, 16)
-                lists = [hasher.visits(matrix(part.column(1).slice(i, 1)))[0] for i in range(part.num_rows)]
-                of = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in lists]))
-                yield pa.record_batch([pa.array(np.concatenate(lists)), part.column(0).take(of), part.column(1).take(of)], names=["bucket", "id", "vector"])
-
-    schema = "bucket long, id long, vector array<float>"
-    kind = apart.schema["embedding"].dataType.elementType.simpleString()
-    schema = schema.replace("float", kind)
-    index = apart.select("rep", "embedding").mapInArrow(indexed, schema)
-    visits = queries.mapInArrow(visited, schema).distinct()
-    crowded = index.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("parts"))
+            for _, at in _by_length(batch.column(1)):
+                for first in range(0, len(at), 16):
+                    part = batch.take(pa.array(at[first : first + 16]))
+                    keys = np.concatenate(list(hasher.visits(matrix(part.column(1)))), axis=1)
+                    lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1))
+                    yield pa.record_batch([part.column(0), lists], names=["id", "buckets"])
+
+    index = apart.select("rep", "embedding").mapInArrow(indexed, f"bucket long, id long, vector {kind}")
+    crowded = index.groupBy("bucket").count().where(F.col("count") > part_rows).select("bucket", F.ceil(F.col("count") / part_rows).cast("int").alias("pieces"))
     crowded = stage(crowded, "crowded")
-    split = lambda df: df.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = split(visits).select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "vector")
-    right = split(index).select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", "vector")
-    dealt = left.union(right).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side")
-    hits = dealt.mapInArrow(_in_buckets(k + 1), _HITS)
-
-    def top(found: DataFrame) -> DataFrame:
-        """Rows by query id: its own left out, ranked."""
-        near = found.groupBy("qrep", "rep").agg(F.min("score").alias("score"))
-        near = near.withColumn("r", F.row_number().over(W.partitionBy("qrep").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
-        ids = near.join(apart.select("rep", "ids"), "rep").select("qrep", "score", F.explode("ids").alias("vec_id"))
-        ids = ids.withColumn("r", F.row_number().over(W.partitionBy("qrep").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
-        mine = asked.select("query_id", "qrep").join(ids, "qrep").where(F.col("vec_id") != F.col("query_id"))
-        rank = F.row_number().over(W.partitionBy("query_id", "qrep").orderBy("score", "vec_id"))
-        return mine.select("query_id", "qrep", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    parts = max(1, -(-many * tables // part_rows))
+    split = lambda df: df.join(crowded, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    part = lambda piece: F.pmod(F.xxhash64("bucket", piece), F.lit(parts))
+    placed = split(index).select(part(F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).alias("part"), "bucket", "id", "vector")
+    visits = queries.repartition(F.col("qrep")).mapInArrow(visited, "id long, buckets array<long>").select("id", F.explode("buckets").alias("bucket"))
+    visits = split(visits).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    visits = visits.select("id", "bucket", part(F.col("piece")).alias("part")).groupBy("id", "part").agg(F.collect_set("bucket").alias("buckets"))
+    visits = visits.join(queries.select(F.col("qrep").alias("id"), F.col("embedding").alias("vector")), "id")
+    first = stage(top(searched(placed, visits, k + 1), asked), "found")
 
-    first = stage(top(hits), "found")
     # a query with fewer than k found is asked again over all vectors
-    full = first.groupBy("query_id", "qrep").count().where(F.col("count") >= k)
-    poor = asked.join(full, ["query_id", "qrep"], "left_anti").select("qrep", "embedding").dropDuplicates(["qrep"])
-    out, block, redone = [], [], []
-
-    def again() -> None:
-        for n in {len(x) for _, x in block}:
-            qids, q = zip(*[(a, x) for a, x in block if len(x) == n], strict=True)
-            out.append(apart.select("rep", "embedding").mapInArrow(_scan(np.array(qids), np.array(q, np.float64), k + 1), _HITS))
-        redone.extend(a for a, _ in block)
-        block.clear()
-
+    full = first.groupBy("query_id", "qrep").count().where(F.col("count") >= min(k, max(many - 1, 0))).select("query_id", "qrep")
+    poor = stage(asked.join(full, ["query_id", "qrep"], "left_anti"), "poor")
     result = first
-    for row in stage(poor, "poor").toLocalIterator():
-        block.append((row.qrep, row.embedding))
-        if len(block) == BLOCK_QUERIES:
-            again()
-    if block:
-        again()
-    if out:
-        more = out[0]
-        for x in out[1:]:
-            more = more.union(x)
-        more = stage(top(more), "scanned")
-        result = first.join(more.select("qrep").distinct(), "qrep", "left_anti").select(first.columns).union(more)
+    if not poor.isEmpty():
+        again = top(scanned(apart, poor.select("qrep", "embedding").dropDuplicates(["qrep"]), k + 1, scan_parts), poor)
+        result = first.join(poor, ["query_id", "qrep"], "left_anti").union(again)
     return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
