@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .chat import chat_digests
+from .chat import chat_digests, event_log
 from .common import table
 from .line_dedup import drop_repeated_lines
 from .near_dup import near_duplicates
@@ -21,12 +21,11 @@ from .unigram import encode_texts
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row opens a message of its turn; conversation -1 says control strings."""
+    """Every row is told as events and folded back; conversation -1 says control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return chat_digests(events)
+    return chat_digests(event_log(rows.unionByName(extra)))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

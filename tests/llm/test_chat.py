@@ -46,6 +46,26 @@ def test_events_are_folded_into_final_messages(spark):
     assert len(got) == 4
 
 
+def test_events_of_unknown_kind_count_for_nothing(spark):
+    events = [(1, 1, 0, "message", "user", "hi", ""), (1, 1, 1, None, "user", "no", ""), (1, 1, 2, "wipe", "user", "no", ""), (1, 2, 3, "???", "user", "no", ""), (2, 1, 0, None, "user", "no", "")]
+    got = chat.chat_digests(spark.createDataFrame(events, EVENTS)).collect()
+    assert [(r.conv_id, r.n_turns, r.turns_sha256) for r in got] == [(1, 1, digest([("user", "hi")])[1])]
+
+
+def test_turns_told_as_events_come_back(spark):
+    draw = random.Random(3)
+    texts = [None, "", "a", "ab", "é😀\n", NASTY, "<\\s>", "x" * 5000, "!", "a!", "a<", "</s>", "a</s>b", "[INST]"]
+    rows = [(c, draw.choice([0, 1, 2, 3, None]), draw.choice(["user", "assistant", None, "tool\nx"]), draw.choice(texts)) for c in (1, 2, None) for _ in range(60)]
+    rows += rows[:5]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.KINDS) and kinds["delete"] == len(rows)
+    got = {r.conv_id: r for r in chat.chat_digests(log).collect()}
+    for conv in (1, 2, None):
+        mine = sorted(((t is None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda x: (x[0], x[1], x[2].encode(), x[3].encode()))
+        assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == digest([(r, x) for _, _, r, x in mine])
+
+
 def test_empty_log(spark):
     assert chat.chat_digests(spark.createDataFrame([], EVENTS)).count() == 0
 
