@@ -31,8 +31,6 @@ END = 0
 #: Ids that a task holds before it packs them, and ids of a step group.
 HELD_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
-#: A longer text goes to the slower library, whose splitter needs no stack for long runs.
-LONG_TEXT = 1_000_000
 
 _encoders: dict = {}
 
@@ -63,11 +61,10 @@ def encoder(vocabulary: tuple[str, str], special_tokens: bool = False):
         slow: list = []
 
         def ids(text: str) -> np.ndarray:
-            if len(text) <= LONG_TEXT:
-                try:
-                    return np.asarray(fast.encode_to_numpy(text, allowed_special=set(added), disallowed_special=()), np.uint32)
-                except Exception:  # its splitter gives up on some very long runs
-                    pass
+            try:
+                return np.asarray(fast.encode_to_numpy(text, allowed_special=set(added), disallowed_special=()), np.uint32)
+            except ValueError:  # its splitter has no stack for white space of about a million characters in a row
+                pass
             if not slow:
                 slow.append(Tokenizer.from_file(vocabulary[1]))
                 slow[0].encode_special_tokens = not special_tokens

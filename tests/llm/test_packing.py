@@ -84,7 +84,7 @@ def test_the_query_finds_added_tokens_in_texts(spark, tmp_path):
     from factloom.llm.queries import op3_packing
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["one<|endoftext|>two", "<|endoftext|><|endoftext|>", " <|endoftext|> x", "<|endoftext|", "<|endoftext|>" + "a" * packing.LONG_TEXT]
+    texts = ["one<|endoftext|>two", "<|endoftext|><|endoftext|>", " <|endoftext|> x", "<|endoftext|", "<|endoftext|>" + "a" * 1_000_000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = op3_packing(spark, str(tmp_path)).collect()
     for i, t in enumerate(texts):
@@ -92,3 +92,20 @@ def test_the_query_finds_added_tokens_in_texts(spark, tmp_path):
         parts = [r for r in rows if r.doc_id == i]
         assert parts and all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in parts)
         assert (50256 in ids) == (i != 3)
+
+
+@pytest.mark.parametrize("special_tokens", [True, False])
+def test_ids_are_those_of_the_library_on_odd_and_long_texts(special_tokens):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    if not special_tokens:
+        library.encode_special_tokens = True
+    ids = packing.encoder(packing.default_vocabulary(), special_tokens)
+    draw = random.Random(2)
+    signs = ["a", "Ab", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "e\u0301", "😀", "字", "١", "²", "'s", "'LL", "!", "...", "<|endoftext|>", "<|endoftext", "|>", "\x00", "\u200b", "ß", "\r\n"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(40))) for _ in range(3000)]
+    texts += ["hello <|endoftext|> x", " " * 1_500_000 + "x", "\n" * 1_200_000, "word " * 300_000, "a" * 1_100_000, "<|endoftext|>" + " " * 1_100_000 + "<|endoftext|>"]
+    for t in texts:
+        assert ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:60]
+    assert 50256 in ids("hello <|endoftext|> x") or not special_tokens

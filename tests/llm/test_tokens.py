@@ -141,3 +141,16 @@ def test_count_query(spark):
         assert rows[k].n_words == len(words)
         if not text or len(text) < 10_000:
             assert rows[k].n_tokens == sum(greedy(w, pieces, pieces) for w in words)
+
+
+def test_words_that_cancel_out_in_sums_of_powers_are_counted_each(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} {other}"), (2, f"{other} {word}"), (3, word), (4, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(df).collect()}
+    assert got[1] == got[2] == got[3] + got[4]
+    encoded = {r.doc_id: r for r in unigram.encode_texts(df).collect()}
+    assert all(r.decodes for r in encoded.values()) and encoded[1].n_tokens == encoded[3].n_tokens + encoded[4].n_tokens
