@@ -234,3 +234,54 @@ def fnv1a(texts: pa.Array) -> pa.Array:
     said = texts.cast(pa.binary()).to_pylist()
     found = iter(_fnv([t for t in said if t is not None]))
     return pa.array([None if t is None else next(found) for t in said], pa.string())
+
+
+# --- paths and outputs in words ------------------------------------------------------------------------------------------
+
+
+def summarize_paths(paths: Column | str, limit: int) -> Column:
+    """The first paths, and how many more there are."""
+    paths = col(paths)
+    more = F.when(F.size(paths) > limit, F.array(F.concat(F.lit("and "), (F.size(paths) - limit).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.slice(paths, 1, limit), more), ", ")
+
+
+def preview_paths(paths: Column | str, limit: int) -> Column:
+    """The same in a listing's words; none for no path."""
+    paths = col(paths)
+    more = F.when(F.size(paths) > limit, F.array(F.concat(F.lit("... +"), (F.size(paths) - limit).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(paths) == 0, "none").otherwise(F.array_join(F.concat(F.slice(paths, 1, limit), more), ", "))
+
+
+def changed_path(root: str, path: Column | str) -> Column:
+    """A struct (path, error) for a path as a caller gives it: relative to root, slashes forward, ./ and / taken off; null for
+    nothing; an error for one outside root or with a .. in it."""
+    base = root.rstrip("/")
+    given = F.trim(col(path))
+    absolute = F.startswith(given, F.lit("/"))
+    inside = (given == base) | F.startswith(given, F.lit(base + "/"))
+    relative = F.translate(F.when(absolute, F.substring(given, F.lit(len(base) + 2), F.length(given))).otherwise(given), "\\", "/")
+    up = F.array_contains(F.split(relative, "/"), "..")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(relative), r"^(?:\./)+", ""), "^/+|/+$", "")
+    error = F.when((given != "") & absolute & ~inside, "outside root").when((given != "") & up, "parent traversal")
+    return F.struct(F.when(error.isNull() & (plain != ""), plain).alias("path"), error.alias("error"))
+
+
+def detail_metric(detail: Column | str, prefix: str, whole: bool = False) -> Column:
+    """The first segment of a detail text (a; b; c) that is the prefix and a number: the number."""
+    number = r"^\+?[0-9]+$" if whole else r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+    parts = F.transform(F.split(col(detail), ";"), lambda x: F.trim(x))
+    values = F.transform(F.filter(parts, lambda x: F.startswith(x, F.lit(prefix))), lambda x: F.substring(x, F.lit(len(prefix) + 1), F.length(x)))
+    good = F.filter(values, lambda x: x.rlike(number) & (F.lit(not whole) | (x.try_cast("long") <= 2**32 - 1)))
+    return F.get(good, F.lit(0)).try_cast("long" if whole else "double")
+
+
+def command_output(text: Column | str, most: int = 512) -> Column:
+    """What a command said, without white space around it, cut to `most` characters."""
+    plain = F.regexp_replace(F.regexp_replace(col(text), "\r\n", "\n"), r"^\s+|\s+$", "")
+    return F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("..."))).otherwise(plain)
+
+
+def first_line(text: Column | str) -> Column:
+    """The first line that is not blank, without white space around it."""
+    return F.get(F.filter(F.transform(F.split(col(text), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), F.lit(0))

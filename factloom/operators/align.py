@@ -133,9 +133,11 @@ def greedy(candidates: DataFrame, group: str = "language") -> DataFrame:
 def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least: int = 65, max_signals: int | None = None) -> DataFrame:
     """Pairs (ref_id, tgt_id, strategy, score): tier by tier over what earlier ones left; similarity last, if asked for.
 
-    Candidates of the last tier are pairs that share a declaration, a window, calls or a word of the name, found by
-    equi-joins; others cannot reach the least score. What a tier finds is written once. All
-    left-over signals take part there, or with max_signals so many of each side and language.
+    Candidates of the last tier are pairs that share a window, calls, a word of the name, or all of declaration, control,
+    literals and imports, found by equi-joins: of the 71 points that are left without the first three, one of the last four is worth
+    8 at least, so others cannot reach 65. For a lower least score a shared declaration is enough, and pairs that share nothing
+    of all this, 47 points at most, are not looked for. What a tier finds is written once. All left-over signals take part
+    there, or with max_signals so many of each side and language.
     """
     ref, tgt = cut(ref, "signals"), cut(tgt, "signals")
     pairs = None
@@ -147,7 +149,10 @@ def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least:
     if signature_aware:
         capped = lambda df: df if max_signals is None else df.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy(*_ORDER))).where(F.col("n") <= max_signals).drop("n")
         r, t = capped(ref), capped(tgt)
-        shared = F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("d:"), "declaration"), F.concat(F.lit("w:"), "window_hash"), F.concat(F.lit("c:"), "calls")), F.transform(F.split("name_key", " "), lambda x: F.concat(F.lit("n:"), x)))))
+        whole = F.when(F.col("import_signature") != "", F.concat_ws("|", F.lit("d:"), "declaration", "control", "literals", "import_signature"))
+        whole = whole if least >= 65 else F.concat(F.lit("d:"), "declaration")
+        keys_of = F.array_compact(F.array(whole, F.concat(F.lit("w:"), "window_hash"), F.when(F.col("calls") != "", F.concat(F.lit("c:"), "calls"))))
+        shared = F.explode(F.array_distinct(F.concat(keys_of, F.transform(F.split("name_key", " "), lambda x: F.concat(F.lit("n:"), x)))))
         keys = lambda df, name: df.select("language", shared.alias("key"), F.col("fact_id").alias(name))
         near = keys(r, "ref_id").join(keys(t, "tgt_id"), ["language", "key"]).select("ref_id", "tgt_id").distinct()
         scored = near.join(r.alias("r"), F.col("ref_id") == F.col("r.fact_id")).join(t.alias("t"), F.col("tgt_id") == F.col("t.fact_id"))

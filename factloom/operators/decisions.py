@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, col, compact_snippet, contains_any, text_terms, title_from_path
+from .graph import cut
 from .lookup import DECISION_MARKERS, has_marker, looks_like_decision_doc
 
 MAX_BYTES = 256 * 1024
+#: Terms of an automaton that goes to every task.
+MAX_TERMS = 200_000
 
 # What parts of a path are worth.
 PATH_POINTS = (("adr", 40), ("decision", 25), ("docs/", 6), ("plans/", 5), ("research/", 4))
@@ -57,26 +63,65 @@ def scan_documents(docs: DataFrame, markers=DECISION_MARKERS) -> DataFrame:
     return docs.select("relative_path", (F.size(marked) > 0).alias("marked"), F.coalesce(F.when(title != "", title), title_from_path("relative_path")).alias("title"), compact_snippet(F.get(marked, F.lit(0))).alias("snippet"))
 
 
+def term_hits(docs: DataFrame, terms: DataFrame, columns: tuple[str, ...], most: int = MAX_TERMS) -> DataFrame:
+    """(relative_path, column, term) for every term (a frame of one column) that a column of docs holds anywhere.
+
+    Up to `most` different terms go to every task as one automaton, which reads a text once; more are joined in blocks of
+    as many, each a pass over docs.
+    """
+    different = terms.where("term <> ''").distinct()
+    blocks = max(1, -(-different.count() // most))
+    types = "relative_path string, column string, term string"
+    parts = []
+    for k in range(blocks):
+        some = different if blocks == 1 else different.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        words = [r.term for r in some.collect()]  # a block is at most about `most` terms
+
+        def found(batches: Iterable[pa.RecordBatch], words: list[str] = words) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for name, text in zip(columns, values[1:], strict=True):
+                        rows += [(values[0], name, word) for word in {word for _, word in automaton.iter(text or "")}]
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["relative_path", "column", "term"])
+
+        if words:
+            parts.append(docs.select("relative_path", *columns).mapInArrow(found, types))
+    out = parts[0] if parts else docs.sparkSession.createDataFrame([], types)
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
 def rank_documents(requests: DataFrame, docs: DataFrame, impacted: DataFrame, limit: int = 4, markers=DECISION_MARKERS) -> DataFrame:
     """The best decision documents of each request (request_id, target), by score and path.
 
     docs: relative_path, language, extension, size_bytes, text. Points: what the path says, the target in path and text,
-    terms of impacted paths in path and text. Documents are scanned for terms by a join, term by term; only documents
-    with a marker count.
+    terms of impacted paths in path and text; only documents with a marker count. A request's candidates are the documents
+    that hold one of its terms, and the `limit` best by what their paths say: any other stands behind those.
     """
     good = docs.where(looks_like_decision_doc("relative_path", "language", "extension") & (F.col("size_bytes") <= MAX_BYTES) & has_marker("text", markers))
-    good = good.select("relative_path", ascii_lower("relative_path").alias("p"), ascii_lower("text").alias("t"))
-    terms = impacted.select("request_id", F.explode(text_terms("relative_path")).alias("term")).distinct().groupBy("request_id").agg(F.collect_list("term").alias("terms"))
-    asked = requests.select("request_id", ascii_lower("target").alias("target")).join(terms, "request_id", "left")
-    # every request is scored against every decision document: requests are a batch of bounded size, sent whole
-    pairs = good.join(F.broadcast(asked))
-    empty = F.array().cast("array<string>")
-    hits = lambda c: F.size(F.filter(F.coalesce("terms", empty), lambda x: F.contains(F.col(c), x)))
-    score = (
-        F.when(F.contains("p", F.lit("adr")), 40).otherwise(0) + F.when(F.contains("p", F.lit("decision")), 30).otherwise(0) + F.when(F.contains("p", "target"), 24).otherwise(0)
-        + 6 * hits("p") + F.when((F.col("target") != "") & F.contains("t", "target"), 18).otherwise(0) + 4 * hits("t")
-    )
-    ranked = pairs.select("request_id", "relative_path", score.alias("score"))
+    points = F.when(F.contains("p", F.lit("adr")), 40).otherwise(0) + F.when(F.contains("p", F.lit("decision")), 30).otherwise(0)
+    good = cut(good.select("relative_path", ascii_lower("relative_path").alias("p"), ascii_lower("text").alias("t")).withColumn("base", points), "decisions")
+    asked = requests.select("request_id", ascii_lower("target").alias("term"))
+    worth = impacted.select("request_id", F.explode(text_terms("relative_path")).alias("term")).distinct().withColumn("of_p", F.lit(6)).withColumn("of_t", F.lit(4))
+    worth = cut(worth.union(asked.where("term <> ''").withColumn("of_p", F.lit(24)).withColumn("of_t", F.lit(18))), "terms")
+    hits = cut(term_hits(good, worth.select("term"), ("p", "t")), "hits")
+    gained = hits.join(worth, "term").groupBy("request_id", "relative_path").agg(F.sum(F.when(F.col("column") == "p", F.col("of_p")).otherwise(F.col("of_t"))).alias("gained"))
+    # an empty target is in every path, and counts there alone
+    always = asked.select("request_id", F.when(F.coalesce("term", F.lit("x")) == "", 24).otherwise(0).alias("always")).distinct()
+    first = good.orderBy(F.desc("base"), "relative_path").limit(limit).select("relative_path")
+    near = requests.select("request_id").distinct().join(F.broadcast(first)).withColumn("gained", F.lit(0).cast("long"))  # `limit` rows
+    both = gained.unionByName(near).groupBy("request_id", "relative_path").agg(F.sum("gained").alias("gained"))
+    ranked = both.join(good.select("relative_path", "base"), "relative_path").join(always, "request_id")
+    ranked = ranked.select("request_id", "relative_path", (F.col("base") + F.col("gained") + F.col("always")).cast("int").alias("score"))
     place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "relative_path"))
     return ranked.withColumn("place", place).where(F.col("place") <= limit)
 

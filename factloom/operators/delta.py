@@ -48,34 +48,34 @@ def changed_scope(files: DataFrame, symbols: DataFrame, imports: DataFrame, cap:
     return paths if cap is None else paths.orderBy("relative_path").limit(cap)
 
 
-def semantic_delta(ref: dict[str, DataFrame], tgt: dict[str, DataFrame], cap: int | None = None) -> DataFrame:
-    """One row: files by change, counts of symbols and imports, targets by change, the scope, and whether all is equal."""
+def semantic_delta(ref: dict[str, DataFrame], tgt: dict[str, DataFrame], cap: int | None = None) -> dict[str, DataFrame]:
+    """What differs, as rows: files, symbols, imports and targets by change, the scope of paths they touch, and a summary of
+    one row with their counts and whether there are any."""
     files, symbols, imports = file_changes(ref["files"], tgt["files"]), symbol_changes(ref["symbols"], tgt["symbols"]), import_changes(ref["imports"], tgt["imports"])
     targets = target_changes(ref["verification_targets"], tgt["verification_targets"])
-    listed = lambda c, change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col(c))))
-    counted = lambda change, name: F.count_if(F.col("change") == change).alias(name)
-    parts = [
-        files.agg(*[listed("relative_path", c).alias(f"{c}_files") for c in ("added", "removed", "modified")]),
-        symbols.agg(counted("added", "added_symbols"), counted("removed", "removed_symbols")),
-        imports.agg(counted("added", "added_imports"), counted("removed", "removed_imports")),
-        targets.agg(listed("target", "added").alias("added_targets"), listed("target", "removed").alias("removed_targets")),
-        changed_scope(files, symbols, imports, cap).agg(F.array_sort(F.collect_list("relative_path")).alias("changed_scope")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    return out.withColumn("has_changes", has_changes())
-
-
-def has_changes() -> Column:
-    lists = ("added_files", "removed_files", "modified_files", "added_targets", "removed_targets")
-    counts = ("added_symbols", "removed_symbols", "added_imports", "removed_imports")
-    out = F.lit(False)
-    for c in lists:
-        out = out | (F.size(c) > 0)
-    for c in counts:
-        out = out | (F.col(c) > 0)
-    return out
+    kinds = {"files": (files, ("added", "removed", "modified")), "symbols": (symbols, ("added", "removed")), "imports": (imports, ("added", "removed")), "targets": (targets, ("added", "removed"))}
+    summary = None
+    for name, (rows, changes) in kinds.items():
+        part = rows.agg(*[F.count_if(F.col("change") == c).alias(f"{c}_{name}") for c in changes])
+        summary = part if summary is None else summary.join(F.broadcast(part))  # one row each
+    counts = [f"{c}_{name}" for name, (_, changes) in kinds.items() for c in changes]
+    summary = summary.withColumn("has_changes", F.greatest(*counts) > 0)
+    return {"files": files, "symbols": symbols, "imports": imports, "targets": targets, "scope": changed_scope(files, symbols, imports, cap), "summary": summary}
+
+
+def delta_report(delta: dict[str, DataFrame], most: int = 1000) -> DataFrame:
+    """The summary with lists to show: the first `most` of each kind of file, target and scope path, in order."""
+
+    def listed(rows: DataFrame, c: str, change: str, name: str) -> DataFrame:
+        some = rows.where(F.col("change") == change) if change else rows
+        return some.orderBy(c).limit(most).agg(F.array_sort(F.collect_list(c)).alias(name))
+
+    out = delta["summary"]
+    for change in ("added", "removed", "modified"):
+        out = out.join(F.broadcast(listed(delta["files"], "relative_path", change, f"{change}_file_list")))  # one row of `most` paths
+    for change in ("added", "removed"):
+        out = out.join(F.broadcast(listed(delta["targets"], "target", change, f"{change}_target_list")))
+    return out.join(F.broadcast(listed(delta["scope"], "relative_path", "", "changed_scope")))
 
 
 def resolve_changed(paths: DataFrame, known: DataFrame) -> DataFrame:

@@ -10,20 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def percentile(values: Column, p: int) -> Column:
-    """The sorted value at (n - 1) * p / 100, rounded down; 0 for none. An exact aggregate over all values."""
-    sorted_ = F.sort_array(F.collect_list(values))
-    at = F.floor((F.size(sorted_) - 1) * p / 100).cast("int")
-    return F.when(F.size(sorted_) == 0, F.lit(0)).otherwise(F.get(sorted_, F.greatest(at, F.lit(0))))
-
-
 def percentile_by(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
-    """The same for large groups: ranks by a window and the wanted rows, no list in memory."""
+    """The sorted values at (n - 1) * p / 100, rounded down, of each group with values; p: percents. Without keys 0 for none.
+
+    Equal values are counted first; a running count over the different ones finds the wanted ranks.
+    """
     from pyspark.sql import Window as W
 
+    many = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__many"))
     w = W.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * p / 100), F.col(value))).alias(f"p{p}") for p in percents])
+    ranked = many.withColumn("__to", F.sum("__many").over(w.orderBy(value))).withColumn("__n", F.sum("__many").over(w))
+    at = lambda p: F.floor((F.col("__n") - 1) * p / 100)
+    here = lambda p: (at(p) < F.col("__to")) & (at(p) >= F.col("__to") - F.col("__many"))
+    return ranked.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(here(p), F.col(value))), F.lit(0)).alias(f"p{p}") for p in percents])
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, import_leaf, receipt_id, render_check
+from ..functions.text import ascii_lower, import_leaf, receipt_id, render_check, summarize_paths
 from ..sources.schema import EDGE_KINDS, PRIORITIES
 from . import lookup
 from .lookup import ancestors, looks_like_test
 
 MAX_CHECK_EDGES = 24
 MAX_DOCUMENT_PATHS = 3
+# How many invariants of each kind a report names.
+MAX_SYMBOL_INVARIANTS, MAX_PATH_INVARIANTS, MAX_EDGE_INVARIANTS, MAX_CHECK_INVARIANTS = 4, 4, 6, 4
+# How much of a capsule a trace shows: entry points, modules, transitions, failures, tests, evidence.
+TRACE_LIMITS = {"compact": (2, 3, 2, 2, 2, 2), "standard": (4, 6, 6, 4, 4, 6)}
+STOP_CONDITION = "no deterministic required checks were discovered for this blast radius; narrow scope or add manual verification"
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
@@ -225,29 +230,95 @@ def expand_ordered(seeds: DataFrame, imports: DataFrame, max_hops: int, max_cand
     return ordered.where(F.col("place") <= max(1, max_candidates))
 
 
+def first_of(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first rows of each request."""
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(*order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def invariants(requests: DataFrame, seeds: DataFrame, named: DataFrame, imports: DataFrame, plan: DataFrame) -> DataFrame:
+    """(request_id, invariant): what must stay true around a target, each text once.
+
+    That its scope stays bounded, where its symbols are defined, which paths anchor it, which edges touch it, and which
+    checks must pass; the first few of each kind.
+    """
+    # The texts.
+    text = lambda *parts: F.concat(*[F.lit(x) if k % 2 == 0 else F.col(x).cast("string") for k, x in enumerate(parts)]).alias("invariant")
+    bounded = requests.join(seeds.select("request_id").distinct(), "request_id").select("request_id", text("scope around `", "target", "` remains bounded to snapshot-confirmed direct imports and reverse importers"))
+    symbols = first_of(named, MAX_SYMBOL_INVARIANTS, "relative_path", "line_number", "name", "fact_id").select("request_id", text("symbol `", "name", "` remains defined at `", "relative_path", "`:", "line_number"))
+    paths = first_of(seeds, MAX_PATH_INVARIANTS, "relative_path").select("request_id", text("anchor path `", "relative_path", "` remains part of the scoped change envelope"))
+    edges = imports.where("resolved_path is not null").select("request_id", text("direct structural edge `", "importer_path", "` -> `", "resolved_path", "` remains intact")).distinct()
+    edges = first_of(edges, MAX_EDGE_INVARIANTS, "invariant")
+    checks = plan.select("request_id", F.explode(F.slice("required_checks", 1, MAX_CHECK_INVARIANTS)).alias("check")).select("request_id", text("required verification remains passing: `", "check", "`"))
+    return bounded.union(symbols).union(paths).union(edges).union(checks).distinct()
+
+
 def blast_radius(requests: DataFrame, facts: dict[str, DataFrame], documents: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The parts of an impact report for a batch of targets: impacted nodes, relationships, plan, receipts and capsules."""
+    """The parts of an impact report for a batch of targets: impacted nodes, relationships, plan, invariants, receipts and
+    capsules. Definitions are those of the target's symbols, or, if it names none, of the paths where it is."""
     # every part below starts from these: they are written once
     seeds = cut(lookup.seed_paths(facts["files"], facts["symbols"], requests), "seeds")
     paths = cut(impacted_paths(seeds, facts["imports"]), "paths")
-    named = lookup.exact_symbol(facts["symbols"], requests)
+    named = cut(lookup.exact_symbol(facts["symbols"], requests), "named")
     nodes = named.select("request_id", F.lit(0).alias("part"), symbol_node("name", "relative_path").alias("node")).union(paths.select("request_id", F.lit(1), file_node("relative_path"))).distinct()
     nodes = nodes.withColumn("place", F.row_number().over(W.partitionBy("request_id").orderBy("part", "node")))
     plan = cut(verification_plan(paths, facts["verification_targets"]), "plan")
-    symbols, imports = defined_symbols(paths, facts["symbols"]), touching_imports(seeds, facts["imports"])
+    unnamed = seeds.join(named.select("request_id").distinct(), "request_id", "left_anti")
+    symbols = named.unionByName(defined_symbols(unnamed, facts["symbols"]))
+    imports = cut(touching_imports(seeds, facts["imports"]), "touching")
     edges = [define_edges(symbols), reference_edges(imports), call_edges(imports, facts["symbols"]), check_edges(paths, plan)]
     if documents is not None:
         edges.append(document_edges(paths, documents, requests))
     related = cut(relationships(*edges), "relationships")
     receipts = related.select("request_id", F.explode("evidence_ids").alias("id")).distinct()
-    return {"seeds": seeds, "paths": paths, "nodes": nodes, "plan": plan, "relationships": related, "receipts": receipts, "capsules": capsules(requests, named, paths, related, plan)}
+    return {
+        "seeds": seeds, "paths": paths, "nodes": nodes, "plan": plan, "relationships": related, "receipts": receipts,
+        "invariants": invariants(requests, seeds, named, imports, plan), "capsules": capsules(requests, named, paths, related, plan),
+    }
 
 
 def capsules(requests: DataFrame, named: DataFrame, paths: DataFrame, related: DataFrame, plan: DataFrame) -> DataFrame:
-    """A flow capsule for each request: entry points, modules, transitions and tests."""
+    """A flow capsule for each request with impacted paths: entry points, modules, transitions, failures, tests and evidence."""
     entry = named.groupBy("request_id").agg(F.array_sort(F.collect_set(symbol_node("name", "relative_path"))).alias("entry"))
     modules = paths.groupBy("request_id").agg(F.array_sort(F.collect_set("relative_path")).alias("core_modules"))
-    steps = related.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "summary"))).alias("s")).select("request_id", F.col("s.summary").alias("transitions"))
-    out = requests.select("request_id", "target").join(modules, "request_id").join(entry, "request_id", "left").join(steps, "request_id", "left").join(plan.select("request_id", "required_checks"), "request_id", "left")
+    steps = related.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "summary"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("ids"))
+    steps = steps.select("request_id", F.col("s.summary").alias("transitions"), F.filter("ids", lambda x: ~F.startswith(x, F.lit("ev_verification_target"))).alias("evidence_ids"))
+    out = requests.select("request_id", "target").join(modules, "request_id").join(entry, "request_id", "left").join(steps, "request_id", "left").join(plan.select("request_id", "required_checks", "stop"), "request_id", "left")
     points = F.coalesce("entry", F.transform("core_modules", lambda p: F.concat(F.lit("file:"), p)))
-    return out.select("request_id", "target", points.alias("entrypoints"), "core_modules", "transitions", F.filter("required_checks", looks_like_test).alias("tests"))
+    none = F.array().cast("array<string>")
+    failures = F.when(F.col("stop"), F.array(F.lit(STOP_CONDITION))).otherwise(none)
+    return out.select(
+        "request_id", "target", F.concat(F.lit("structural flow around `"), "target", F.lit("`")).alias("name"), points.alias("entrypoints"), "core_modules", F.coalesce("transitions", none).alias("transitions"),
+        failures.alias("failure_modes"), F.filter("required_checks", looks_like_test).alias("tests"), F.coalesce("evidence_ids", none).alias("evidence_ids"),
+    )
+
+
+def flow_trace(found: DataFrame, depth: Column | str) -> DataFrame:
+    """Capsules cut to what a depth (compact, standard, or all of it) shows."""
+    parts = ("entrypoints", "core_modules", "transitions", "failure_modes", "tests", "evidence_ids")
+    depth = F.col(depth) if isinstance(depth, str) else depth
+
+    def shown(k: int, c: str) -> Column:
+        out = F.col(c)
+        for name, limits in TRACE_LIMITS.items():
+            out = F.when(depth == name, F.slice(c, 1, limits[k])).otherwise(out)
+        return out.alias(c)
+
+    return found.select("request_id", "name", *[shown(k, c) for k, c in enumerate(parts)])
+
+
+def render_capsule(found: DataFrame) -> DataFrame:
+    """A line for each capsule: its entry points, and its first transitions or, without any, its first modules."""
+    rest = F.when(F.size("transitions") == 0, F.concat(F.lit("core modules "), summarize_paths("core_modules", 4))).otherwise(summarize_paths("transitions", 2))
+    return found.select("request_id", F.concat("name", F.lit(": "), F.array_join("entrypoints", ", "), F.lit("; "), rest).alias("line"))
+
+
+def explain_flow(requests: DataFrame, facts: dict[str, DataFrame], depth: str = "standard") -> DataFrame:
+    """For each target the trace of its flow, with the sizes of the report behind it and its checks."""
+    report = blast_radius(requests, facts)
+    count = lambda part, name: report[part].groupBy("request_id").agg(F.count("*").alias(name))
+    checks = report["plan"].select("request_id", F.concat("required_checks", "recommended_checks").alias("verification_targets"))
+    out = flow_trace(report["capsules"], F.lit(depth)).join(checks, "request_id")
+    for part, name in (("nodes", "impacted_nodes"), ("relationships", "relationships")):
+        out = out.join(count(part, name), "request_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -113,3 +113,11 @@ def matching_receipts(receipts: DataFrame, wanted: DataFrame) -> DataFrame:
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_set("id")).alias("receipt_ids"))
     )
+
+
+def check_receipts(receipts: DataFrame, checks: DataFrame) -> DataFrame:
+    """Ids of the receipts of verification targets whose ref is one of a request's checks (request_id, check), white space
+    around either aside."""
+    asked = checks.select("request_id", F.trim("check").alias("ref")).where("ref <> ''").distinct()
+    held = receipts.where("source_type = 'verification_target'").select(F.trim("source_ref").alias("ref"), "id")
+    return asked.join(held, "ref").select("request_id", "id").distinct()

@@ -76,16 +76,16 @@ def _sides(spark, d):
     (A.FILES, A.TWO, _CHANGES, A.SYMBOLS, A.SYMBOLS_TWO, A.PART_IMPORTS, _IMPORTS_TWO),
 )
 def h1_semantic_delta(spark, d):
-    out = delta.semantic_delta(*_sides(spark, d))
-    size = lambda c: F.size(c).cast("long").alias(c)
-    return out.select(size("added_files"), size("removed_files"), size("modified_files"), "added_symbols", "removed_symbols", "added_imports", "removed_imports", "has_changes")
+    counts = ("added_files", "removed_files", "modified_files", "added_symbols", "removed_symbols", "added_imports", "removed_imports", "has_changes")
+    return delta.semantic_delta(*_sides(spark, d))["summary"].select(*counts)
 
 
 @add("SELECT false AS has_changes, 0 AS scope")
 def h2_no_changes(spark, d):
     """A snapshot against itself."""
     side = _sides(spark, d)[0]
-    return delta.semantic_delta(side, side).select("has_changes", F.size("changed_scope").alias("scope"))
+    found = delta.semantic_delta(side, side)
+    return found["summary"].select("has_changes").join(F.broadcast(found["scope"].agg(F.count("*").alias("scope"))))  # one row each
 
 
 @add(

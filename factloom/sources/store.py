@@ -45,6 +45,34 @@ def read_inventory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: df.dropDuplicates() for n, df in out.items()}
 
 
-def upsert_state(old: DataFrame, new: DataFrame, keys: list[str], root: str) -> None:
-    """State rows by key, the new ones winning, written beside the old as a whole."""
-    old.join(new.select(*keys), keys, "left_anti").unionByName(new).write.mode("overwrite").parquet(root)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table at path, which keeps them as folders v1, v2, ..."""
+    marks = spark._jvm.org.apache.hadoop.fs
+    root = marks.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(root) if fs.exists(root) else []
+    return sorted(int(s.getPath().getName()[1:]) for s in found if fs.exists(marks.Path(s.getPath(), "_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of such a table."""
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
+
+
+def upsert_state(new: DataFrame, keys: list[str], path: str) -> int:
+    """State rows by key in the table at path, the new ones winning: a new version beside the old, which readers see once
+    it is complete. Gives its number."""
+    spark = new.sparkSession
+    found = versions(spark, path)
+    rows = new
+    if found:
+        old = spark.read.schema(new.schema).parquet(f"{path}/v{found[-1]}")
+        rows = old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    number = found[-1] + 1 if found else 1
+    rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+    return number
+
+
+def pinned(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """One version of such a table, whatever comes after it."""
+    return spark.read.parquet(f"{path}/v{number}")

@@ -13,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.brief import refresh_jobs
 from ..operators.delta import merge_paths
+from ..sources.store import current, versions
+
+__all__ = ["controller", "current", "ema", "jobs_stream", "latest_wins", "running_stats", "running_stats_stream", "upsert_files"]
 
 OLD, NEW = 0.7, 0.3
 
@@ -60,10 +63,25 @@ def running_stats_stream(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def controller(outcomes: DataFrame, keys: list[str], floor: float) -> DataFrame:
-    """For each step of a key (at, gain) the forecast before it and whether the controller goes on."""
-    before = F.collect_list(F.struct("at", "gain")).over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-    forecast = ema(F.transform(F.array_sort(before), lambda x: x["gain"]))
-    out = outcomes.withColumn("forecast", forecast)
+    """For each step of a key (at, gain) the forecast before it and whether the controller goes on.
+
+    Rows of a key stream by in order of time and gain: what is held is one number.
+    """
+    schema = outcomes.schema.add("forecast", "double")
+
+    def forecast(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, mean = None, None
+        for rows in parts:
+            out = []
+            for key, gain in zip(rows[keys].itertuples(index=False, name=None), rows["gain"], strict=True):
+                if key != now:
+                    now, mean = key, None
+                out.append(mean)
+                mean = gain if mean is None else OLD * mean + NEW * gain
+            yield rows.assign(forecast=pd.array(out, dtype="Float64"))
+
+    ordered = outcomes.repartition(*keys).sortWithinPartitions(*keys, "at", "gain")
+    out = ordered.mapInPandas(forecast, schema)
     return out.withColumn("goes_on", F.col("forecast").isNull() | (F.col("forecast") >= floor))
 
 
@@ -80,26 +98,13 @@ def upsert_files(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWri
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        marks = spark._jvm.org.apache.hadoop.fs
-        root = marks.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = [int(s.getPath().getName()[1:]) for s in (fs.listStatus(root) if fs.exists(root) else []) if fs.exists(marks.Path(s.getPath(), "_SUCCESS"))]
-        before = max((v for v in versions if v < epoch + 1), default=None)
+        before = max((v for v in versions(spark, path) if v < epoch + 1), default=None)
         merged = batch if before is None else merge_paths(spark.read.schema(batch.schema).parquet(f"{path}/v{before}"), batch, batch)
         merged.write.mode("overwrite").parquet(f"{path}/v{epoch + 1}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def current(spark, path: str) -> DataFrame:
-    """The newest complete version of an upserted table."""
-    marks = spark._jvm.org.apache.hadoop.fs
-    root = marks.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if fs.exists(marks.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(versions)}")
-
-
 def jobs_stream(changes: DataFrame) -> DataFrame:
     """Maintenance work of a stream of change sets: stateless, as in a batch."""
     return refresh_jobs(changes)

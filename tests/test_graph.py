@@ -28,6 +28,17 @@ def test_blast_radius(spark):
     plan = {r.request_id: r for r in report["plan"].collect()}
     assert plan[1].required_checks == ["cargo test"] and plan[1].recommended_checks == ["cargo check"] and not plan[1].stop and plan[1].coverage_gaps == [] and set(plan) == {1, 2}
     capsule = report["capsules"].where("request_id = 1").first()
+    # definitions are the target's own symbols, or those of the path that it names
+    assert {e for e in edges if e[0] == "defines"} == {("defines", "file:src/lib.rs", "symbol:RepositoryScanner@src/lib.rs")}
+    assert {(r.src, r.dst) for r in report["relationships"].where("request_id = 2 and kind = 'defines'").collect()} == {("file:src/inner.rs", "symbol:inner@src/inner.rs")}
+    told = {r.invariant for r in report["invariants"].where("request_id = 1").collect()}
+    assert "scope around `RepositoryScanner` remains bounded to snapshot-confirmed direct imports and reverse importers" in told
+    assert {"anchor path `src/lib.rs` remains part of the scoped change envelope", "direct structural edge `src/lib.rs` -> `src/inner.rs` remains intact", "required verification remains passing: `cargo test`"} <= told
+    assert report["invariants"].where("request_id = 3").count() == 0 and any(t.startswith("symbol `RepositoryScanner` remains defined at `src/lib.rs`:") for t in told)
+    assert capsule.name == "structural flow around `RepositoryScanner`" and capsule.failure_modes == []
+    assert graph.render_capsule(report["capsules"].where("request_id = 1")).first().line.startswith("structural flow around `RepositoryScanner`: symbol:RepositoryScanner@src/lib.rs; ")
+    trace = graph.explain_flow(requests, facts(spark), "compact").where("request_id = 1").first()
+    assert trace.impacted_nodes == 3 and len(trace.transitions) == 2 and trace.verification_targets == ["cargo test", "cargo check"]
     assert capsule.entrypoints == ["symbol:RepositoryScanner@src/lib.rs"] and capsule.core_modules == ["src/inner.rs", "src/lib.rs"] and capsule.tests == ["cargo test"] and len(capsule.transitions) == len(edges)
 
 

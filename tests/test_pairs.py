@@ -24,10 +24,12 @@ def outcome(spark, ref, tgt, **more):
 def test_delta_of_equal_snapshots_is_empty_and_merge_of_all_is_the_target(spark):
     a = side(spark, [("f", "a.rs", 1)], {"a.rs": "1", "b.rs": "1"}, [("a.rs", "b", "b.rs")])
     b = side(spark, [("f", "a.rs", 1), ("g", "c.rs", 1)], {"a.rs": "2", "c.rs": "1"}, [("c.rs", "a", "a.rs")])
-    assert not delta.semantic_delta(a, a).first().has_changes
-    d = delta.semantic_delta(a, b).first()
-    assert (d.added_files, d.removed_files, d.modified_files, d.added_symbols, d.added_imports, d.removed_imports) == (["c.rs"], ["b.rs"], ["a.rs"], 1, 1, 1)
-    assert d.changed_scope == ["a.rs", "b.rs", "c.rs"] and d.has_changes
+    assert not delta.semantic_delta(a, a)["summary"].first().has_changes
+    found = delta.semantic_delta(a, b)
+    d = delta.delta_report(found).first()
+    assert (d.added_files, d.removed_files, d.modified_files, d.added_symbols, d.added_imports, d.removed_imports) == (1, 1, 1, 1, 1, 1)
+    assert (d.added_file_list, d.removed_file_list, d.modified_file_list) == (["c.rs"], ["b.rs"], ["a.rs"])
+    assert d.changed_scope == ["a.rs", "b.rs", "c.rs"] and d.has_changes and sorted(r.relative_path for r in found["scope"].collect()) == d.changed_scope
     paths = a["files"].select("relative_path").union(b["files"].select("relative_path")).distinct()
     merged = delta.merge_snapshot(a, b, paths)
     for n in ("files", "symbols", "imports"):

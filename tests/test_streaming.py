@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import brief, evals
+from factloom.sources import store
 from factloom.streaming import incremental
 
 SCHEMA = "key string, at long, missing long, healed long, gain double"
@@ -59,7 +60,29 @@ def test_jobs_and_controller(spark):
 
 def test_percentiles_and_summary(spark):
     rows = spark.createDataFrame([(float(x),) for x in (40, 10, 30, 20)], "x double")
-    assert tuple(rows.agg(evals.percentile(F.col("x"), 50), evals.percentile(F.col("x"), 95)).first()) == (20.0, 30.0)
-    assert rows.where("x > 99").agg(evals.percentile(F.col("x"), 50).alias("p")).first().p == 0
+    assert tuple(evals.percentile_by(rows, [], "x", [50, 95]).first()) == (20.0, 30.0)
+    assert evals.percentile_by(rows.where("x > 99"), [], "x", [50]).first().p50 == 0
+    many = spark.createDataFrame([("a", float(x % 7)) for x in range(100)] + [("b", 1.0)], "k string, x double")
+    assert {r.k: (r.p50, r.p95) for r in evals.percentile_by(many, ["k"], "x", [50, 95]).collect()} == {"a": (sorted(x % 7 for x in range(100))[49], 6.0), "b": (1.0, 1.0)}
     results = spark.createDataFrame([(0.4, 0.6, 120), (0.5, 0.8, 180)], "baseline_score double, uplifted_score double, latency_ms long")
     assert [round(x, 9) for x in evals.summarize(results).first()] == [0.45, 0.7, 0.25, 150.0] and tuple(evals.summarize(results.limit(0)).first()) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_state_is_written_beside_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v long")
+    assert store.upsert_state(rows(("a", 1), ("b", 1)), ["k"], path) == 1
+    assert store.upsert_state(rows(("b", 2), ("c", 2)), ["k"], path) == 2
+    assert sorted(map(tuple, store.current(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    assert sorted(map(tuple, store.pinned(spark, path, 1).collect())) == [("a", 1), ("b", 1)]
+
+
+def test_forecasts_of_many_keys_stream_by(spark):
+    rows = [(k, t, float((k * 7 + t * 13) % 10)) for k in range(20) for t in range(30)]
+    got = {(r.key, r.at): r.forecast for r in incremental.controller(spark.createDataFrame(rows, "key long, at long, gain double").repartition(5), ["key"], 1.0).collect()}
+    for k in range(20):
+        mean = None
+        for key, t, gain in rows:
+            if key == k:
+                assert got[k, t] is None if mean is None else abs(got[k, t] - mean) < 1e-9
+                mean = gain if mean is None else 0.7 * mean + 0.3 * gain
