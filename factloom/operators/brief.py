@@ -153,6 +153,14 @@ def brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Dat
     return out.select("request_id", "classification", "latency_class", "max_hops", "max_candidates", "suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs", "impact_level", "sufficient", "insufficient_slots", (F.col("wants_second_pass") & F.col("second_pass")).alias("second_pass"), F.lit(readiness).alias("readiness"))
 
 
+def impact_summary(suggested: DataFrame, scopes: DataFrame) -> DataFrame:
+    """For each request with suggested files (request_id, suggested_files) and its scope: what they say of its impact."""
+    both = suggested.join(scopes, "request_id").where(F.size("suggested_files") > 0)
+    # The text.
+    text = F.concat(F.lit("Snapshot-backed exact and structural lookup suggests "), F.size("suggested_files").cast("string"), F.lit(" indexed file(s) are relevant to `"), "scope", F.lit("`."))
+    return both.select("request_id", F.col("scope").alias("reference"), text.alias("summary"), F.col("suggested_files").alias("changed_scope"), rules.impact_level(F.size("suggested_files")).alias("freshness_impact"))
+
+
 #: Kinds of work after a change, with their urgency.
 ALWAYS = (("update_exact_index", "immediate"), ("update_lexical_index", "immediate"), ("update_structural_index", "immediate"), ("mark_stale_records", "immediate"))
 CODE = (("regenerate_flow_capsules", "soon"), ("regenerate_architecture_capsules", "soon"))

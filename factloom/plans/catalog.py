@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_facts, catalog_more, catalog_pairs, catalog_rules
+from . import catalog_facts, catalog_more, catalog_pairs, catalog_rules, catalog_sources
 
 FLAGSHIP = "c13_bounded_expansion"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (catalog_facts, catalog_pairs, catalog_rules, catalog_more):
+for _part in (catalog_facts, catalog_pairs, catalog_rules, catalog_more, catalog_sources):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

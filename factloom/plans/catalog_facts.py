@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import align, decisions, graph, lexical, lookup
 from ..sources import scan
 from . import adapters as A
+from . import reports as R
 from .registry import Registry
 
 add = Registry()
@@ -159,19 +160,7 @@ def c5_reference_edges(spark, d):
     return e.select("request_id", "kind", "src", "dst", "summary")
 
 
-_CALLS = """f AS (SELECT * FROM symbols WHERE kind = 'function'),
-called AS (
-  SELECT i.fact_id, row_number() OVER (PARTITION BY i.fact_id ORDER BY f.line_number, f.name, f.fact_id) AS n, f.name AS callee, f.relative_path AS called_path, f.line_number AS callee_line
-  FROM imports i JOIN f ON f.relative_path = i.resolved_path AND lower(f.name) = lower(regexp_extract(i.import_spec, '([^:/.]+)$', 1))
-), calling AS (
-  SELECT i.fact_id, row_number() OVER (PARTITION BY i.fact_id ORDER BY f.line_number <= i.line_number DESC, CASE WHEN f.line_number <= i.line_number THEN -f.line_number ELSE f.line_number END,
-      CASE WHEN f.line_number <= i.line_number THEN f.name END DESC, CASE WHEN f.line_number > i.line_number THEN f.name END, CASE WHEN f.line_number <= i.line_number THEN f.fact_id END DESC, f.fact_id) AS n,
-    f.name AS caller, f.relative_path AS calling_path, f.line_number AS caller_line
-  FROM imports i JOIN f ON f.relative_path = i.importer_path
-)"""
-
-
-@add("SELECT c.fact_id, caller, calling_path, caller_line, callee, called_path, callee_line FROM called c JOIN calling g ON c.fact_id = g.fact_id WHERE c.n = 1 AND g.n = 1", (A.SYMBOLS, A.PART_IMPORTS, _CALLS))
+@add("SELECT c.fact_id, caller, calling_path, caller_line, callee, called_path, callee_line FROM called c JOIN calling g ON c.fact_id = g.fact_id WHERE c.n = 1 AND g.n = 1", (A.SYMBOLS, A.PART_IMPORTS, R.CALLS))
 def c6_call_pairs(spark, d):
     """Who calls what: the called function by name, the calling one as of the import's line."""
     return graph.call_pairs(A.part_imports(spark, d), A.symbols(spark, d))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import brief, decisions, evals, graph, lexical, obligations
 from ..streaming import incremental
 from . import adapters as A
+from . import reports as R
 from .registry import Registry
 
 add = Registry()
@@ -436,9 +437,14 @@ def k4_controller(spark, d):
 # --- whole briefs ----------------------------------------------------------------------------------------------------
 
 
-@add()
+@add(
+    """SELECT t AS request_id, 'safe_edit' AS classification, 'interactive' AS latency_class, 2 AS max_hops, 24 AS max_candidates, files AS suggested_files, [] AS required_checks, ['cargo xtask check'] AS recommended_checks, [] AS coverage_gaps, [] AS decision_docs,
+  CASE WHEN n <= 1 THEN 'none' WHEN n <= 4 THEN 'localized' WHEN n <= 8 THEN 'moderate' ELSE 'high' END AS impact_level, false AS sufficient, ['verification_targets'] AS insufficient_slots, false AS second_pass, 'ready' AS readiness
+FROM suggested JOIN (SELECT t, count(*) AS n FROM near GROUP BY t) USING (t)""",
+    (A.SYMBOLS, A.PART_IMPORTS, R.ASKED, R.SEEDS, R.BRIEFS),
+)
 def i12_briefs(spark, d):
-    """A brief for every brand and part name: tested on fixtures, as its parts are held against SQL one by one."""
+    """A brief for every brand and part name. All ask for the same kind of work, and no check is required, so that one slot stays open."""
     s, i = A.symbols(spark, d), A.part_imports(spark, d)
     files = s.select(F.lit("parts").alias("snapshot_id"), "relative_path").distinct().select("snapshot_id", "relative_path", F.lit("rs").alias("extension"), F.lit("rust").alias("language"), F.lit(10).cast("long").alias("size_bytes"), F.lit("h").alias("content_hash"))
     facts = {"files": files, "symbols": s, "imports": i, "verification_targets": A.targets(spark)}
@@ -449,7 +455,7 @@ def i12_briefs(spark, d):
     return brief.brief(asked, facts, index, docs)
 
 
-@add()
+@add(R.PLACED, (A.SYMBOLS, A.PART_IMPORTS, R.CALLS, R.BRANDS, R.SEEDS, R.ONE_CHECK, R.RELATED))
 def c12_blast_radius(spark, d):
     """Relationships of the blast radius of every brand: definitions, references, imports, calls and checks in one."""
     s, i = A.symbols(spark, d), A.part_imports(spark, d)

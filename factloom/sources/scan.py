@@ -52,19 +52,26 @@ def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int, bytes]]:
 
 
 def read_tree(spark: SparkSession, root: str, snapshot_id: str, more_folders: tuple[str, ...] = ()) -> DataFrame:
-    """Files below root with their bytes; sizes are filtered before contents are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES).select("path", "length", "content")
+    """Files below root with their bytes. The listing is filtered by size and path, and contents are read of what is left."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    relative = F.substring(plain(F.col("path")), F.length(plain(F.lit(base))) + 2, F.length("path"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = listed.where(F.col("length") <= MAX_BYTES).where(included(relative, "length", more_folders)).select("path", "length", "content")
     raw = raw.union(spark.createDataFrame(empty_files(spark, root), "path string, length long, content binary"))
-    base = root.rstrip("/")
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    relative = F.substring(path, F.lit(len(base) + 2), F.length(path))
     rows = raw.select(F.lit(snapshot_id).alias("snapshot_id"), relative.alias("relative_path"), F.col("length").alias("size_bytes"), "content")
     return rows.where(included("relative_path", "size_bytes", more_folders))
 
 
 def scan(spark: SparkSession, root: str, snapshot_id: str, more_folders: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """files, symbols, imports and verification targets of a tree. Files that are no UTF-8 have no text and no facts."""
-    rows = read_tree(spark, root, snapshot_id, more_folders).withColumn("extension", extension("relative_path")).withColumn("language", language("extension"))
+    return facts_of(read_tree(spark, root, snapshot_id, more_folders))
+
+
+def facts_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The same of rows (snapshot_id, relative_path, size_bytes, content), whatever store they come from."""
+    rows = rows.withColumn("extension", extension("relative_path")).withColumn("language", language("extension"))
     rows = rows.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
     files = rows.select("snapshot_id", "relative_path", "extension", "language", "size_bytes", fnv1a(F.col("content").cast("binary").cast("string")).alias("content_hash"))
     sources = rows.select("snapshot_id", "relative_path", "language", "text")

@@ -39,7 +39,7 @@ def test_query(spark, database, name):
         assert sorted(names) == columns
         assert got == sorted((tuple(plain(row[names.index(c)]) for c in columns) for row in found.fetchall()), key=repr)
     else:
-        assert isinstance(got, list)
+        assert got  # its rows are held against brute force where it is tested
 
 
 def test_entry(spark):
