@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .chat import chat_digests, event_log
 from .common import table
+from .hard_negatives import hard_negatives
 from .line_dedup import drop_repeated_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import classify_quality
 from .quality_rules import line_quality
+from .sharding import shard
+from .spelling import spelling_variants
 from .token_count import count_tokens
 from .unigram import encode_texts
 
@@ -65,6 +68,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong on purpose, so that some rows of other labels are near."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
@@ -76,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _OP1 = r"""
@@ -166,4 +186,85 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS componen
 FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN component ON doc = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": _OP1, "op8_line_dedup": _OP8, "op9_quality_rules": _OP9, "op10_minhash_near_dedup": _OP10}
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), r AS MATERIALIZED (
+  SELECT doc_id, strlen(text) + 8 AS size, CAST('0x' || left(md5(text), 15) AS BIGINT) AS key,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), crc
+), whole AS (SELECT CAST(sum(size) AS BIGINT) AS total, CAST(sum(size) AS BIGINT) // 768 AS most_bytes, count(*) // 768 AS most_rows FROM r
+), long AS MATERIALIZED (SELECT r.*, row_number() OVER (ORDER BY size DESC, key, doc_id NULLS FIRST) AS k FROM r, whole WHERE size > most_bytes
+), deal AS (
+  SELECT CAST(0 AS BIGINT) AS k, list_transform(range(24), lambda x: CAST(0 AS BIGINT)) AS loads, CAST(0 AS BIGINT) AS shard
+  UNION ALL
+  SELECT long.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + size ELSE x END), CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT)
+  FROM deal JOIN long ON long.k = deal.k + 1
+), loaded AS (SELECT unnest(range(24)) AS shard, unnest(loads) AS load FROM (SELECT arg_max(loads, k) AS loads FROM deal)
+), more AS (SELECT total - (SELECT sum(load) FROM loaded) AS bytes FROM whole
+), level AS (
+  SELECT min((bytes + below + k - 1) // k) AS l FROM (SELECT sum(load) OVER (ORDER BY load, shard) AS below, row_number() OVER (ORDER BY load, shard) AS k FROM loaded), more
+), ends AS (SELECT shard, sum(greatest(0, l - load)) OVER (ORDER BY shard) AS e FROM loaded, level
+), rest AS (
+  SELECT r.*, sum(size) OVER g AS unit, count(*) OVER g AS copies, sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY key, doc_id NULLS FIRST) AS number
+  FROM r, whole WHERE size <= most_bytes WINDOW g AS (PARTITION BY key)
+), placed AS (
+  SELECT doc_id, size, text_crc32, number, CASE WHEN unit > most_bytes OR copies > most_rows THEN 2 * upto - size ELSE 2 * min(upto - size) OVER (PARTITION BY key) + unit END AS middle FROM rest, whole
+), short AS (SELECT p.*, (SELECT count(*) FROM ends WHERE shard < 23 AND 2 * e <= middle) AS shard FROM placed p
+), dealt AS (
+  SELECT doc_id, size, text_crc32, d.shard, 0 AS later, k AS number FROM long JOIN deal d USING (k)
+  UNION ALL SELECT doc_id, size, text_crc32, shard, 1, number FROM short
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY later, number) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""
+
+_OP12 = r"""
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, e.vec_id, e.label, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON len(a.v) = len(e.v) AND (a.vec_id <> e.vec_id OR a.label <> e.label OR a.v <> e.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+_OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), runs AS (SELECT id, run, count(*) AS n FROM run WHERE length(run) >= 6 GROUP BY ALL
+), bytes AS (
+  SELECT *, list_transform(regexp_extract_all(hex(id || ':' || run), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pair AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, min_by(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM pair GROUP BY ALL
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+), chain AS (
+  SELECT word, form AS leads, 1 AS k FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN formed f ON f.word = c.leads WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN (SELECT word, max_by(leads, k) AS root FROM chain GROUP BY word) r ON r.word = f.word
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": _OP1, "op8_line_dedup": _OP8, "op9_quality_rules": _OP9, "op10_minhash_near_dedup": _OP10,
+    "op11_sharding": _OP11, "op12_hard_negatives": _OP12, "op13_spelling_variants": _OP13,
+}
