@@ -3,8 +3,10 @@
 One edit spoils at most two of a word's bigrams. So of the three rarest bigrams of a word at least one is in the other word
 of a near pair too, moved by at most one place; and with one global order of bigrams, by frequency among all words, it is
 among the rarest three of both, or of one and tied with the third of the other. Words are joined on these bigrams alone, with
-positions at most one apart, and pairs are verified in the join: its only rows are near pairs. All words are counted
-first, inside each task and then over all; the bigrams of 90 letters are at most 8,100, whatever the texts.
+positions at most one apart. The join compares lengths, letters and the first HEAD letters, so that hardly a row leaves it
+that is not a near pair; what does is verified on whole words. A bigram's row has a word's number and head, so long words
+cost no more than their bigrams. All words are counted first, inside each task and then over all; the bigrams of 90
+letters are at most 8,100, whatever the texts.
 
 Defined results: a null text has no words; a null id is an empty string in what is hashed; equal rows count each; a
 run of letters may have any length; an empty table gives an empty result; other columns are ignored.
@@ -12,6 +14,7 @@ run of letters may have any length; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -28,6 +31,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 SLIPS = 199
 #: Rarest bigrams that are joined, and how far they may move: for one edit of bigrams.
 RAREST, MOVED = 3, 1
+#: Letters of a word that the join compares, and rows that a task makes at a time.
+HEAD, ROWS = 32, 50_000
 #: Characters of a text that are searched at a time, and words that a task counts before it hands them on.
 PIECE, HELD = 1 << 22, 200_000
 
@@ -89,11 +94,11 @@ def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
 
 
-def rarest(word: str, order: dict[str, int]) -> list[tuple[int, int]]:
+def rarest(word: str, order: dict[str, int]) -> Iterator[tuple[int, int]]:
     """(place of the bigram in the global order, position in the word) of the RAREST rarest, and of what ties with the last."""
-    all_ = [(order[word[i : i + 2]], i) for i in range(len(word) - 1)]
-    last = sorted(all_)[:RAREST][-1][0] if all_ else 0
-    return [x for x in all_ if x[0] <= last]
+    of = lambda i: order[word[i : i + 2]]
+    last = heapq.nsmallest(RAREST, map(of, range(len(word) - 1)))[-1]
+    return ((place, i) for i in range(len(word) - 1) if (place := of(i)) <= last)
 
 
 def letters(word: str) -> int:
@@ -106,30 +111,39 @@ def letters(word: str) -> int:
 
 
 def _signed(order: dict[str, int]):
+    names = ["id", "head", "size", "letters", "gram", "position"]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        done = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for first in range(0, len(words), 1024):
-                some = words[first : first + 1024]
-                rows = [(at, gram, position) for at, word in enumerate(some) for gram, position in rarest(word, order)]
-                of = pa.array([r[0] for r in rows], pa.int64())
-                part = batch.slice(first, 1024)
-                sizes, bits = pa.array([len(w) for w in some], pa.int32()), pa.array([letters(w) for w in some], pa.int64())
-                yield pa.record_batch([part.column(0).take(of), part.column(1).take(of), sizes.take(of), bits.take(of), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["word", "n", "size", "letters", "gram", "position"])
+            for id_, word in zip(batch.column(0), batch.column(1), strict=True):
+                id_, word = id_.as_py(), word.as_py()
+                own = (id_, word[:HEAD], len(word), letters(word))
+                for found in rarest(word, order):
+                    rows.append((*own, *found))
+                    if len(rows) >= ROWS:
+                        yield done()
+                        rows = []
+        if rows:
+            yield done()
 
     return run
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n) for every two words (word, n) that differ by one letter put in, left out or replaced, both ways."""
+    """(word, n, other, other_n) for every two words (id, word, n) that differ by one letter put in, left out or replaced, both ways."""
     grams = words.select("word").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     order = {r.gram: k for k, r in enumerate(grams.orderBy("n", "gram").collect())}  # of at most 8,100
-    signed = stage(words.select("word", "n").mapInArrow(_signed(order), "word string, n long, size int, letters long, gram int, position int"), "rarest")
+    signed = stage(words.select("id", "word").mapInArrow(_signed(order), "id long, head string, size int, letters long, gram int, position int"), "rarest")
     left = signed.withColumn("position", F.explode(F.array(*[F.col("position") + k for k in range(-MOVED, MOVED + 1)])))
-    right = signed.select("gram", "position", *[F.col(c).alias(f"other_{c}") for c in ("word", "n", "size", "letters")])
-    left = left.where("position >= 0")
-    near = left.join(right, ["gram", "position"]).where("word < other_word and abs(size - other_size) <= 1 and bit_count(letters ^ other_letters) <= 2 and levenshtein(word, other_word, 1) = 1")
-    near = stage(near.select("word", "n", F.col("other_word").alias("other"), "other_n").distinct(), "near")
+    right = signed.select("gram", "position", *[F.col(c).alias(f"other_{c}") for c in ("id", "head", "size", "letters")])
+    # heads of near words are two edits apart at most, and whole words that are no longer one
+    alike = f"id < other_id and abs(size - other_size) <= 1 and bit_count(letters ^ other_letters) <= 2 and levenshtein(head, other_head, 2) between 0 and if(greatest(size, other_size) <= {HEAD}, 1, 2)"
+    met = stage(left.where("position >= 0").join(right, ["gram", "position"]).where(alike).select("id", "other_id").distinct(), "met")
+    near = met.join(words, "id").join(words.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n")), "other_id")
+    near = stage(near.where("levenshtein(word, other, 1) = 1").select("word", "n", "other", "other_n"), "near")
     return near.union(near.select("other", "other_n", "word", "n"))
 
 
@@ -147,7 +161,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, ratio: int = RATIO, slips: int = SLIPS) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of docs (doc_id, text) that is long and frequent enough."""
-    words = stage(word_counts(docs, least_length, least_count, slips), "words")
+    words = stage(word_counts(docs, least_length, least_count, slips).withColumn("id", F.monotonically_increasing_id()), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     all_ = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.less") >= F.col("n") * ratio, F.col("best")).alias("best"))
