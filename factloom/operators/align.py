@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,69 +98,128 @@ def similarity(r: str = "r", t: str = "t") -> Column:
 
 
 _ORDER = ("relative_path", "line_number", "name", "fact_id")
-#: Tiers of one-to-one pairs: strategy, score and what must be equal.
+#: Candidates that one task takes at a time when rounds of mutually best pairs get slow.
+BLOCK = 1 << 18
+# Tiers of one-to-one pairs: strategy, score and what must be equal.
 TIERS = (
     ("exact_path_name", 100, ("relative_path", "language", "name")),
-    ("behavior_profile", 96, ("behaviour",)),
-    ("same_name", 85, ("language", "name_key")),
+    ("behavioral_profile_exact", 96, ("behaviour",)),
+    ("same_name_language", 85, ("language", "name_key")),
 )
 
 
-def _zipped(ref: DataFrame, tgt: DataFrame, keys: tuple[str, ...], strategy: str, score: int) -> DataFrame:
+def _zipped(ref: DataFrame, tgt: DataFrame, tier: int) -> DataFrame:
     """The n-th signal of each key on one side with the n-th on the other."""
+    strategy, score, keys = TIERS[tier]
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(*_ORDER)).alias("nth")
     a = ref.select(*keys, nth, F.col("fact_id").alias("ref_id"))
     b = tgt.select(*keys, nth, F.col("fact_id").alias("tgt_id"))
-    return a.join(b, [*keys, "nth"]).select("ref_id", "tgt_id", F.lit(strategy).alias("strategy"), F.lit(score).alias("score"))
+    return a.join(b, [*keys, "nth"]).select("ref_id", "tgt_id", F.lit(strategy).alias("strategy"), F.lit(score).alias("score"), _place(tier, F.lit(0), F.concat_ws("|", *keys), F.lit(""), F.col("nth")).alias("place"))
 
 
-def greedy(candidates: DataFrame, group: str = "language") -> DataFrame:
-    """One-to-one pairs from scored candidates (group, ref_id, tgt_id, score), the highest score first, ties by ids.
+def _place(tier: int, less: Column, first: Column, then: Column, nth: Column) -> Column:
+    """Where a pair stands among all: by tier, then by key and number, or by score and ids."""
+    return F.struct(F.lit(tier).alias("tier"), less.cast("int").alias("less"), first.alias("first"), then.alias("then"), nth.cast("int").alias("nth"))
 
-    It is one pass over a group's candidates in order; the caller's policy may cap signals before (function_signals).
-    """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, out = set(), set(), []
-        for x in rows.sort_values(["score", "ref_id", "tgt_id"], ascending=[False, True, True]).itertuples():
-            if x.ref_id not in left and x.tgt_id not in right:
-                left.add(x.ref_id)
-                right.add(x.tgt_id)
-                out.append((x.ref_id, x.tgt_id, "signature_similarity", x.score))
-        return pd.DataFrame(out, columns=["ref_id", "tgt_id", "strategy", "score"])
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates in their order: each whose two ends are still free is a pair."""
+    left, right = set(), set()
+    for rows in parts:
+        kept = []
+        for k, (a, b) in enumerate(zip(rows["ref_id"], rows["tgt_id"], strict=True)):
+            if a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                kept.append(k)
+        yield rows.iloc[kept]
 
-    return candidates.select(group, "ref_id", "tgt_id", "score").groupBy(group).applyInPandas(pairs, "ref_id string, tgt_id string, strategy string, score int")
 
+def greedy(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One-to-one pairs of scored candidates (ref_id, tgt_id, score): the highest score first, ties by the ref's key, then
+    the tgt's (ref_key and tgt_key, by default the ids).
 
-def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least: int = 65, max_signals: int | None = None) -> DataFrame:
+    A candidate that comes first at both of its ends is a pair whatever else is chosen, so every round takes all of these at
+    once and drops what touches them; the order is total, so the result is that of one pass over all. Where ties make rounds
+    slow (fewer than half of the candidates went), the first `block` of the order are passed over in one task, exactly
+    and with bounded memory, before the next round.
+    """
+    ids = ("ref_id", "tgt_id")
+    keys = [F.col(f"{x}_key" if f"{x}_key" in candidates.columns else f"{x}_id").alias(f"{x}_key") for x in ("ref", "tgt")]
+    left = cut(candidates.select(*ids, "score", *keys), "candidates")
+    order = [F.desc("score"), "ref_key", "tgt_key", *ids]
+    first = F.min(F.struct((-F.col("score")).alias("less"), "ref_key", "tgt_key", *ids))
+    found, many = None, left.count()
+    taken = lambda rows, by: rows.join(by.select("ref_id"), "ref_id", "left_anti").join(by.select("tgt_id"), "tgt_id", "left_anti")
+    while many:
+        own = [left.groupBy(x).agg(first.alias("best")).select("best.ref_id", "best.tgt_id") for x in ids]
+        pairs = cut(left.join(own[0].join(own[1], list(ids)), list(ids), "left_semi"), "matched")
+        left = cut(taken(left, pairs), "candidates")
+        before, many = many, left.count()
+        if 2 * many > before:
+            more = cut(left.orderBy(*order).limit(block).mapInPandas(_in_order, left.schema), "matched")
+            left = cut(taken(left, more), "candidates")
+            pairs, many = pairs.unionByName(more), left.count()
+        found = pairs if found is None else found.unionByName(pairs)
+    found = left if found is None else found
+    return found.select(*ids, F.lit("signature_similarity").alias("strategy"), "score", "ref_key", "tgt_key")
+
+
+#: The least score for which candidates are looked for by the keys of `_candidate_keys`.
+FEW_KEYS_FROM = 65
+
+
+def _candidate_keys(least: int) -> Column:
+    """Keys of a signal; two that share none of them cannot reach the least score.
+
+    From 65 on, by the points of `similarity`: a pair with neither window nor calls in common has at most 91. If it has no
+    word in common either (71), it lacks at most 6, so declaration, control, literals and imports are equal. If it has a
+    word in common but another declaration (67), it lacks at most 2: control, literals and all contexts are equal.
+    If the declaration is equal too, control, literals or imports must be: without these three, 63 points are left. So a word
+    is never a key by itself. Below 65 a shared declaration or word is enough, and pairs that share nothing of all this,
+    47 points at most, are not looked for.
+    """
+    filled = lambda c, *parts: F.when(F.col(c) != "", F.concat_ws("|", *parts))
+    keys = [F.concat(F.lit("w:"), "window_hash"), filled("calls", F.lit("c:"), "calls")]
+    words = F.split("name_key", " ")
+    if least < FEW_KEYS_FROM:
+        return F.array_distinct(F.concat(F.array_compact(F.array(*keys, F.concat(F.lit("d:"), "declaration"))), F.transform(words, lambda x: F.concat(F.lit("n:"), x))))
+    keys += [filled("import_signature", F.lit("d:"), "declaration", "control", "literals", "import_signature"), F.concat_ws("|", F.lit("o:"), "control", "literals", "import_signature", "reverse_import_signature", "symbol_context_signature")]
+    by_word = lambda c: F.transform(words, lambda x: F.concat_ws("|", F.lit(f"{c}:"), x, "declaration", c))
+    imports = F.when(F.col("import_signature") != "", by_word("import_signature")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array_compact(F.array(*keys)), by_word("control"), by_word("literals"), imports))
+
+
+def similar(ref: DataFrame, tgt: DataFrame, least: int) -> DataFrame:
+    """Candidates (ref_id, tgt_id, score, ref_key, tgt_key) of one language with at least that score."""
+    keys = lambda df, name: df.select("language", F.explode(_candidate_keys(least)).alias("key"), F.col("fact_id").alias(name))
+    near = keys(ref, "ref_id").join(keys(tgt, "tgt_id"), ["language", "key"]).select("ref_id", "tgt_id").distinct()
+    scored = near.join(ref.alias("r"), F.col("ref_id") == F.col("r.fact_id")).join(tgt.alias("t"), F.col("tgt_id") == F.col("t.fact_id"))
+    return scored.select("ref_id", "tgt_id", similarity().alias("score"), F.col("r.id").alias("ref_key"), F.col("t.id").alias("tgt_key")).where(F.col("score") >= least)
+
+
+def align(ref: DataFrame, tgt: DataFrame, signature_aware: bool = False, least: int = 65, max_signals: int | None = None, max_pairs: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (ref_id, tgt_id, strategy, score): tier by tier over what earlier ones left; similarity last, if asked for.
 
-    Candidates of the last tier are pairs that share a window, calls, a word of the name, or all of declaration, control,
-    literals and imports, found by equi-joins: of the 71 points that are left without the first three, one of the last four is worth
-    8 at least, so others cannot reach 65. For a lower least score a shared declaration is enough, and pairs that share nothing
-    of all this, 47 points at most, are not looked for. What a tier finds is written once. All left-over signals take part
-    there, or with max_signals so many of each side and language.
+    What a tier finds is written once. All left-over signals take part in the last tier, or with max_signals so many of each
+    side and language. max_pairs, a policy: so many pairs at most, the first by tier, then by key and number, or by score and
+    ids; what the others would have paired stays unmatched.
     """
     ref, tgt = cut(ref, "signals"), cut(tgt, "signals")
     pairs = None
-    for strategy, score, keys in TIERS:
-        found = cut(_zipped(ref, tgt, keys, strategy, score), "pairs")
+    for tier in range(len(TIERS)):
+        found = cut(_zipped(ref, tgt, tier), "pairs")
         pairs = found if pairs is None else pairs.union(found)
         ref = ref.join(found.select(F.col("ref_id").alias("fact_id")), "fact_id", "left_anti")
         tgt = tgt.join(found.select(F.col("tgt_id").alias("fact_id")), "fact_id", "left_anti")
     if signature_aware:
         capped = lambda df: df if max_signals is None else df.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy(*_ORDER))).where(F.col("n") <= max_signals).drop("n")
-        r, t = capped(ref), capped(tgt)
-        whole = F.when(F.col("import_signature") != "", F.concat_ws("|", F.lit("d:"), "declaration", "control", "literals", "import_signature"))
-        whole = whole if least >= 65 else F.concat(F.lit("d:"), "declaration")
-        keys_of = F.array_compact(F.array(whole, F.concat(F.lit("w:"), "window_hash"), F.when(F.col("calls") != "", F.concat(F.lit("c:"), "calls"))))
-        shared = F.explode(F.array_distinct(F.concat(keys_of, F.transform(F.split("name_key", " "), lambda x: F.concat(F.lit("n:"), x)))))
-        keys = lambda df, name: df.select("language", shared.alias("key"), F.col("fact_id").alias(name))
-        near = keys(r, "ref_id").join(keys(t, "tgt_id"), ["language", "key"]).select("ref_id", "tgt_id").distinct()
-        scored = near.join(r.alias("r"), F.col("ref_id") == F.col("r.fact_id")).join(t.alias("t"), F.col("tgt_id") == F.col("t.fact_id"))
-        scored = scored.select(F.col("r.language").alias("language"), "ref_id", "tgt_id", similarity().alias("score")).where(F.col("score") >= least)
-        pairs = pairs.union(greedy(scored))
-    return pairs
+        r, t = (cut(capped(x), "left_over") for x in (ref, tgt))
+        last = greedy(similar(r, t, least), block)
+        pairs = pairs.union(last.select("ref_id", "tgt_id", "strategy", "score", _place(len(TIERS), -F.col("score"), F.col("ref_key"), F.col("tgt_key"), F.lit(0)).alias("place")))
+    if max_pairs is not None:
+        pairs = pairs.orderBy("place", "ref_id", "tgt_id").limit(max_pairs)
+    return pairs.drop("place")
 
 
 def unmatched(signals: DataFrame, pairs: DataFrame, side: str) -> DataFrame:

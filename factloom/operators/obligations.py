@@ -19,7 +19,7 @@ FILE_ONLY = "function-level alignment produced no candidates"
 # Weights of the pair model, and what it takes.
 WEIGHTS = {"declaration": 24, "calls": 18, "control": 10, "literals": 8, "window_hash": 16, "import_signature": 10, "reverse_import_signature": 4, "symbol_context_signature": 8, "behaviour": 12, "name_key": 6}
 LINE_CLOSE, LINE_WEIGHT, LEAST_SCORE = 12, 4, 78
-STRATEGY_RANK = {"exact_path_name": 4, "behavior_profile": 3, "same_name": 2, "signature_similarity": 1}
+STRATEGY_RANK = {"exact_path_name": 4, "behavioral_profile_exact": 3, "same_name_language": 2, "signature_similarity": 1}
 
 
 def valid_contracts(contracts: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ r2 AS (SELECT *, {_BEHAVIOUR} AS b, row_number() OVER (PARTITION BY {_BEHAVIOUR}
 p2 AS (SELECT r2.fact_id AS ref_id, t2.fact_id AS tgt_id FROM r2 JOIN t2 USING (b, n)),
 r3 AS (SELECT *, row_number() OVER (PARTITION BY language, name_key {_ORDER}) AS n FROM rs WHERE fact_id NOT IN (SELECT ref_id FROM p1 UNION ALL SELECT ref_id FROM p2)), t3 AS (SELECT *, row_number() OVER (PARTITION BY language, name_key {_ORDER}) AS n FROM ts WHERE fact_id NOT IN (SELECT tgt_id FROM p1 UNION ALL SELECT tgt_id FROM p2)),
 p3 AS (SELECT r3.fact_id AS ref_id, t3.fact_id AS tgt_id FROM r3 JOIN t3 USING (language, name_key, n)),
-pairs AS (SELECT *, 'exact_path_name' AS strategy, 100 AS score FROM p1 UNION ALL SELECT *, 'behavior_profile', 96 FROM p2 UNION ALL SELECT *, 'same_name', 85 FROM p3)"""
+pairs AS (SELECT *, 'exact_path_name' AS strategy, 100 AS score FROM p1 UNION ALL SELECT *, 'behavioral_profile_exact', 96 FROM p2 UNION ALL SELECT *, 'same_name_language', 85 FROM p3)"""
 
 
 @add("SELECT * FROM pairs", (*_SIGNALS, _TIERS))
@@ -174,20 +174,43 @@ def h5_align_functions(spark, d):
     return align.align(*_signals(spark, d))
 
 
-@add()
+_SIMILARITY = """CAST(least(100, (CASE WHEN r.declaration = t.declaration THEN 24 ELSE 0 END) + (CASE WHEN r.calls <> '' AND r.calls = t.calls THEN 20 ELSE 0 END) + (CASE WHEN r.control = t.control THEN 10 ELSE 0 END)
+  + (CASE WHEN r.literals = t.literals THEN 8 ELSE 0 END) + (CASE WHEN r.declaration = t.declaration AND r.calls = t.calls AND r.control = t.control AND r.literals = t.literals AND r.context = t.context THEN 16 ELSE 0 END)
+  + (CASE WHEN r.imports <> '' AND r.imports = t.imports THEN 10 ELSE 0 END) + (CASE WHEN r.reverse <> '' AND r.reverse = t.reverse THEN 4 ELSE 0 END) + (CASE WHEN r.context <> '' AND r.context = t.context THEN 6 ELSE 0 END)
+  + (CASE WHEN r.relative_path = t.relative_path THEN 4 ELSE 0 END) + 2 + (len(list_intersect(list_distinct(string_split(r.name_key, ' ')), list_distinct(string_split(t.name_key, ' ')))) * 20 + len(list_distinct(list_concat(string_split(r.name_key, ' '), string_split(t.name_key, ' ')))) // 2)
+    // len(list_distinct(list_concat(string_split(r.name_key, ' '), string_split(t.name_key, ' '))))
+  + (CASE WHEN abs(r.line_number - t.line_number) <= 3 THEN 3 WHEN abs(r.line_number - t.line_number) <= 12 THEN 2 ELSE 0 END)) AS INTEGER)"""
+# every left-over function against every other of its language, then one pass in order over what scores enough
+_BY_SCORE = f"""scored AS (
+  SELECT r.fact_id AS ref_id, t.fact_id AS tgt_id, r.id AS ref_key, t.id AS tgt_key, {_SIMILARITY} AS score FROM rs r JOIN ts t ON r.language = t.language
+  WHERE r.fact_id NOT IN (SELECT ref_id FROM pairs) AND t.fact_id NOT IN (SELECT tgt_id FROM pairs)
+), candidate AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, ref_key, tgt_key, ref_id, tgt_id) AS k FROM scored WHERE score >= 65
+), pass AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS refs, CAST([] AS VARCHAR[]) AS tgts, false AS paired
+  UNION ALL
+  SELECT k, CASE WHEN free THEN list_append(refs, ref_id) ELSE refs END, CASE WHEN free THEN list_append(tgts, tgt_id) ELSE tgts END, free
+  FROM (SELECT c.k, refs, tgts, ref_id, tgt_id, NOT list_contains(refs, ref_id) AND NOT list_contains(tgts, tgt_id) AS free FROM pass JOIN candidate c ON c.k = pass.k + 1)
+), all_pairs AS (SELECT *, 1 AS tier FROM pairs UNION ALL SELECT ref_id, tgt_id, 'signature_similarity', score, 2 FROM candidate JOIN pass USING (k) WHERE paired)"""
+
+
+@add("SELECT ref_id, tgt_id, strategy, score FROM all_pairs", (*_SIGNALS, _TIERS, _BY_SCORE))
 def h5_align_by_similarity(spark, d):
-    """With the last, greedy tier; tested against a plain greedy on a fixture."""
+    """With the last, greedy tier over all left-over functions."""
     return align.align(*_signals(spark, d), signature_aware=True)
 
 
 @add(
-    """SELECT ref_id, tgt_id, CAST(least(100, (CASE WHEN r.declaration = t.declaration THEN 24 ELSE 0 END) + (CASE WHEN r.calls <> '' AND r.calls = t.calls THEN 20 ELSE 0 END) + (CASE WHEN r.control = t.control THEN 10 ELSE 0 END)
-  + (CASE WHEN r.literals = t.literals THEN 8 ELSE 0 END) + (CASE WHEN r.declaration = t.declaration AND r.calls = t.calls AND r.control = t.control AND r.literals = t.literals AND r.context = t.context THEN 16 ELSE 0 END)
-  + (CASE WHEN r.imports <> '' AND r.imports = t.imports THEN 10 ELSE 0 END) + (CASE WHEN r.reverse <> '' AND r.reverse = t.reverse THEN 4 ELSE 0 END) + (CASE WHEN r.context <> '' AND r.context = t.context THEN 6 ELSE 0 END)
-  + (CASE WHEN r.relative_path = t.relative_path THEN 4 ELSE 0 END) + 2 + (len(list_intersect(list_distinct(string_split(r.name_key, ' ')), list_distinct(string_split(t.name_key, ' ')))) * 20 + len(list_distinct(list_concat(string_split(r.name_key, ' '), string_split(t.name_key, ' ')))) // 2)
-    // len(list_distinct(list_concat(string_split(r.name_key, ' '), string_split(t.name_key, ' '))))
-  + (CASE WHEN abs(r.line_number - t.line_number) <= 3 THEN 3 WHEN abs(r.line_number - t.line_number) <= 12 THEN 2 ELSE 0 END)) AS INTEGER) AS similarity
-FROM pairs JOIN rs r ON ref_id = r.fact_id JOIN ts t ON tgt_id = t.fact_id""",
+    "SELECT ref_id, tgt_id, 'exact_path_name' AS strategy, 100 AS score FROM p1 JOIN r1 ON ref_id = fact_id ORDER BY relative_path || '|' || language || '|' || name, n, ref_id, tgt_id LIMIT (SELECT count(*) // 4 FROM rs)",
+    (*_SIGNALS, _TIERS),
+)
+def h5_align_at_most(spark, d):
+    """The policy takes a quarter as many pairs as the reference has functions: the first of the first tier, which has more."""
+    ref, tgt = _signals(spark, d)
+    return align.align(ref, tgt, signature_aware=True, max_pairs=ref.count() // 4)
+
+
+@add(
+    f"SELECT ref_id, tgt_id, {_SIMILARITY} AS similarity FROM pairs JOIN rs r ON ref_id = r.fact_id JOIN ts t ON tgt_id = t.fact_id",
     (*_SIGNALS, _TIERS),
 )
 def h6_similarity(spark, d):

@@ -313,7 +313,7 @@ def f10_cut_off(spark, d):
 )
 def f12_translation_order(spark, d):
     """The 32 pairs that translation validation takes first, of pairs that documents stand for."""
-    strategy = F.get(F.array(*[F.lit(x) for x in ("none", "signature_similarity", "same_name", "behavior_profile", "exact_path_name")]), (F.col("doc_id") % 5).cast("int"))
+    strategy = F.get(F.array(*[F.lit(x) for x in ("none", "signature_similarity", "same_name_language", "behavioral_profile_exact", "exact_path_name")]), (F.col("doc_id") % 5).cast("int"))
     rust = F.when(F.col("source") < "src2", "rust").otherwise("python")
     manifest = F.when(F.col("source") < "src12", "Cargo.toml")
     p = A.table(spark, d, "documents").select(F.col("source").alias("id"), F.col("lang").alias("source_pair"), F.char_length("text").alias("score"), strategy.alias("strategy"), rust.alias("ref_language"), rust.alias("tgt_language"), manifest.alias("ref_manifest"), manifest.alias("tgt_manifest"))

@@ -1,5 +1,7 @@
 """Two snapshots: properties of deltas and merges, alignment of moved and renamed functions, obligations."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import align, delta, obligations
@@ -41,7 +43,7 @@ def test_delta_of_equal_snapshots_is_empty_and_merge_of_all_is_the_target(spark)
 def test_rename_in_a_modified_file_is_no_difference(spark):
     ref, tgt = side(spark, [("compute_total", "src/lib.rs", 1)], {"src/lib.rs": "1"}), side(spark, [("calculate_total", "src/lib.rs", 1)], {"src/lib.rs": "2"})
     pairs, status = outcome(spark, ref, tgt)
-    assert [(p.strategy, p.score) for p in pairs] == [("behavior_profile", 96)] and status.status == "no_difference_observed"
+    assert [(p.strategy, p.score) for p in pairs] == [("behavioral_profile_exact", 96)] and status.status == "no_difference_observed"
 
 
 def test_same_name_in_a_modified_file_differs(spark):
@@ -69,16 +71,68 @@ def test_similarity_is_asked_for(spark):
     assert sorted(p.strategy for p in pairs) == ["exact_path_name", "signature_similarity"] and all(p.score >= 30 for p in pairs)
 
 
-def test_greedy_is_that_of_a_loop_and_one_to_one(spark):
-    rows = [("rust", f"r{a}", f"t{b}", (a * 7 + b * 13) % 10) for a in range(12) for b in range(9)]
-    got = {(r.ref_id, r.tgt_id) for r in align.greedy(spark.createDataFrame(rows, "language string, ref_id string, tgt_id string, score int")).collect()}
-    left, right, expected = set(), set(), set()
-    for _, a, b, _ in sorted(rows, key=lambda x: (-x[3], x[1], x[2])):
+def in_order(rows):
+    """One pass over (ref_id, tgt_id, score) in the order of the score, then the ids."""
+    left, right, out = set(), set(), set()
+    for a, b, score in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
         if a not in left and b not in right:
             left.add(a)
             right.add(b)
-            expected.add((a, b))
-    assert got == expected and len({a for a, _ in got}) == len(got) == 9
+            out.add((a, b, score))
+    return out
+
+
+def matched(spark, rows, **more):
+    return {(r.ref_id, r.tgt_id, r.score) for r in align.greedy(spark.createDataFrame(rows, "ref_id string, tgt_id string, score int"), **more).collect()}
+
+
+def test_greedy_is_one_pass_in_order(spark):
+    rows = [(f"r{a}", f"t{b}", (a * 7 + b * 13) % 10) for a in range(12) for b in range(9)]
+    got = matched(spark, rows)
+    assert got == in_order(rows) and len({a for a, *_ in got}) == len(got) == 9
+    assert matched(spark, []) == set()
+
+
+def test_greedy_over_a_thousand_functions_a_side(spark):
+    draw = random.Random(5)
+    rows = list({(f"r{draw.randrange(1000):04}", f"t{draw.randrange(1000):04}"): 0 for _ in range(30_000)})
+    rows = [(a, b, draw.choice([65, 70, 70, 80, 95])) for a, b in rows]
+    assert matched(spark, rows) == in_order(rows)
+
+
+def test_ties_are_passed_over_in_blocks(spark):
+    """All scores equal: every round of mutually best pairs finds one, so blocks of the order do the work, each in one task."""
+    rows = [(f"r{a:03}", f"t{b:03}", 70) for a in range(60) for b in range(50)]
+    assert matched(spark, rows, block=400) == in_order(rows) == {(f"r{k:03}", f"t{k:03}", 70) for k in range(50)}
+
+
+def test_similarity_looks_at_all_pairs_that_score_enough(spark):
+    """The keys of candidates lose none: held against all pairs of functions that differ in few or many ways."""
+    draw = random.Random(11)
+    verbs, nouns = ["read", "write", "parse"], ["file", "tree", "node", "edge"]
+    functions = lambda k: [(f"{draw.choice(verbs)}_{draw.choice(nouns)}_{draw.choice(nouns)}", f"src/{draw.choice('abcd')}{k}/{draw.choice('mn')}.rs", draw.randrange(1, 25)) for _ in range(70)]
+    sides = []
+    for k in "xy":
+        made = sorted(set(functions(k)))
+        paths = sorted({p for _, p, _ in made})
+        imports = [(p, f"crate::{draw.choice(['one', 'two'])}", None) for p in paths if draw.random() < 0.7]
+        found = side(spark, made, dict.fromkeys(paths, k), imports)
+        sides.append(align.function_signals(found["symbols"], found["imports"]))
+    r, t = sides
+    both = r.alias("r").join(t.alias("t"), F.col("r.language") == F.col("t.language")).select(F.col("r.fact_id").alias("a"), F.col("t.fact_id").alias("b"), align.similarity().alias("score"))
+    all_ = {(x.a, x.b, x.score) for x in both.where("score >= 65").collect()}
+    assert {(x.ref_id, x.tgt_id, x.score) for x in align.similar(r, t, 65).collect()} == all_ and len(all_) > 50
+
+
+def test_at_most_so_many_pairs(spark):
+    ref = side(spark, [("b", "z.rs", 1), ("a", "a.rs", 1), ("moved_one", "m.rs", 1), ("total_sum_one", "q.rs", 1)], {})
+    tgt = side(spark, [("b", "z.rs", 1), ("a", "a.rs", 1), ("moved_one", "n.rs", 20), ("total_sum_two", "q.rs", 2)], {})
+    a, b = (align.function_signals(x["symbols"], x["imports"]) for x in (ref, tgt))
+    order = ["a.rs:1:a", "z.rs:1:b", "q.rs:1:total_sum_one", "m.rs:1:moved_one"]  # alike in all but name, then alike in name
+    for most in range(5):
+        pairs = align.align(a, b, signature_aware=True, least=40, max_pairs=most)
+        assert sorted(p.ref_id for p in pairs.collect()) == sorted(order[:most])
+        assert align.unmatched(a, pairs, "ref").count() == 4 - most
 
 
 def test_obligation_ids_and_schedule(spark):
