@@ -182,9 +182,12 @@ def vote_pattern(texts: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """The model for docs (doc_id, text). Only vote counts and train_rows documents' features reach the driver."""
+    """The model for docs (text). Only vote counts and the features of some train_rows documents reach the driver.
+
+    Rows are drawn by their number, so that missing or repeated ids and texts change nothing.
+    """
     small_batches(docs.sparkSession)
-    own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("h"))
     counted = own.select(vote_pattern("text").alias("pattern")).groupBy("pattern").count().collect()
     counts = {r["pattern"]: r["count"] for r in counted}
     posterior, accuracy = estimate(counts) if counts else ({}, {})
@@ -200,10 +203,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             lists = [pa.ListArray.from_arrays(edge, pa.array(x[order])) for x in (bucket.astype(np.int32), value.astype(np.float32))]
             yield pa.record_batch([pa.array(pattern_of(votes(found)).astype(np.int32)), *lists], names=["pattern", "bucket", "value"])
 
-    # a chance of 2^-64 steps; twice the wanted rows is more than a sample by hash ever gives
+    # a chance of 2^-64 steps
     some = own if share == 1 else own.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1))))
-    got = some.select("text").mapInArrow(run, "pattern int, bucket array<int>, value array<float>").limit(2 * train_rows).toArrow()
+    got = some.select("text").mapInArrow(run, "pattern int, bucket array<int>, value array<float>").toArrow()
     if not got.num_rows:
+        if counts:
+            raise ValueError("no row was drawn to train on: ask for more train_rows")
         return Model(posterior, accuracy, np.zeros(BUCKETS), 1.0)
     of = np.repeat(np.arange(got.num_rows), [len(x) for x in got["bucket"]])
     bucket, value = (got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("bucket", "value"))

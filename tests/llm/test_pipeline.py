@@ -26,6 +26,14 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "pii", "packing"]
 
 
+def test_junk_goes_when_no_row_has_an_id(spark):
+    draw = random.Random(9)
+    good = [" ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9))) for _ in range(60)) for _ in range(7000)]
+    rows = [(None, " ".join(w.upper() + "!!" for w in t.split()) if i % 4 == 0 else t, "en", "bad" if i % 4 == 0 else "good", 1) for i, t in enumerate(good)]
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in kept}.get("bad", 0) < 50 and {r.source: r["count"] for r in kept}["good"] > 5200
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

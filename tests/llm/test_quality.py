@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import quality_classifier as qc
 from factloom.llm import quality_rules
@@ -94,6 +96,28 @@ def test_held_out_accuracy_without_labels(spark):
     assert set(model.accuracy) == set(qc.LABELLERS) and min(model.accuracy.values()) > 0.5
 
 
+def test_missing_and_repeated_ids_and_copies_change_nothing(spark):
+    """10,000 rows, more than twice those of the sample: as much junk is rejected whatever ids say."""
+    texts = made(10_000, 3)
+    shares = []
+    for id_ in (lambda i: i, lambda i: None, lambda i: 7, lambda i: None if i % 3 else i):
+        df = spark.createDataFrame([(id_(i), t, kind) for i, t, kind in texts], "doc_id long, text string, kind string").repartition(4)
+        got = {r.kind: r.share for r in qc.classify_quality(df, 600).groupBy("kind").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+        assert got["good"] > 0.99
+        shares.append(max(x for kind, x in got.items() if kind != "good"))
+    assert max(shares) < 0.2
+    # a third of all rows with one text
+    df = spark.createDataFrame([(i, t if i % 3 else texts[0][1], kind if i % 3 else "copy") for i, t, kind in texts], "doc_id long, text string, kind string")
+    got = {r.kind: r.share for r in qc.classify_quality(df, 600).groupBy("kind").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert got["good"] > 0.99 and max(x for kind, x in got.items() if kind not in ("good", "copy")) < 0.2
+
+
+def test_no_row_to_train_on_is_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="no row was drawn"):
+        qc.fit(df, 0)
+
+
 def test_estimates_recover_planted_accuracies():
     draw = np.random.default_rng(3)
     bad = draw.random(20_000) < 0.2
