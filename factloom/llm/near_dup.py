@@ -7,9 +7,10 @@ with the same members are compared once. A bucket of many bytes is dealt to seve
 are compared first, and then, from a component that is not the bucket's largest, with the other parts as they stream by.
 
 Defined results: a null or wordless text has no shingles and is a component of its own; a null doc_id takes part but
-is never the smallest id of a component; equal rows give equal rows; where one doc_id has several texts, or none is
-given, each text is searched for near copies on its own, and of those that would share the first place of a component one
-text is kept; an empty table gives an empty result; columns other than the two named ones are ignored.
+is never the smallest id of a component, unless it has no other; equal rows give equal rows; where one doc_id has several
+texts, or none is given, each text is searched for near copies on its own; all rows with a component's smallest id are
+marked as kept, and of a component without ids the rows of one text (drop_near_duplicates keeps one text in either case);
+an empty table gives an empty result; columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PERCENT = 85
 #: A pair at the threshold meets in none of so many bands of so many rows about once in 200,000.
 BANDS, ROWS = 26, 6
 LAST = 2**63 - 1
+#: Added to the hash of a text (62 bits) whose id is null, so that the id 2^63 - 1 comes before a missing one.
+MISSING = 1 << 62
 #: Bytes of sets in a part of a bucket, sets that are compared at once, and columns of a step of the comparison.
 PART_BYTES, TILE, STRIPE = 4 << 20, 256, 4096
 
@@ -315,10 +318,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.union(roots).groupBy("v").agg(F.min("m").alias("m")).select(F.col("v").alias("did"), F.col("m").alias("comp"))
 
 
+def version_of(text, id_):
+    return F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(id_.isNull(), F.lit(MISSING)).otherwise(F.lit(0))
+
+
 def grouped(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """did, version, n, head for every row of docs (doc_id long, text string): its id or LAST, a hash of its text, the
-    number of its shingles, and the smallest (did, version) of its component."""
-    own = texts_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text", F.xxhash64("text").alias("version"))
+    """did, version, n, head for every row of docs (doc_id long, text string): its id or LAST, a hash of its text that also
+    tells whether the id is null, the number of its shingles, and the smallest (did, version) of its component."""
+    own = texts_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text", version_of(F.col("text"), F.col("doc_id")).alias("version"))
     feats = stage(own.mapInArrow(_features(width, bands, rows), "row long, did long, version long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     full = feats.where("n > 0")
     # a class goes by the number of one of its rows: ids may be missing or have several texts
@@ -387,9 +394,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     Two texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. With the
     default bands a pair at the threshold of 85 meets in none of them about once in 200,000; all that meet are checked.
     """
-    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    real = lambda of: F.when(F.col(f"{of}version") < MISSING, F.col(f"{of}did"))
     out = grouped(docs, width, percent, bands, rows, part_bytes)
-    return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("head.did").alias("component_id"), (F.struct("did", "version") == F.col("head")).alias("kept"))
+    kept = F.when(real("").isNull(), F.struct("did", "version") == F.col("head")).otherwise(real("").eqNullSafe(real("head.")))
+    return out.select(real("").alias("doc_id"), F.col("n").alias("n_shingles"), real("head.").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -401,7 +409,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = P
     found = grouped(docs.select("doc_id", "text"), width, percent, bands, rows)
     kept = found.where(F.struct("did", "version") == F.col("head")).groupBy("did", "version").agg((F.max("n") > 0).alias("worded"))
     keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.coalesce("row.doc_id", F.lit(LAST)))
-    keyed = keyed.withColumn("of", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    keyed = keyed.withColumn("of", version_of(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.col("row.doc_id")))
     held = keyed.join(kept, F.expr("id = did and of = version"))
     held = held.withColumn("number", F.when(~F.col("worded"), F.monotonically_increasing_id()))
     held = held.dropDuplicates(["id", "of", "number"])

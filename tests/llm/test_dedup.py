@@ -181,8 +181,18 @@ def test_texts_without_an_id_and_texts_of_one_id_are_searched_each(spark):
         got = near_dup.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in order], SCHEMA).repartition(3)).collect()
         shown = sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles > 100) for r in got)
         assert shown == sorted([(7, 7, True), (-1, 7, True), (-1, -1, True), (-1, -1, True), (-1, -1, False), (9, 9, True), (9, 4, True), (4, 4, True), (12, 9, True), (9, 9, True)])
-        # one text of each of the five components is kept: a, b, c, d and the lone one
-        assert sorted((r.doc_id or -1, r.component_id or -1) for r in got if r.kept) == [(-1, -1), (-1, -1), (4, 4), (7, 7), (9, 9)]
+        # kept are all rows with the smallest id of their component, and one text of each that has none
+        assert sorted((r.doc_id or -1, r.component_id or -1) for r in got if r.kept) == [(-1, -1), (-1, -1), (4, 4), (7, 7), (9, 9), (9, 9)]
+        held = near_dup.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string"))
+        assert sorted(r.doc_id or -1 for r in held.collect()) == [-1, -1, 4, 7, 9]
+
+
+def test_kept_is_the_smallest_id_also_for_the_largest_of_all_and_repeated_ones(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    last = 2**63 - 1
+    rows = [(5, a), (5, changed(a, {3})), (last, b), (None, changed(b, {7})), (None, "words of its own in this one"), (-(2**63), "the smallest id of all stands here")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted([(5, 5, True), (5, 5, True), (last, last, True), (None, last, False), (None, None, True), (-(2**63), -(2**63), True)], key=repr)
 
 
 def test_components_are_those_of_union_find(spark):
