@@ -272,7 +272,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hash
     asked = rows.where(is_query).distinct().join(apart.select("rep", "embedding"), "embedding")
     asked = stage(asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("qrep"), "embedding"), "queries")
     queries = asked.select("qrep", "embedding").dropDuplicates(["qrep"])
-    many, length = apart.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    many, length, rows_held = apart.agg(F.count("*"), F.max(F.size("embedding")), F.sum(F.size("ids"))).first()
     part_rows = max(64, part_bytes // (8 * (length or 1)))
 
     def top(found: DataFrame, of: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hash
     first = stage(top(searched(placed, visits, k + 1), asked), "found")
 
     # a query with fewer than k found is asked again over all vectors
-    full = first.groupBy("query_id", "qrep").count().where(F.col("count") >= min(k, max(many - 1, 0))).select("query_id", "qrep")
+    full = first.groupBy("query_id", "qrep").count().where(F.col("count") >= min(k, max((rows_held or 0) - 1, 0))).select("query_id", "qrep")
     poor = stage(asked.join(full, ["query_id", "qrep"], "left_anti"), "poor")
     result = first
     if not poor.isEmpty():

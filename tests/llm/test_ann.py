@@ -93,5 +93,10 @@ def test_a_hot_vector_and_split_buckets(spark):
     assert hits >= 0.9 * sum(map(len, expected.values()))
 
 
+def test_few_vectors_with_many_copies_give_as_many_rows_as_there_are(spark):
+    rows = [(i, [float(i % 3 + 1), 1.0]) for i in range(24)]
+    assert searched(spark, rows, every=4) == brute(rows, 10, lambda i: i % 4 == 0)
+
+
 def test_empty(spark):
     assert searched(spark, []) == {}
