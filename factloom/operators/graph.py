@@ -5,14 +5,13 @@ All take a batch: frames of targets or paths carry request_id. Edges are the imp
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, import_leaf, receipt_id, render_check, summarize_paths
 from ..sources.schema import EDGE_KINDS, PRIORITIES
+from ..sources.shared import scratch
 from . import lookup
 from .lookup import ancestors, looks_like_test
 
@@ -28,15 +27,9 @@ STOP_CONDITION = "no deterministic required checks were discovered for this blas
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: the plan of an iteration does not grow, and lost executors cost
     nothing that was done."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def impacted_paths(seeds: DataFrame, imports: DataFrame) -> DataFrame:

@@ -148,14 +148,17 @@ def i8_freshness_impact(spark, d):
 
 
 @add(
-    """SELECT a, h, c, CASE a WHEN 'missing' THEN 'cold' WHEN 'warming' THEN 'warming' ELSE CASE h WHEN 'overlay_only' THEN h WHEN 'bulk_refresh' THEN h WHEN 'degraded' THEN h ELSE CASE WHEN c THEN 'ready' ELSE 'stale' END END END AS state
-FROM (VALUES ('missing'), ('warming'), ('available')) x(a), (VALUES ('normal'), ('overlay_only'), ('bulk_refresh'), ('degraded')) y(h), (VALUES (true), (false)) z(c)"""
+    """, seen AS (SELECT (['missing', 'warming', 'available'])[k % 3 + 1] AS a, (['normal', 'overlay_only', 'bulk_refresh', 'degraded'])[k % 4 + 1] AS h, user_id % 2 = 0 AS c FROM obs)
+SELECT a, h, c, count(*) AS n, CASE a WHEN 'missing' THEN 'cold' WHEN 'warming' THEN 'warming' ELSE CASE h WHEN 'overlay_only' THEN h WHEN 'bulk_refresh' THEN h WHEN 'degraded' THEN h ELSE CASE WHEN c THEN 'ready' ELSE 'stale' END END END AS state
+FROM seen GROUP BY a, h, c""".lstrip(", "),
+    (A.OBSERVATIONS,),
 )
 def i9_readiness(spark, d):
-    """The whole table of availability, health and freshness."""
-    arr = lambda *v: F.explode(F.array(*[F.lit(x) for x in v]))
-    out = spark.range(1).select(arr("missing", "warming", "available").alias("a")).select("a", arr("normal", "overlay_only", "bulk_refresh", "degraded").alias("h")).select("a", "h", arr(True, False).alias("c"))
-    return out.withColumn("state", rules.readiness_state("a", "h", "c"))
+    """Availability, health and freshness that events tell, and the state that follows."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    of = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (k % n).cast("int"))
+    e = A.table(spark, d, "events").select(of(3, "missing", "warming", "available").alias("a"), of(4, "normal", "overlay_only", "bulk_refresh", "degraded").alias("h"), (F.col("user_id") % 2 == 0).alias("c"))
+    return e.groupBy("a", "h", "c").agg(F.count("*").alias("n")).withColumn("state", rules.readiness_state("a", "h", "c"))
 
 
 _SHAPES = """CASE WHEN files <= 64 THEN 'tiny' WHEN files <= 256 AND density < 1000 THEN 'small' WHEN files <= 1024 OR density < 1500 THEN 'medium' ELSE 'large_dense' END"""

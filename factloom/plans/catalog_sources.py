@@ -6,13 +6,12 @@ and files that a scan leaves out. Nothing of the tree is in the test tables, so
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import delta, graph, lexical, lookup
 from ..sources import scan, store
+from ..sources.shared import scratch
 from . import adapters as A
 from . import reports as R
 from .registry import Registry
@@ -132,8 +131,7 @@ def a10_a16_j23_verification_targets(spark, d):
 @add("SELECT 'files' AS part, count(*) AS n FROM tree UNION ALL SELECT 'symbols', count(*) FROM syms UNION ALL SELECT 'imports', count(*) FROM imps UNION ALL SELECT 'verification_targets', count(*) FROM goals", (_DOC, _TREE, _SYMBOLS, _IMPORTS, _TARGETS))
 def a7_a8_snapshot_round_trip(spark, d):
     """A snapshot written and read again, next to another one that is not read."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{folder}/snapshots-{uuid.uuid4().hex}"
+    root = scratch(spark, "snapshots")
     found = facts(spark, d)
     store.write_snapshot(found, root)
     store.write_snapshot({n: found[n].withColumn("snapshot_id", F.lit("other")) for n in store.FACTS}, root)
@@ -145,6 +143,36 @@ def a7_a8_snapshot_round_trip(spark, d):
     return out
 
 
+@add(
+    """SELECT 'files' AS part, relative_path AS a, NULL AS b, NULL AS c, size_bytes AS n FROM tree UNION ALL SELECT 'symbols', relative_path, name, kind, line_number FROM syms
+UNION ALL SELECT 'imports', importer_path, import_spec, resolved_path, line_number FROM imps UNION ALL SELECT 'verification_targets', scope_root, label, kind, NULL FROM goals""",
+    (_DOC, _TREE, _SYMBOLS, _IMPORTS, _TARGETS),
+)
+def a7_a8_round_trip_by_value(spark, d):
+    """Every fact of a snapshot that was written and read again, and written twice."""
+    root = scratch(spark, "snapshots")
+    found = facts(spark, d)
+    for _ in range(2):
+        store.write_snapshot(found, root)
+    back = store.read_snapshot(spark, root, "tree")
+    none = F.lit(None).cast("string")
+    row = lambda part, *columns: back[part].select(F.lit(part).alias("part"), *[(F.col(c) if isinstance(c, str) else c).alias(x) for c, x in zip(columns, "abcn", strict=True)])
+    out = row("files", "relative_path", none, none, "size_bytes").union(row("symbols", "relative_path", "name", "kind", "line_number"))
+    return out.union(row("imports", "importer_path", "import_spec", "resolved_path", "line_number")).union(row("verification_targets", "scope_root", "label", "kind", F.lit(None).cast("long")))
+
+
+@add(
+    """SELECT 'cargo test (in ' || working_directory || ') [scope:' || scope_root || ']' AS target, 'removed' AS change FROM goals WHERE command = 'cargo test' UNION
+SELECT 'cargo test (in ' || working_directory || ') [scope:' || scope_root || '/src]', 'added' FROM goals WHERE command = 'cargo test'""",
+    (_DOC, _TARGETS),
+)
+def g4_target_changes(spark, d):
+    """Checks of every manifest: in the target, tests of crates have a narrower scope."""
+    t = facts(spark, d)["verification_targets"]
+    tests = F.array_join("command", " ") == "cargo test"
+    return delta.target_changes(t, t.withColumn("scope_root", F.when(tests, F.concat("scope_root", F.lit("/src"))).otherwise(F.col("scope_root"))))
+
+
 @add("SELECT doc_id, regexp_replace(source || '/' || lang || '.' || doc_id, '[^0-9A-Za-z_-]', '_', 'g') AS label, 'root::' || coalesce(lang, 'worktree') AS snapshot, concat('root::', coalesce(lang, 'worktree'), CASE WHEN doc_id % 2 = 0 THEN '::overlay' ELSE '::base' END) AS fingerprint FROM documents")
 def a9_i10_labels(spark, d):
     """Names of artifacts and snapshots from revisions."""

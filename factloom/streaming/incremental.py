@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import lexical_store
 from ..operators.brief import refresh_jobs
 from ..operators.delta import merge_paths
 from ..sources.store import current, versions
 
-__all__ = ["controller", "current", "ema", "jobs_stream", "latest_wins", "running_stats", "running_stats_stream", "upsert_files"]
+__all__ = ["controller", "current", "ema", "index_stream", "jobs_stream", "latest_wins", "running_stats", "running_stats_stream", "upsert_files"]
 
 OLD, NEW = 0.7, 0.3
 
@@ -67,7 +69,7 @@ def controller(outcomes: DataFrame, keys: list[str], floor: float) -> DataFrame:
 
     Rows of a key stream by in order of time and gain: what is held is one number.
     """
-    schema = outcomes.schema.add("forecast", "double")
+    schema = T.StructType([*outcomes.schema.fields, T.StructField("forecast", T.DoubleType())])
 
     def forecast(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, mean = None, None
@@ -105,6 +107,21 @@ def upsert_files(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def index_stream(changes: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Changed documents (snapshot_id, relative_path, content_hash, body, at) kept up in the index at root: a null hash deletes.
+
+    Of a document's changes in a batch the last by `at` counts. Epoch N writes version N + 1 from version N, so a batch that
+    runs again after a failure writes what it wrote before.
+    """
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        last = F.max_by(F.struct("content_hash", "body"), F.struct("at", "content_hash")).alias("last")
+        latest = batch.groupBy(*lexical_store.KEYS).agg(last).select(*lexical_store.KEYS, "last.content_hash", "last.body")
+        lexical_store.apply_changes(latest, root, epoch + 1)
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
 def jobs_stream(changes: DataFrame) -> DataFrame:
     """Maintenance work of a stream of change sets: stateless, as in a batch."""
     return refresh_jobs(changes)
