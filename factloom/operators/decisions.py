@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, col, compact_snippet, contains_any, text_terms, title_from_path
+from ..functions.text import ascii_lower, camel_terms, col, compact_snippet, contains_any, text_terms, title_from_path
 from .graph import cut
-from .lookup import DECISION_MARKERS, has_marker, looks_like_decision_doc
+from .lookup import BRIEF_MARKERS, DECISION_MARKERS, has_marker, looks_like_decision_doc
 
 MAX_BYTES = 256 * 1024
 #: Terms of an automaton that goes to every task.
 MAX_TERMS = 200_000
 
-# What parts of a path are worth.
-PATH_POINTS = (("adr", 40), ("decision", 25), ("docs/", 6), ("plans/", 5), ("research/", 4))
+# What parts of a path are worth, and the folders that it may begin with.
+PATH_POINTS = (("adr", 40), ("decision", 25))
+FOLDER_POINTS = (("docs/", 6), ("plans/", 5), ("research/", 4))
+# How many hits of full text are candidates, how many candidates are looked at for each result, and how many
+# in a row may miss once there are results enough.
+MAX_LEXICAL, SCAN_BUDGET, MISSES = 64, 24, 6
+NO_SNIPPET = "decision context is documented in this file"
 
 
 def path_priority(path: Column | str) -> Column:
@@ -26,6 +31,8 @@ def path_priority(path: Column | str) -> Column:
     out = F.when(contains_any(lower, ("intent", "spec")), 10).otherwise(0)
     for word, points in PATH_POINTS:
         out = out + F.when(F.contains(lower, F.lit(word)), points).otherwise(0)
+    for folder, points in FOLDER_POINTS:
+        out = out + F.when(F.startswith(lower, F.lit(folder)), points).otherwise(0)
     return out
 
 
@@ -145,10 +152,155 @@ def cut_off(scored: DataFrame, limit: int) -> DataFrame:
     w = W.partitionBy("request_id").orderBy("place")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     hit = F.when(F.col("hit"), 1).otherwise(0)
-    rows = scored.where(F.col("place") <= 24 * limit).withColumn("hits", F.coalesce(F.sum(hit).over(before), F.lit(0)))
+    rows = scored.where(F.col("place") <= SCAN_BUDGET * limit).withColumn("hits", F.coalesce(F.sum(hit).over(before), F.lit(0)))
     last = F.coalesce(F.max(F.when(F.col("hit"), F.col("place"))).over(before), F.lit(0))
-    stop = (F.col("hits") >= F.floor(F.lit(limit * 1.5))) | ((F.col("hits") >= limit) & (F.col("place") - 1 - last >= 6))
+    stop = (F.col("hits") >= F.floor(F.lit(limit * 1.5))) | ((F.col("hits") >= limit) & (F.col("place") - 1 - last >= MISSES))
     rows = rows.withColumn("stopped", F.max(stop.cast("int")).over(w))
     return rows.where("stopped = 0 and hit").select("request_id", "place")
 
 
+
+
+# --- by content ------------------------------------------------------------------------------------------------------
+
+KINDS = ("scope", "anchor", "suggested")
+# What a term of each kind is worth in a text, and in a path.
+TEXT_POINTS, SEED_POINTS = (25, 10, 6), (8, 5, 3)
+
+
+def term_sets(requests: DataFrame) -> DataFrame:
+    """(request_id, kind, term) of requests (request_id, scope, anchors, suggested): words of the scope and parts of its camel
+    case, and words of the paths."""
+    paths = lambda c: F.array_distinct(F.flatten(F.transform(F.coalesce(c, F.array().cast("array<string>")), text_terms)))
+    scope = F.array_union(text_terms(F.coalesce("scope", F.lit(""))), camel_terms(F.coalesce("scope", F.lit(""))))
+    sets = F.array(*[F.struct(F.lit(kind).alias("kind"), terms.alias("terms")) for kind, terms in zip(KINDS, (scope, paths("anchors"), paths("suggested")), strict=True)])
+    rows = requests.select("request_id", F.explode(sets).alias("x")).select("request_id", "x.kind", F.explode("x.terms").alias("term"))
+    return rows.where("term <> ''").distinct()
+
+
+def _hits(docs: DataFrame, terms: DataFrame, column: str) -> DataFrame:
+    """(request_id, relative_path, scope, anchor, suggested): how many of a request's terms of each kind the column holds; only
+    documents with any."""
+    found = term_hits(docs, terms.select("term"), (column,)).select("relative_path", "term").join(terms, "term")
+    return found.groupBy("request_id", "relative_path").agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in KINDS])
+
+
+def _worth(points: tuple[int, ...]) -> Column:
+    return sum((F.col(kind) * n for kind, n in zip(KINDS[1:], points[1:], strict=True)), F.col(KINDS[0]) * points[0])
+
+
+def _decision_docs(docs: DataFrame) -> DataFrame:
+    return docs.where(looks_like_decision_doc("relative_path", "language", "extension") & (F.col("size_bytes") <= MAX_BYTES))
+
+
+def candidate_paths(requests: DataFrame, docs: DataFrame, hits: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(request_id, relative_path, place): what is looked at for each request (request_id, scope, anchors, suggested), in
+    order and the first `most`: hits of full text (request_id, relative_path, place), anchors, suggested files, and then
+    decision documents whose path is worth 10 or holds a term, by what their path is worth.
+
+    Paths are met by their terms; of those worth 10 without a term the best `most` can be among the first, and no others.
+    """
+    lists = [requests.select("request_id", F.posexplode(F.array_sort(F.array_distinct("anchors")) if name == "anchors" else F.col(name)).alias("nth", "relative_path"), F.lit(rank).alias("rank")) for rank, name in ((1, "anchors"), (2, "suggested"))]
+    first = hits.where(F.col("place") <= MAX_LEXICAL).select("request_id", F.col("place").alias("nth"), "relative_path", F.lit(0).alias("rank"))
+    named = first.unionByName(lists[0]).unionByName(lists[1]).withColumn("relative_path", F.translate("relative_path", "\\", "/"))
+    own = cut(_decision_docs(docs).select("relative_path", ascii_lower("relative_path").alias("lower"), path_priority("relative_path").alias("priority")), "paths")
+    met = _hits(own, terms, "lower").select("request_id", "relative_path", _worth(SEED_POINTS).alias("worth"))
+    strong = own.where("priority >= 10").orderBy(F.desc("priority"), "relative_path").limit(most).select("relative_path")
+    always = requests.select("request_id").distinct().join(F.broadcast(strong))  # `most` rows
+    rest = met.unionByName(always.withColumn("worth", F.lit(0))).groupBy("request_id", "relative_path").agg(F.max("worth").alias("worth")).join(own, "relative_path")
+    rest = rest.select("request_id", (-(F.col("worth") + F.col("priority"))).cast("int").alias("nth"), "relative_path", F.lit(3).alias("rank"))
+    order = F.min(F.struct("rank", "nth", "relative_path"))
+    each = named.unionByName(rest).groupBy("request_id", "relative_path").agg(order.alias("at"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy("at"))
+    return each.withColumn("place", place).where(F.col("place") <= most).select("request_id", "relative_path", "place")
+
+
+def content_profile(candidates: DataFrame, docs: DataFrame, terms: DataFrame, markers=BRIEF_MARKERS) -> DataFrame:
+    """For candidates (request_id, relative_path, ...): marked, title, snippet, and the terms of each kind that the text holds.
+
+    A text is read once, however many requests look at it.
+    """
+    read = cut(docs.join(candidates.select("relative_path").distinct(), "relative_path", "left_semi").select("relative_path", "text"), "texts")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), F.trim)
+    marked = F.filter(lines, lambda x: has_marker(x, markers))
+    title = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("#")) & (F.length(x) > 1)), F.lit(0))
+    shown = read.select("relative_path", (F.size(marked) > 0).alias("marked"), F.coalesce(title, "relative_path").alias("title"), F.coalesce(compact_snippet(F.translate(F.get(marked, F.lit(0)), "\t", " ")), F.lit(NO_SNIPPET)).alias("snippet"))
+    held = _hits(read.select("relative_path", ascii_lower("text").alias("lower")), terms, "lower")
+    out = candidates.join(shown, "relative_path").join(held, ["request_id", "relative_path"], "left")
+    return out.withColumns({kind: F.coalesce(kind, F.lit(0)) for kind in KINDS})
+
+
+def scanned_decisions(requests: DataFrame, docs: DataFrame, hits: DataFrame, limit: int = 4, markers=BRIEF_MARKERS) -> DataFrame:
+    """(request_id, relative_path, score, rendered, place): the best documents among the candidates of each request, by content.
+
+    Candidates are looked at in order, in blocks that double: a request whose scan has stopped (`cut_off`) asks for no more
+    texts, and a text that several requests look at is read once in a block. texts_read: how many were.
+    """
+    terms = cut(term_sets(requests), "terms")
+    good = _decision_docs(docs)
+    candidates = cut(candidate_paths(requests, docs, hits, terms, SCAN_BUDGET * limit), "candidates")
+    seen, read, upto, begin = None, 0, 2 * limit, 0
+    going = requests.select("request_id").distinct()
+    while begin < SCAN_BUDGET * limit:
+        block = cut(candidates.where((F.col("place") > begin) & (F.col("place") <= upto)).join(going, "request_id", "left_semi"), "block")
+        read += block.select("relative_path").distinct().join(good, "relative_path", "left_semi").count()
+        found = content_profile(block, good, terms, markers)
+        found = cut(block.select("request_id", "relative_path", "place").join(found.drop("place"), ["request_id", "relative_path"], "left").withColumn("hit", F.coalesce("marked", F.lit(False))), "profiles")
+        seen = found if seen is None else seen.unionByName(found)
+        w = W.partitionBy("request_id")
+        so_far = seen.withColumns({"hits": F.count_if("hit").over(w), "last": F.max(F.when(F.col("hit"), F.col("place"))).over(w), "at": F.max("place").over(w)})
+        enough = (F.col("hits") >= F.floor(F.lit(limit * 1.5))) | ((F.col("hits") >= limit) & (F.col("at") - F.col("last") >= MISSES))
+        going = cut(so_far.groupBy("request_id").agg(F.max(enough.cast("int")).alias("enough"), F.max("at").alias("at")).where((F.col("enough") == 0) & (F.col("at") == upto)).select("request_id"), "going")
+        begin, upto = upto, min(2 * upto, SCAN_BUDGET * limit)
+        if going.isEmpty():
+            break
+    kept = cut_off(seen, limit).join(seen.drop("hit"), ["request_id", "place"]).drop("place")
+    score = path_priority("relative_path") + _worth(TEXT_POINTS)
+    rendered = F.concat("title", F.lit(" ["), "relative_path", F.lit("]: "), "snippet")
+    out = kept.select("request_id", "relative_path", score.cast("int").alias("score"), rendered.alias("rendered"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "relative_path"))
+    return out.withColumn("place", place).where(F.col("place") <= limit).withColumn("texts_read", F.lit(read))
+
+
+def relevant_decisions(requests: DataFrame, docs: DataFrame, hits: DataFrame, limit: int = 4) -> DataFrame:
+    """(request_id, relative_path, score, place): candidates by path alone where a request has any, or else by content."""
+    paths = lambda c: requests.select("request_id", F.explode(c).alias("relative_path"))
+    fast = cut(fast_candidates(paths("anchors"), paths("suggested"), docs, limit=limit), "fast")
+    rest = requests.join(fast.select("request_id").distinct(), "request_id", "left_anti")
+    slow = scanned_decisions(rest, docs, hits.join(rest.select("request_id"), "request_id", "left_semi"), limit)
+    return fast.unionByName(slow.select(*fast.columns))
+
+
+def best_by_content(requests: DataFrame, docs: DataFrame, limit: int = 4, markers=BRIEF_MARKERS) -> DataFrame:
+    """(request_id, relative_path, score, place, texts_read): the best `limit` of all marked decision documents by what their
+    path and text are worth, ties by path.
+
+    A document is worth at most its path's points and those of all terms of the request. Documents are read by falling
+    points of their path, a level at a time (few values exist); a request that has `limit` documents which no text of the
+    next level can beat is done, and when all are, the texts of the levels below are never read.
+    """
+    terms = cut(term_sets(requests), "terms")
+    most = terms.groupBy("request_id").agg(sum((F.count_if(F.col("kind") == kind) * n for kind, n in zip(KINDS, TEXT_POINTS, strict=True)), F.lit(0)).alias("most"))
+    most = cut(requests.select("request_id").distinct().join(most, "request_id", "left").select("request_id", F.coalesce("most", F.lit(0)).alias("most")), "most")
+    good = _decision_docs(docs).withColumn("priority", path_priority("relative_path"))
+    levels = sorted(((r.priority, r["count"]) for r in good.groupBy("priority").count().collect()), reverse=True)
+    best, going, read = None, most, 0
+    for k, (level, many) in enumerate(levels):
+        read += many
+        own = cut(good.where(F.col("priority") == level).where(has_marker("text", markers)).select("relative_path", ascii_lower("text").alias("lower")), "level")
+        held = _hits(own, terms.join(going, "request_id", "left_semi"), "lower").select("request_id", "relative_path", (_worth(TEXT_POINTS) + level).alias("score"))
+        plain = own.select("relative_path").orderBy("relative_path").limit(limit)
+        none = going.select("request_id").join(F.broadcast(plain)).withColumn("score", F.lit(level))  # `limit` rows
+        all_ = held.union(none).groupBy("request_id", "relative_path").agg(F.max("score").alias("score"))
+        all_ = all_ if best is None else best.drop("place").unionByName(all_)
+        place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "relative_path"))
+        best = cut(all_.withColumn("place", place).where(F.col("place") <= limit), "best")
+        if k + 1 < len(levels):
+            last = best.where(F.col("place") == limit).select("request_id", F.col("score").alias("last"))
+            # an equal score may still win by its path
+            going = cut(most.join(last, "request_id", "left").where(F.col("last").isNull() | (F.col("last") <= F.col("most") + levels[k + 1][0])).select("request_id", "most"), "going")
+            if going.isEmpty():
+                break
+    if best is None:
+        best = most.select("request_id", F.lit("").alias("relative_path"), F.lit(0).alias("score"), F.lit(0).alias("place")).where("false")
+    return best.select("request_id", "relative_path", F.col("score").cast("int").alias("score"), "place", F.lit(read).alias("texts_read"))

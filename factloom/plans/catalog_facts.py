@@ -373,11 +373,11 @@ def f2_rank_documents(spark, d):
 
 
 @add(
-    """SELECT url, CASE WHEN contains(p, 'intent') OR contains(p, 'spec') THEN 10 ELSE 0 END + CASE WHEN contains(p, 'adr') THEN 40 ELSE 0 END + CASE WHEN contains(p, 'decision') THEN 25 ELSE 0 END + CASE WHEN contains(p, 'docs/') THEN 6 ELSE 0 END
-  + CASE WHEN contains(p, 'plans/') THEN 5 ELSE 0 END + CASE WHEN contains(p, 'research/') THEN 4 ELSE 0 END AS score FROM (SELECT url, translate(replace(url, 'en/', 'docs/adr-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS p FROM pages)"""
+    """SELECT url, CASE WHEN contains(p, 'intent') OR contains(p, 'spec') THEN 10 ELSE 0 END + CASE WHEN contains(p, 'adr') THEN 40 ELSE 0 END + CASE WHEN contains(p, 'decision') THEN 25 ELSE 0 END + CASE WHEN starts_with(p, 'docs/') THEN 6 ELSE 0 END
+  + CASE WHEN starts_with(p, 'plans/') THEN 5 ELSE 0 END + CASE WHEN starts_with(p, 'research/') THEN 4 ELSE 0 END AS score FROM (SELECT url, translate(replace(regexp_replace(url, '^https?://[^/]*/', ''), 'en/', 'docs/adr-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS p FROM pages)"""
 )
 def f3_path_priority(spark, d):
-    return A.table(spark, d, "pages").select("url", decisions.path_priority(F.replace("url", F.lit("en/"), F.lit("docs/adr-"))).alias("score"))
+    return A.table(spark, d, "pages").select("url", decisions.path_priority(F.replace(F.regexp_replace("url", "^https?://[^/]*/", ""), F.lit("en/"), F.lit("docs/adr-"))).alias("score"))
 
 
 @add(
