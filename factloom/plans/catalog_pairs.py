@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import align, delta, obligations
 from ..operators.graph import cut
+from ..sources import replay
+from ..sources.shared import scratch
 from . import adapters as A
 from .registry import Registry
 
@@ -350,3 +352,17 @@ def a21_replay(spark, d):
     o = c.where("status <> 'inconclusive'").select(F.col("obligation_id").alias("id"), F.lit("h").alias("encoding_hash"))
     return obligations.replay(o, c.union(c)).select("id", "status")
 
+
+@add(
+    "SELECT obligation_id AS id, run AS source_pair, 'h' || obligation_id AS encoding_hash, status, status <> 'refuted' AS hash_matches FROM certs",
+    (A.CERTIFICATES,),
+)
+def a20_a21_replayed_artifact(spark, d):
+    """Obligations and certificates published as an artifact, read back and joined: refuted ones were certified by another hash."""
+    c = A.certificates(spark, d)
+    hashed = F.concat(F.lit("h"), "obligation_id")
+    o = c.select(F.col("obligation_id").alias("id"), F.col("run").alias("source_pair"), F.lit("contract").alias("contract_id"), F.array(F.lit("a")).alias("assumptions"), hashed.alias("encoding_hash"))
+    known = c.select("obligation_id", F.when(F.col("status") == "refuted", "other").otherwise(hashed).alias("encoding_hash"), "status", "solver", F.lit(5000).cast("long").alias("timeout_ms"), F.array().cast("array<string>").alias("assumptions"), "witness")
+    root = scratch(spark, "artifacts")
+    run = replay.write_replay(o, known, root, "reference", "target", "contract", {"max_obligations": 64}, "1")
+    return obligations.replay(*replay.read_replay(spark, root, run)).select("id", "source_pair", "encoding_hash", "status", "hash_matches")

@@ -6,11 +6,14 @@ and files that a scan leaves out. Nothing of the tree is in the test tables, so
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import delta, graph, lexical, lookup
 from ..sources import scan, store
+from ..sources import tree as mounted
 from ..sources.shared import scratch
 from . import adapters as A
 from . import reports as R
@@ -75,6 +78,23 @@ def a1_a2_a4_scan(spark, d):
     return facts(spark, d)["files"].select("relative_path", "extension", "language", "size_bytes")
 
 
+@add(f"SELECT relative_path, extension, {_LANGUAGES} AS language, size_bytes FROM (SELECT *, regexp_extract(relative_path, '\\.([a-z]+)$', 1) AS extension FROM tree)", (_DOC, _TREE))
+def a1_a2_mounted_tree(spark, d):
+    """The made files written to a folder by the tasks that make them, and scanned there by the source of trees."""
+    root = mounted.local_path(scratch(spark, "tree"))
+
+    def written(parts):
+        for rows in parts:
+            for path, content in zip(rows["relative_path"], rows["content"], strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as f:
+                    f.write(content)
+            yield rows[["relative_path"]]
+
+    tree(spark, d).select("relative_path", "content").mapInPandas(written, "relative_path string").write.format("noop").mode("overwrite").save()
+    return scan.scan(spark, root, "tree")["files"].select("relative_path", "extension", "language", "size_bytes")
+
+
 # line, kind and name of every declaration, by remainder
 _DECLARED = (
     (0, 2, "module", "m{n16}"), (0, 4, "function", "f{n}"), (0, 6, "struct", "S{n}"), (0, 11, "function", "after_{n}"), (0, 12, "enum", "E{n}"), (1, 3, "class", "C{n}"), (1, 4, "function", "go_{n}"),

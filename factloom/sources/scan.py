@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, fnv1a
-from . import manifests
+from . import manifests, tree
 from .extract import extract
+from .tree import EXCLUDED_EXTENSIONS, EXCLUDED_FOLDERS, EXCLUDED_PREFIX, MAX_BYTES
 
-# What a scan leaves out, and languages by extension.
-EXCLUDED_FOLDERS = (".git", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", ".vscode", "__pycache__", "build", "dist", "node_modules", "out", "target")
-EXCLUDED_EXTENSIONS = ("bin", "class", "dll", "dylib", "exe", "gif", "gz", "ico", "jpeg", "jpg", "pdf", "png", "so", "tar", "zip")
-EXCLUDED_PREFIX = ".env"
-MAX_BYTES = 2_097_152
+# Languages by extension.
 LANGUAGES = {"js": "javascript", "jsx": "javascript", "json": "json", "md": "markdown", "py": "python", "rs": "rust", "toml": "toml", "ts": "typescript", "tsx": "typescript", "yaml": "yaml", "yml": "yaml"}
 
 
@@ -52,8 +49,11 @@ def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int, bytes]]:
 
 
 def read_tree(spark: SparkSession, root: str, snapshot_id: str, more_folders: tuple[str, ...] = ()) -> DataFrame:
-    """Files below root with their bytes. The listing is filtered by size and path, and contents are read of what is left."""
+    """Files below root with their bytes: a mounted folder by the source of trees, other stores by Spark's reader of binary
+    files, whose listing is filtered by size and path before contents are read."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        return tree.read(spark, root, more_folders).select(F.lit(snapshot_id).alias("snapshot_id"), "relative_path", "size_bytes", "content")
     base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     relative = F.substring(plain(F.col("path")), F.length(plain(F.lit(base))) + 2, F.length("path"))
