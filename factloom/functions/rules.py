@@ -90,13 +90,13 @@ def default_freshness(task: Column | str) -> Column:
 
 
 def packing_budget(tokens: Column | str, latency: Column | str) -> tuple[Column, Column, Column]:
-    """Suggested files, items of a brief, and decisions: by tokens, under the caps of the latency class."""
+    """Suggested files, items of a brief, and fragile zones: by tokens, under the caps of the latency class."""
     tokens, latency = col(tokens), col(latency)
     parts = F.ceil(tokens / 4096)
-    files = F.when(tokens <= 2048, 3).when(tokens <= 4096, 5).otherwise(F.least(5 + parts, F.lit(256)))
-    items = F.when(tokens <= 2048, 4).when(tokens <= 4096, 6).otherwise(F.least(4 + 2 * parts, F.lit(512)))
+    files = F.when(tokens <= 2048, 4).when(tokens <= 4096, 6).otherwise(F.least(4 + 2 * parts, F.lit(512)))
+    items = F.when(tokens <= 2048, 3).when(tokens <= 4096, 5).otherwise(F.least(5 + parts, F.lit(256)))
     cap = lambda a, b, c, d: case(latency, {"instant": a, "interactive": b, "deep": c, "background": d})
-    return F.least(files, cap(3, 16, 48, 256)).cast("long"), F.least(items, cap(4, 24, 96, 512)).cast("long"), cap(2, 3, 4, 8).cast("long")
+    return F.least(files, cap(4, 24, 96, 512)).cast("long"), F.least(items, cap(3, 16, 48, 256)).cast("long"), cap(2, 3, 4, 8).cast("long")
 
 
 def freshness(readiness: Column | str) -> Column:

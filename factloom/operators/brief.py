@@ -11,8 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import receipt_id, summarize_paths
 from . import decisions, graph, lexical, lookup
 
+# Decisions of a brief, symbols and hits that a statement names, and paths that it lists.
+MAX_DECISIONS, SHOWN_SYMBOLS, SHOWN_HITS, SHOWN_PATHS = 4, 2, 4, 4
+
 
 def route(requests: DataFrame) -> DataFrame:
     """Requests with class, latency class, and budgets for candidates, hops and what is packed."""
@@ -20,8 +24,8 @@ def route(requests: DataFrame) -> DataFrame:
     out = out.withColumn("latency_class", rules.latency_class("consumer_type", "latency_budget", "task_type", "depth"))
     out = out.withColumn("max_candidates", rules.candidate_budget("latency_class", "task_type")).withColumn("max_hops", rules.hop_budget("latency_class"))
     out = out.withColumn("second_pass", rules.allows_second_pass("latency_class", "task_type", "depth")).withColumn("freshness_default", rules.default_freshness("task_type"))
-    files, items, docs = rules.packing_budget("token_budget", "latency_class")
-    return out.withColumn("max_files", files).withColumn("max_items", items).withColumn("max_decisions", docs).withColumn("token_bucket", rules_bucket("token_budget"))
+    files, items, zones = rules.packing_budget("token_budget", "latency_class")
+    return out.withColumn("max_files", files).withColumn("max_items", items).withColumn("max_zones", zones).withColumn("token_bucket", rules_bucket("token_budget"))
 
 
 def rules_bucket(tokens: str) -> Column:
@@ -95,30 +99,90 @@ def fragile_zones(suggested: DataFrame, anchors: DataFrame, gaps: DataFrame, lim
 
 
 def statements(signals: DataFrame) -> DataFrame:
-    """What a reader must know, in order, each with its confidence; a row for each statement that holds.
+    """What a reader must know, in order: a row (request_id, place, statement, confidence, freshness, evidence_ids) for each
+    statement that holds.
 
-    signals: request_id, path, symbols, hits (arrays), suggested, required_checks, coverage_gaps, summary (null: all suffices).
+    signals: request_id, scope, path (struct of relative_path, language, size_bytes; null: none), symbols (array of structs
+    of name, relative_path, line_number, kind, fact_id), hits (the first paths) and n_hits, suggested, required_checks,
+    coverage_gaps, classification, sufficient, freshness, capsule_ids.
     """
-    row = lambda n, when, text, trust: F.when(when, F.struct(F.lit(n).alias("n"), text.alias("statement"), F.lit(trust).alias("confidence")))
-    exact = F.col("path").isNotNull() | (F.size("symbols") > 0)
+    none = F.array().cast("array<string>")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    c = F.col
+
+    def row(n: int, when: Column, statement: Column, trust: float, fresh: Column, ids: Column) -> Column:
+        return F.when(when, F.struct(F.lit(n).alias("n"), statement.alias("statement"), F.lit(trust).alias("confidence"), fresh.alias("freshness"), ids.alias("evidence_ids")))
+
+    def symbol(k: int) -> Column:
+        x = F.get("symbols", F.lit(k))
+        said = text("Exact symbol `", x["name"], "` is defined in `", x["relative_path"], "`:", x["line_number"], " as a `", x["kind"], "`.")
+        return row(1 + k, F.size("symbols") > k, said, 0.97, c("freshness"), F.array(receipt_id("symbol_definition", x["fact_id"])))
+
+    exact = c("path").isNotNull() | (F.size("symbols") > 0)
+    shown = F.slice("hits", 1, SHOWN_HITS)
+    # The texts, and how far each kind is to be trusted.
     rows = F.array_compact(F.array(
-        row(0, F.col("path").isNotNull(), F.concat(F.lit("exact path: "), F.col("path")), 0.99),
-        row(1, F.size("symbols") > 0, F.concat(F.lit("exact symbol: "), F.get("symbols", F.lit(0))), 0.97),
-        row(2, F.size("symbols") > 1, F.concat(F.lit("exact symbol: "), F.get("symbols", F.lit(1))), 0.97),
-        row(3, ~exact & (F.size("hits") > 0), F.concat(F.lit("lexical anchors: "), F.array_join(F.slice("hits", 1, 4), ", ")), 0.70),
-        row(4, F.size("suggested") > 1, F.concat(F.lit("adjacent files: "), F.array_join("suggested", ", ")), 0.82),
-        row(5, F.size("required_checks") > 0, F.concat(F.lit("required checks: "), F.array_join("required_checks", ", ")), 0.90),
-        row(6, F.col("summary").isNotNull(), F.concat(F.lit("coverage: "), F.col("summary")), 0.72),
-        row(7, F.size("coverage_gaps") > 0, F.concat(F.lit("no scoped check for "), F.get("coverage_gaps", F.lit(0))), 0.88),
+        row(0, c("path").isNotNull(), text("Exact path `", c("scope"), "` is indexed as `", F.coalesce("path.language", F.lit("unknown")), "` at `", c("path.relative_path"), "` (", c("path.size_bytes"), " bytes)."), 0.99, c("freshness"), F.array(receipt_id("file_anchor", "path.relative_path", "_path"))),
+        *[symbol(k) for k in range(SHOWN_SYMBOLS)],
+        row(3, ~exact & (F.size("hits") > 0), text("Lexical anchors for `", c("scope"), "` matched ", c("n_hits"), " path(s): ", F.array_join(shown, ", "), "."), 0.7, c("freshness"), F.transform(shown, lambda p: receipt_id("lexical_hit", p))),
+        row(4, F.size("suggested") > 1, text("Direct structural adjacency from `", c("scope"), "` reaches ", F.size("suggested"), " indexed file(s): ", summarize_paths("suggested", SHOWN_PATHS), "."), 0.82, c("freshness"), F.coalesce("capsule_ids", none)),
+        row(5, F.size("required_checks") > 0, text("Deterministic required checks are known for this scope: ", F.array_join("required_checks", ", "), "."), 0.9, c("freshness"), F.transform("required_checks", lambda x: receipt_id("verification_target", x, "_planned"))),
+        row(6, ~c("sufficient"), text("Coverage audit for `", c("classification"), "` is incomplete."), 0.72, F.lit("unverified"), none),
+        row(7, F.size("coverage_gaps") > 0, F.get("coverage_gaps", F.lit(0)), 0.88, F.lit("unverified"), none),
     ))
-    return signals.select("request_id", F.inline(rows)).withColumn("place", F.row_number().over(W.partitionBy("request_id").orderBy("n")))
+    return signals.select("request_id", F.posexplode(rows).alias("at", "x")).select("request_id", (F.col("at") + 1).alias("place"), "x.statement", "x.confidence", "x.freshness", "x.evidence_ids")
 
 
 def brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], docs: DataFrame, readiness: str = "ready") -> DataFrame:
     """A briefing for each request that has a scope: anchors, suggested files, relationships, plan, decisions and audit.
 
-    Requests whose scope names a path or symbol skip the full-text stage; the others go there alone.
+    Requests whose scope names a path or symbol skip the full-text stage; the others go there alone. readiness holds for
+    all requests, unless they have a column of that name.
     """
+    return _parts(requests, facts, index, readiness)["brief"]
+
+
+def whole_brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str = "ready") -> DataFrame:
+    """The same with what a reader must know (statements with their evidence, the first of the budget), fragile zones, flows
+    and invariants. A scope that neither names anything nor has a hit gives no brief.
+
+    Lists are made of bounded rows: statements from the first symbols and hits of a request, zones from its suggested files.
+    """
+    parts = _parts(requests, facts, index, readiness)
+    routed, out, hits, report = parts["routed"], graph.cut(parts["brief"], "briefs"), parts["hits"], parts["report"]
+    found = parts["anchors"].select("request_id").distinct()
+    targets = routed.select("request_id", F.col("scope_hint").alias("target"))
+    path = lookup.exact_path(facts["files"], targets).groupBy("request_id").agg(F.min(F.struct("relative_path", "language", "size_bytes")).alias("path"))
+    named = graph.first_of(lookup.exact_symbol(facts["symbols"], targets), SHOWN_SYMBOLS, "relative_path", "line_number", "name", "fact_id")
+    order = F.struct("relative_path", "line_number", "name", "fact_id", "kind")
+    named = named.groupBy("request_id").agg(F.array_sort(F.collect_list(order)).alias("symbols"))
+    shown = hits.groupBy("request_id").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_list(F.when(F.col("place") <= SHOWN_HITS, F.struct("place", "relative_path")))).alias("x")).select("request_id", "n_hits", F.col("x.relative_path").alias("hits"))
+    capsules = report["capsules"].select("request_id", F.col("evidence_ids").alias("capsule_ids"))
+    signals = out.join(found, "request_id", "left_semi").join(targets.withColumnRenamed("target", "scope"), "request_id")
+    for part in (path, named, shown, capsules):
+        signals = signals.join(part, "request_id", "left")
+    no_symbols, none = F.array().cast(named.schema["symbols"].dataType), F.array().cast("array<string>")
+    signals = signals.withColumns({"symbols": F.coalesce("symbols", no_symbols), "hits": F.coalesce("hits", none), "n_hits": F.coalesce("n_hits", F.lit(0)), "suggested": F.col("suggested_files"), "freshness": rules.freshness("readiness")})
+    budget = routed.select("request_id", "max_items", "max_zones")
+    told = statements(signals).join(budget, "request_id").where(F.col("place") <= F.col("max_items"))
+    told = told.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "statement", "confidence", "freshness", "evidence_ids"))).alias("must_know"))
+    # The texts.
+    rest = parts["suggested"].join(parts["anchors"].select("request_id", "relative_path").distinct(), ["request_id", "relative_path"], "left_anti")
+    zones = rest.select("request_id", F.struct(F.lit(0).alias("part"), F.col("place").cast("long").alias("nth"), F.concat(F.lit("direct structural neighbor `"), "relative_path", F.lit("` may require coordinated review")).alias("zone")).alias("z"))
+    gaps = out.select("request_id", F.posexplode("coverage_gaps").alias("nth", "zone")).select("request_id", F.struct(F.lit(1).alias("part"), F.col("nth").cast("long").alias("nth"), "zone").alias("z"))
+    zones = zones.union(gaps).groupBy("request_id").agg(F.array_sort(F.collect_list("z")).alias("z")).join(budget, "request_id")
+    zones = zones.select("request_id", F.slice(F.col("z.zone"), F.lit(1), F.col("max_zones").cast("int")).alias("fragile_zones"))
+    flows = graph.render_capsule(report["capsules"]).groupBy("request_id").agg(F.array_sort(F.collect_list("line")).alias("relevant_flows"))
+    kept = report["invariants"].groupBy("request_id").agg(F.array_sort(F.collect_set("invariant")).alias("do_not_break"))
+    out = out.join(found, "request_id", "left_semi").join(told, "request_id", "left")
+    for part in (zones, flows, kept):
+        out = out.join(part, "request_id", "left")
+    return out.withColumns({x: F.coalesce(x, none) for x in ("fragile_zones", "relevant_flows", "do_not_break")})
+
+
+def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str) -> dict:
+    """The stages that briefs are made of."""
+    state = F.col("readiness") if "readiness" in requests.columns else F.lit(readiness)
     routed = graph.cut(route(requests.where("scope_hint is not null")), "routed")
     targets = routed.select("request_id", F.col("scope_hint").alias("target"))
     report = graph.blast_radius(targets, facts)
@@ -141,16 +205,17 @@ def brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Dat
     none = F.array().cast("array<string>")
     for c in ("suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs"):
         out = out.withColumn(c, F.coalesce(c, none))
-    out = out.withColumn("decision_docs", F.when(F.col("classification") == "decision_why", F.slice("decision_docs", F.lit(1), F.col("max_decisions").cast("int"))).otherwise(none))
+    out = out.withColumn("decision_docs", F.when(F.col("classification") == "decision_why", F.slice("decision_docs", 1, MAX_DECISIONS)).otherwise(none))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     totals = facts["verification_targets"].agg(F.count("*").alias("targets")).join(F.broadcast(facts["files"].agg(F.count_if(lookup.looks_like_decision_doc("relative_path", "language", "extension")).alias("decision_files"))))
     signals = out.join(F.broadcast(totals)).select(  # one row
         "request_id", zero("anchors"), F.size("suggested_files").alias("suggested"), zero("relationships"), zero("capsules"), F.size("required_checks").alias("required"), F.size("recommended_checks").alias("recommended"),
-        "targets", F.when(F.size("suggested_files") > 0, F.lit("impact")).alias("impact"), zero("changed"), F.size("decision_docs").alias("decisions"), F.col("decision_files").alias("decision_docs"), F.lit(readiness).alias("readiness"),
+        "targets", F.when(F.size("suggested_files") > 0, F.lit("impact")).alias("impact"), zero("changed"), F.size("decision_docs").alias("decisions"), F.col("decision_files").alias("decision_docs"), state.alias("readiness"),
     )
     checked = audit_summary(audit(required_slots(routed), signals))
     out = out.join(checked.select("request_id", "sufficient", "insufficient_slots", "wants_second_pass"), "request_id").withColumn("impact_level", rules.impact_level(F.coalesce("changed", F.lit(0))))
-    return out.select("request_id", "classification", "latency_class", "max_hops", "max_candidates", "suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs", "impact_level", "sufficient", "insufficient_slots", (F.col("wants_second_pass") & F.col("second_pass")).alias("second_pass"), F.lit(readiness).alias("readiness"))
+    out = out.select("request_id", "classification", "latency_class", "max_hops", "max_candidates", "suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs", "impact_level", "sufficient", "insufficient_slots", (F.col("wants_second_pass") & F.col("second_pass")).alias("second_pass"), state.alias("readiness"))
+    return {"routed": routed, "report": report, "hits": hits, "anchors": anchors, "suggested": suggested, "brief": out}
 
 
 def impact_summary(suggested: DataFrame, scopes: DataFrame) -> DataFrame:

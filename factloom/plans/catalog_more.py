@@ -79,21 +79,27 @@ def i13_compile_packs(spark, d):
 
 
 @add(
-    """SELECT request_id, statement, confidence, row_number() OVER (PARTITION BY request_id ORDER BY n) AS place FROM (
-  SELECT relative_path AS request_id, 0 AS n, 'exact path: ' || relative_path AS statement, 0.99 AS confidence FROM files WHERE language = 'en' UNION ALL SELECT relative_path, 1, 'exact symbol: ' || language, 0.97 FROM files WHERE language IN ('en', 'de')
-  UNION ALL SELECT relative_path, 3, 'lexical anchors: ' || content_hash, 0.70 FROM files WHERE language NOT IN ('en', 'de') UNION ALL SELECT relative_path, 5, 'required checks: cargo test', 0.90 FROM files WHERE size_bytes > 2000
-  UNION ALL SELECT relative_path, 6, 'coverage: weak', 0.72 FROM files WHERE size_bytes > 5000)""",
+    """SELECT request_id, statement, confidence, freshness, row_number() OVER (PARTITION BY request_id ORDER BY n) AS place FROM (
+  SELECT relative_path AS request_id, 0 AS n, 'Exact path `' || relative_path || '` is indexed as `en` at `' || relative_path || '` (' || size_bytes || ' bytes).' AS statement, 0.99 AS confidence, 'fresh' AS freshness FROM files WHERE language = 'en'
+  UNION ALL SELECT relative_path, 1, 'Exact symbol `' || language || '` is defined in `' || relative_path || '`:7 as a `struct`.', 0.97, 'fresh' FROM files WHERE language IN ('en', 'de')
+  UNION ALL SELECT relative_path, 3, 'Lexical anchors for `' || relative_path || '` matched 9 path(s): ' || content_hash || '.', 0.70, 'fresh' FROM files WHERE language NOT IN ('en', 'de')
+  UNION ALL SELECT relative_path, 4, 'Direct structural adjacency from `' || relative_path || '` reaches 6 indexed file(s): 1, 2, 3, 4, and 2 more.', 0.82, 'fresh' FROM files WHERE size_bytes % 2 = 0
+  UNION ALL SELECT relative_path, 5, 'Deterministic required checks are known for this scope: cargo test, cargo check.', 0.90, 'fresh' FROM files WHERE size_bytes > 2000
+  UNION ALL SELECT relative_path, 6, 'Coverage audit for `bug_fix` is incomplete.', 0.72, 'unverified' FROM files WHERE size_bytes > 5000 UNION ALL SELECT relative_path, 7, 'no check', 0.88, 'unverified' FROM files WHERE size_bytes > 9000)""",
     (A.FILES,),
 )
 def f15_statements(spark, d):
-    """What a reader of each file's brief must know, from signals that reach most rules."""
+    """What a reader of each file's brief must know, from signals that reach every rule."""
     none = F.array().cast("array<string>")
-    f = A.files(spark, d)
+    many = lambda n: F.array(*[F.lit(str(k)) for k in range(1, n + 1)])
+    f, size = A.files(spark, d), F.col("size_bytes")
+    symbol = F.struct(F.col("language").alias("name"), "relative_path", F.lit(7).alias("line_number"), F.lit("struct").alias("kind"), F.col("relative_path").alias("fact_id"))
     signals = f.select(
-        F.col("relative_path").alias("request_id"), F.when(F.col("language") == "en", F.col("relative_path")).alias("path"), F.when(F.col("language").isin("en", "de"), F.array("language")).otherwise(none).alias("symbols"), F.array("content_hash").alias("hits"),
-        F.array("relative_path").alias("suggested"), F.when(F.col("size_bytes") > 2000, F.array(F.lit("cargo test"))).otherwise(none).alias("required_checks"), none.alias("coverage_gaps"), F.when(F.col("size_bytes") > 5000, "weak").alias("summary"),
+        F.col("relative_path").alias("request_id"), F.col("relative_path").alias("scope"), F.when(F.col("language") == "en", F.struct("relative_path", "language", "size_bytes")).alias("path"), F.array_compact(F.array(F.when(F.col("language").isin("en", "de"), symbol))).alias("symbols"),
+        F.array("content_hash").alias("hits"), F.lit(9).alias("n_hits"), F.when(size % 2 == 0, many(6)).otherwise(many(1)).alias("suggested"), F.when(size > 2000, F.array(F.lit("cargo test"), F.lit("cargo check"))).otherwise(none).alias("required_checks"),
+        F.when(size > 9000, F.array(F.lit("no check"))).otherwise(none).alias("coverage_gaps"), F.lit("bug_fix").alias("classification"), (size <= 5000).alias("sufficient"), F.lit("fresh").alias("freshness"), none.alias("capsule_ids"),
     )
-    return brief.statements(signals).select("request_id", "statement", F.col("confidence").cast("decimal(3,2)").alias("confidence"), "place")
+    return brief.statements(signals).select("request_id", "statement", F.col("confidence").cast("decimal(3,2)").alias("confidence"), "freshness", "place")
 
 
 @add(

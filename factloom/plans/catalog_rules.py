@@ -46,18 +46,18 @@ _ROUTED = """routed AS (
     CASE latency_class WHEN 'instant' THEN 1 WHEN 'interactive' THEN 2 WHEN 'deep' THEN 3 ELSE 0 END AS max_hops,
     CASE latency_class WHEN 'interactive' THEN task_type <> 'query' AND depth <> 'compact' ELSE latency_class = 'deep' END AS second_pass,
     CASE WHEN task_type IN ('safe_edit', 'blast_radius', 'semantic_diff') THEN 'fresh_preferred' ELSE 'any' END AS freshness_default,
-    least(CASE WHEN token_budget <= 2048 THEN 3 WHEN token_budget <= 4096 THEN 5 ELSE 5 + ceil(token_budget / 4096.0) END, CASE latency_class WHEN 'instant' THEN 3 WHEN 'interactive' THEN 16 WHEN 'deep' THEN 48 ELSE 256 END)::BIGINT AS max_files,
-    least(CASE WHEN token_budget <= 2048 THEN 4 WHEN token_budget <= 4096 THEN 6 ELSE 4 + 2 * ceil(token_budget / 4096.0) END, CASE latency_class WHEN 'instant' THEN 4 WHEN 'interactive' THEN 24 WHEN 'deep' THEN 96 ELSE 512 END)::BIGINT AS max_items,
-    CASE latency_class WHEN 'instant' THEN 2 WHEN 'interactive' THEN 3 WHEN 'deep' THEN 4 ELSE 8 END AS max_decisions, (ceil(token_budget / 1024.0) * 1024)::BIGINT AS token_bucket
+    least(CASE WHEN token_budget <= 2048 THEN 3 WHEN token_budget <= 4096 THEN 5 ELSE 5 + ceil(token_budget / 4096.0) END, CASE latency_class WHEN 'instant' THEN 3 WHEN 'interactive' THEN 16 WHEN 'deep' THEN 48 ELSE 256 END)::BIGINT AS max_items,
+    least(CASE WHEN token_budget <= 2048 THEN 4 WHEN token_budget <= 4096 THEN 6 ELSE 4 + 2 * ceil(token_budget / 4096.0) END, CASE latency_class WHEN 'instant' THEN 4 WHEN 'interactive' THEN 24 WHEN 'deep' THEN 96 ELSE 512 END)::BIGINT AS max_files,
+    CASE latency_class WHEN 'instant' THEN 2 WHEN 'interactive' THEN 3 WHEN 'deep' THEN 4 ELSE 8 END AS max_zones, (ceil(token_budget / 1024.0) * 1024)::BIGINT AS token_bucket
   FROM (SELECT *, CASE WHEN consumer_type = 'background_worker' THEN 'background' WHEN latency_budget <= 150 THEN 'instant' WHEN latency_budget <= 800 THEN 'interactive' WHEN latency_budget IS NOT NULL THEN 'deep'
       WHEN task_type = 'query' AND depth = 'compact' THEN 'instant' WHEN task_type IN ('repo_onboarding', 'semantic_diff') OR depth = 'deep' THEN 'deep' ELSE 'interactive' END AS latency_class FROM classed)
 )"""
 
 
-@add("SELECT request_id, latency_class, max_candidates, max_hops, second_pass, freshness_default, max_files, max_items, max_decisions, token_bucket FROM routed", (A.REQUESTS, _CLASS, _ROUTED))
+@add("SELECT request_id, latency_class, max_candidates, max_hops, second_pass, freshness_default, max_files, max_items, max_zones, token_bucket FROM routed", (A.REQUESTS, _CLASS, _ROUTED))
 def i2_i4_f17_route(spark, d):
     """Latency class and all budgets of every request."""
-    return brief.route(A.requests(spark, d)).select("request_id", "latency_class", "max_candidates", "max_hops", "second_pass", "freshness_default", "max_files", "max_items", "max_decisions", "token_bucket")
+    return brief.route(A.requests(spark, d)).select("request_id", "latency_class", "max_candidates", "max_hops", "second_pass", "freshness_default", "max_files", "max_items", "max_zones", "token_bucket")
 
 
 _SLOTS = """slots AS (

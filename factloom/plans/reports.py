@@ -40,4 +40,4 @@ hop1 AS (SELECT DISTINCT t, b AS p FROM seeds JOIN ways ON a = p WHERE (t, b) NO
 hop2 AS (SELECT DISTINCT t, b AS p FROM hop1 JOIN ways ON a = p WHERE (t, b) NOT IN (SELECT (t, p) FROM seeds) AND (t, b) NOT IN (SELECT (t, p) FROM hop1)),
 around AS (SELECT t, p, hop FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY hop, p) AS n FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2)) WHERE n <= 24),
 listed AS (SELECT t, p, min((part, hop)) AS first FROM (SELECT t, p, 0 AS part, 0 AS hop FROM near UNION ALL SELECT t, p, 2, hop FROM around) GROUP BY t, p),
-suggested AS (SELECT t, list(p ORDER BY n) AS files FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY first, p) AS n FROM listed) WHERE n <= 5 GROUP BY t)"""
+suggested AS (SELECT t, list(p ORDER BY n) AS files FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY first, p) AS n FROM listed) WHERE n <= 6 GROUP BY t)"""
