@@ -192,7 +192,9 @@ def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Da
     hits = graph.cut(lexical.search(index, queries), "hits")
     anchors = seeds.select("request_id", "relative_path").union(hits.select("request_id", "relative_path"))
     most = routed.agg(F.max("max_hops")).first()[0] or 0
-    near = graph.expand(anchors, facts["imports"], most).where("hop > 0").join(routed.select("request_id", "max_hops", "max_candidates"), "request_id").where("hop <= max_hops")
+    reached = graph.expand(anchors, facts["imports"], most).join(routed.select("request_id", "max_hops", "max_candidates"), "request_id").where("hop <= max_hops")
+    reached = graph.cut(reached, "reached")
+    near = reached.where("hop > 0")
     near = near.withColumn("n", F.row_number().over(W.partitionBy("request_id").orderBy("hop", "relative_path"))).where("n <= max_candidates").select("request_id", "relative_path", "hop")
     near = graph.cut(near, "near")
     suggested = graph.cut(suggested_files(paths, hits, near, routed), "suggested")
@@ -215,7 +217,71 @@ def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Da
     checked = audit_summary(audit(required_slots(routed), signals))
     out = out.join(checked.select("request_id", "sufficient", "insufficient_slots", "wants_second_pass"), "request_id").withColumn("impact_level", rules.impact_level(F.coalesce("changed", F.lit(0))))
     out = out.select("request_id", "classification", "latency_class", "max_hops", "max_candidates", "suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs", "impact_level", "sufficient", "insufficient_slots", (F.col("wants_second_pass") & F.col("second_pass")).alias("second_pass"), state.alias("readiness"))
-    return {"routed": routed, "report": report, "hits": hits, "anchors": anchors, "suggested": suggested, "brief": out}
+    return {"routed": routed, "report": report, "hits": hits, "anchors": anchors, "suggested": suggested, "reached": reached, "brief": out}
+
+
+# --- briefs that are kept ----------------------------------------------------------------------------------------------
+
+
+def cache_key(requests: DataFrame) -> Column:
+    """What a brief is kept by: work, goal, question and scope (requests with model_class and max_context_tokens: these too), and
+    the budget in steps of 1,024 tokens."""
+    scope = F.coalesce("scope_hint", F.lit("global"))
+    model = [F.concat("model_class", F.lit("-"), F.floor(F.col("max_context_tokens") / 1000).cast("string"), F.lit("k"))] if "model_class" in requests.columns else []
+    return F.concat_ws("::", "task_type", "goal", "question", scope, *model, rules_bucket("token_budget").cast("string"))
+
+
+def kept_briefs(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str = "ready") -> dict[str, DataFrame]:
+    """Briefs, and what each depends on: uses (request_id, relative_path), every path from which it may have taken a fact, and
+    whole (request_id): briefs that depend on more than paths, for they came from full text."""
+    parts = _parts(requests, facts, index, readiness)
+    paths = [parts["reached"], parts["report"]["paths"], parts["report"]["seeds"], parts["anchors"]]
+    uses = paths[0].select("request_id", "relative_path")
+    for p in paths[1:]:
+        uses = uses.union(p.select("request_id", "relative_path"))
+    whole = parts["routed"].select("request_id").join(parts["report"]["seeds"].select("request_id"), "request_id", "left_anti")
+    return {"briefs": graph.cut(parts["brief"], "briefs"), "uses": graph.cut(uses.distinct(), "uses"), "whole": graph.cut(whole, "whole")}
+
+
+def _differs(old: DataFrame, new: DataFrame, *columns: str) -> DataFrame:
+    a, b = old.select(*columns).distinct(), new.select(*columns).distinct()
+    return a.subtract(b).union(b.subtract(a))
+
+
+def touched(kept: dict[str, DataFrame], requests: DataFrame, old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """Requests (request_id) whose brief a change of facts may touch.
+
+    That is: it used a path of a file, symbol or import that differs, or its scope is such a path or name; it came from full
+    text, whose statistics any file changes; it asks for decisions, and decision documents differ; or checks differ,
+    which are planned for all. Also requests that have no brief yet.
+    """
+    files = _differs(old["files"], new["files"], "relative_path", "language", "extension", "size_bytes", "content_hash")
+    symbols = _differs(old["symbols"], new["symbols"], "fact_id", "relative_path", "name", "kind", "line_number")
+    imports = _differs(old["imports"], new["imports"], "fact_id", "importer_path", "import_spec", "resolved_path", "line_number")
+    files, symbols, imports = (graph.cut(x, "differs") for x in (files, symbols, imports))
+    ends = imports.select(F.explode(F.array_compact(F.array("importer_path", "resolved_path"))).alias("relative_path"))
+    paths = files.select("relative_path").union(symbols.select("relative_path")).union(ends).distinct()
+    scopes = paths.select(F.col("relative_path").alias("scope_hint")).union(symbols.select(F.col("name").alias("scope_hint"))).distinct()
+    briefs = kept["briefs"]
+    out = kept["uses"].join(paths, "relative_path", "left_semi").select("request_id")
+    out = out.union(requests.join(scopes, "scope_hint", "left_semi").select("request_id"))
+    out = out.union(requests.select("request_id").join(briefs.select("request_id"), "request_id", "left_anti"))
+    if not files.isEmpty():
+        out = out.union(kept["whole"].select("request_id"))
+        if not files.where(lookup.looks_like_decision_doc("relative_path", "language", "extension")).isEmpty():
+            out = out.union(briefs.where("classification = 'decision_why'").select("request_id"))
+    if not _differs(old["verification_targets"], new["verification_targets"], *new["verification_targets"].columns).isEmpty():
+        out = out.union(briefs.select("request_id"))
+    return out.distinct()
+
+
+def maintained(kept: dict[str, DataFrame], requests: DataFrame, old: dict[str, DataFrame], new: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str = "ready") -> dict[str, DataFrame]:
+    """kept briefs after facts changed from old to new (index: of new): those that the change touches are made anew, the others
+    stay as they are; `redone` has the requests of the former."""
+    redo = graph.cut(touched(kept, requests, old, new), "touched")
+    fresh = kept_briefs(requests.join(redo, "request_id", "left_semi"), new, index, readiness)
+    live = lambda df: df.join(redo, "request_id", "left_anti").join(requests.select("request_id"), "request_id", "left_semi")
+    return {name: live(kept[name]).unionByName(fresh[name]) for name in ("briefs", "uses", "whole")} | {"redone": redo}
 
 
 def impact_summary(suggested: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -60,3 +60,28 @@ def i12_whole_briefs(spark, d):
     found = brief.whole_brief(asked, facts, lexical.build_index(docs)).select("request_id", F.inline("must_know"))
     first = F.when(F.col("confidence").isin(0.99, 0.97, 0.7), F.get("evidence_ids", F.lit(0)))
     return found.select("request_id", "statement", F.col("confidence").cast("decimal(3,2)").alias("confidence"), "freshness", first.alias("evidence"), "place")
+
+
+_ONE_LESS = "every_import AS (SELECT * FROM imports), fewer AS (SELECT * FROM every_import WHERE NOT (importer_path = 'Brand#3' AND line_number > 20))"
+
+
+def _over(sql: str) -> str:
+    """SQL of briefs over the imports that are left."""
+    return sql.replace(" imports ", " fewer ").replace("JOIN imports", "JOIN fewer")
+
+
+@add(
+    "SELECT t AS request_id, files AS suggested_files, CASE WHEN n <= 1 THEN 'none' WHEN n <= 4 THEN 'localized' WHEN n <= 8 THEN 'moderate' ELSE 'high' END AS impact_level FROM suggested JOIN (SELECT t, count(*) AS n FROM near GROUP BY t) USING (t)",
+    (A.SYMBOLS, A.PART_IMPORTS, _ONE_LESS, R.BRANDS, _over(R.SEEDS), _over(R.BRIEFS)),
+)
+def i11_kept_briefs(spark, d):
+    """Briefs of every brand that are kept while some imports of one brand go: those which may have used them are made anew."""
+    s, i = A.symbols(spark, d), A.part_imports(spark, d)
+    files = s.select("relative_path").distinct().select(F.lit("parts").alias("snapshot_id"), "relative_path", F.lit("rs").alias("extension"), F.lit("rust").alias("language"), F.lit(10).cast("long").alias("size_bytes"), F.lit("h").alias("content_hash"))
+    old = {"files": files, "symbols": s, "imports": i, "verification_targets": A.targets(spark)}
+    new = old | {"imports": i.where("not (importer_path = 'Brand#3' and line_number > 20)")}
+    scope = F.col("relative_path")
+    asked = files.select(scope.alias("request_id"), scope.alias("scope_hint"), scope.alias("goal"), scope.alias("question"), F.lit("safe_edit").alias("task_type"), F.lit("human").alias("consumer_type"), F.lit("standard").alias("depth"), F.lit(4096).alias("token_budget"), F.lit(800).alias("latency_budget"))
+    index = lexical.build_index(files.select("snapshot_id", "relative_path", lexical.body("relative_path", F.lit("")).alias("body")))
+    kept = brief.kept_briefs(asked, old, index)
+    return brief.maintained(kept, asked, old, new, index)["briefs"].select("request_id", "suggested_files", "impact_level")

@@ -181,6 +181,25 @@ def a7_a8_round_trip_by_value(spark, d):
     return out.union(row("imports", "importer_path", "import_spec", "resolved_path", "line_number")).union(row("verification_targets", "scope_root", "label", "kind", F.lit(None).cast("long")))
 
 
+@add(
+    "SELECT 'files' AS part, relative_path AS key, CAST(1 AS BIGINT) AS n, true AS skips FROM (SELECT max(relative_path) AS relative_path FROM tree) UNION ALL SELECT 'symbols', name, n, true FROM (SELECT name, count(*) AS n FROM syms WHERE name = (SELECT max(name) FROM syms) GROUP BY name)",
+    (_DOC, _TREE, _SYMBOLS),
+)
+def a23_b7_stored_lookups(spark, d):
+    """The last path and the last name looked up in a stored snapshot, whose scans leave out what cannot hold them."""
+    root = scratch(spark, "snapshots")
+    store.write_snapshot(facts(spark, d), root, 16)
+    out = None
+    for name in ("files", "symbols"):
+        all_ = store.read_snapshot(spark, root, "tree")[name]
+        key = store.ORDER[name][0]
+        found = store.lookup(spark, root, name, "tree", all_.agg(F.max(key)).first()[0])
+        found.collect()
+        one = found.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "key", "n", F.lit(store.rows_read(found) * 4 < all_.count()).alias("skips"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @add(
     """SELECT 'cargo test (in ' || working_directory || ') [scope:' || scope_root || ']' AS target, 'removed' AS change FROM goals WHERE command = 'cargo test' UNION
 SELECT 'cargo test (in ' || working_directory || ') [scope:' || scope_root || '/src]', 'added' FROM goals WHERE command = 'cargo test'""",

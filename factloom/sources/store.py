@@ -1,4 +1,8 @@
-"""Snapshots as datasets: one Parquet folder for each fact table, partitioned by snapshot; JSON in and out."""
+"""Snapshots as datasets: one Parquet folder for each fact table, partitioned by snapshot; JSON in and out.
+
+A table is written without equal rows and in ranges of the key that it is looked up by, sorted in each file. So a lookup of one
+key reads the files, and of these the groups of rows, whose range holds it, and a path's facts lie together.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,18 @@ from ..functions.text import import_fact_id, symbol_fact_id
 from .schema import JSON_ALIASES, TABLES, ddl
 
 FACTS = ("files", "symbols", "imports", "verification_targets")
+#: The canonical order of each table, the key of its lookups first.
+ORDER = {"files": ("relative_path",), "symbols": ("name", "relative_path", "line_number", "fact_id"), "imports": ("importer_path", "line_number", "import_spec", "fact_id"), "verification_targets": ("scope_root", "label", "kind", "command")}
 
 
-def write_snapshot(facts: dict[str, DataFrame], root: str) -> None:
-    """Each table below root; only the partitions of the snapshots written are replaced."""
+def write_snapshot(facts: dict[str, DataFrame], root: str, ranges: int | None = None) -> None:
+    """Each table below root; only the partitions of the snapshots written are replaced. ranges: of keys, and so files of a
+    table; by default as many as its size asks for."""
     for name in FACTS:
+        keys = ("snapshot_id", *ORDER[name])
         rows = facts[name].dropDuplicates()
+        rows = rows.repartitionByRange(*keys) if ranges is None else rows.repartitionByRange(ranges, *keys)
+        rows = rows.sortWithinPartitions(*keys)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
 
 
@@ -27,6 +37,21 @@ def read_snapshot(spark: SparkSession, root: str, snapshot_id: str | None = None
     return out
 
 
+def lookup(spark: SparkSession, root: str, name: str, snapshot_id: str, key: str) -> DataFrame:
+    """Facts of a snapshot by the key of their table: files by path, symbols by name, imports by importer, targets by scope."""
+    return read_snapshot(spark, root, snapshot_id)[name].where(F.col(ORDER[name][0]) == key)
+
+
+def rows_read(df: DataFrame) -> int:
+    """How many rows the scans of a plan have read, after it ran: rows of files and groups that were left out do not count."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    total = 0
+    for k in range(leaves.size()):
+        found = leaves.apply(k).metrics().get("numOutputRows")
+        total += found.get().value() if found.isDefined() else 0
+    return total
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

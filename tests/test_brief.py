@@ -1,5 +1,7 @@
 """Whole briefs over a small tree: exact paths and symbols, full text, unknown scopes, budgets and readiness."""
 
+import random
+
 import pytest
 
 from factloom.operators import brief, lexical
@@ -54,3 +56,48 @@ def test_zones_flows_and_invariants(spark, tree):
     assert len(path.relevant_flows) == 1 and path.relevant_flows[0].startswith("structural flow around `src/lib.rs`: ")
     assert "anchor path `src/lib.rs` remains part of the scoped change envelope" in path.do_not_break and "direct structural edge `src/a.rs` -> `src/lib.rs` remains intact" in path.do_not_break
     assert got["why"].classification == "decision_why" and got["why"].decision_docs == ["docs/adr-1.md"]
+
+
+def grown(spark, draw, n):
+    """A tree of n files that import each other at random, and its index."""
+    paths = [f"src/m{k:02}.rs" for k in range(n)]
+    files = [("s", p, "rs", "rust", 10 + k, f"h{k}") for k, p in enumerate(paths)]
+    symbols = [("s", f"sym_{k}", f"Name{k % (n - 3)}", draw.choice(["struct", "function"]), p, "rust", 1 + k % 7, "x") for k, p in enumerate(paths)]
+    imports = [("s", f"imp_{k}", a, f"crate::m{k}", 1, "rust", "use", b, "x") for k, (a, b) in enumerate((draw.choice(paths), draw.choice(paths)) for _ in range(n))]
+    return {"files": files, "symbols": symbols, "imports": imports, "verification_targets": [("s", "cargo tests", "", ".", ["cargo", "test"], "test", "required")]}
+
+
+def frames(spark, rows):
+    facts = {name: spark.createDataFrame(x, ddl(name)) for name, x in rows.items()}
+    docs = facts["files"].selectExpr("snapshot_id", "relative_path", "concat(relative_path, ' text of ', content_hash) AS body")
+    return facts, lexical.build_index(docs)
+
+
+@pytest.mark.parametrize("change", ["import", "symbol", "decision"])
+def test_kept_briefs_are_those_of_a_full_run(spark, change):
+    draw = random.Random(4)
+    old = grown(spark, draw, 40)
+    new = {name: list(x) for name, x in old.items()}
+    if change == "import":
+        new["imports"][3] = (*new["imports"][3][:7], "src/m17.rs", "x")
+    elif change == "symbol":
+        new["symbols"].append(("s", "sym_new", "Name5", "enum", "src/m30.rs", "rust", 2, "x"))
+    elif change == "decision":
+        new["files"].append(("s", "docs/adr-1.md", "md", "markdown", 5, "d"))
+    rows = [asked(f"p{k}", f"src/m{k:02}.rs") for k in range(40)] + [asked(f"n{k}", f"Name{k}", ready="stale") for k in range(0, 37, 3)] + [asked("t", "text of h3"), asked("w", "Name1", "query", goal="why is it so")]
+    requests = spark.createDataFrame(rows, REQUEST)
+    (facts, index), (facts2, index2) = frames(spark, old), frames(spark, new)
+    kept = brief.kept_briefs(requests, facts, index)
+    got = brief.maintained(kept, requests, facts, facts2, index2)
+    full = brief.kept_briefs(requests, facts2, index2)
+    for name, df in full.items():
+        assert sorted(map(str, got[name].select(df.columns).collect())) == sorted(map(str, df.collect()))
+    redone = got["redone"].count()
+    assert 0 < redone < len(rows) and brief.touched(full, requests, facts2, facts2).isEmpty()
+    checks = facts2["verification_targets"].union(spark.createDataFrame([("s", "more", "", ".", ["cargo", "clippy"], "quality", "required")], ddl("verification_targets")))
+    assert brief.touched(full, requests, facts2, facts2 | {"verification_targets": checks}).count() == len(rows)  # checks are planned for all
+
+
+def test_keys_of_kept_briefs(spark):
+    r = spark.createDataFrame([asked("a", None), asked("b", "x", tokens=1025)], REQUEST)
+    assert [x.k for x in r.select(brief.cache_key(r).alias("k")).collect()] == ["safe_edit::x::q::global::4096", "safe_edit::x::q::x::2048"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.sources import extract, scan, store
+from factloom.sources.schema import ddl
 
 TREE = {
     "src/lib.rs": "mod inner;\npub use crate::inner::helper;\npub struct RepositoryScanner {}\n\n#[cfg(test)]\nmod tests {\n    fn hidden() {}\n}\npub const fn after() {}\n",
@@ -100,3 +101,18 @@ def test_inventory_json_fills_in_ids(spark, tmp_path):
     assert out["symbols"].first().fact_id == "sym_rust_src_lib_rs_1_function_value"
     r = out["imports"].first()
     assert (r.kind, r.fact_id) == ("js_import", "imp_typescript_a_ts_1_js_import___b") and out["files"].count() == 1 and out["verification_targets"].count() == 0
+
+
+def test_a_lookup_reads_the_groups_that_may_hold_its_key(spark, tmp_path):
+    root = str(tmp_path / "snapshots")
+    n = 4000
+    paths = [f"src/{k % 50:02}/f{k:05}.rs" for k in range(n)]
+    made = {
+        "files": spark.createDataFrame([("s", p, "rs", "rust", 1, "h") for p in paths] * 2, ddl("files")), "symbols": spark.createDataFrame([("s", f"sym{k}", f"name{k % 1000:04}", "function", p, "rust", 1, "x") for k, p in enumerate(paths)], ddl("symbols")),
+        "imports": spark.createDataFrame([("s", f"imp{k}", p, "x", 1, "rust", "use", None, "x") for k, p in enumerate(paths)], ddl("imports")), "verification_targets": spark.createDataFrame([("s", "l", "", ".", ["c"], "test", "required")], ddl("verification_targets")),
+    }
+    store.write_snapshot(made, root, 20)
+    for name, key, many in (("files", paths[1234], 1), ("symbols", "name0777", 4), ("imports", paths[7], 1)):
+        found = store.lookup(spark, root, name, "s", key)
+        assert len(found.collect()) == many and many <= store.rows_read(found) < n / 8
+    assert store.read_snapshot(spark, root, "s")["files"].count() == n  # equal rows once
