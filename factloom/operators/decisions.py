@@ -185,6 +185,52 @@ def _hits(docs: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     return found.groupBy("request_id", "relative_path").agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in KINDS])
 
 
+def _with_held(docs: DataFrame, terms: DataFrame, column: str, most: int = MAX_TERMS) -> DataFrame:
+    """docs (strings and numbers) with `held`, the different terms (a frame of one column) that the column holds, sorted.
+
+    As `term_hits`, but a row stays one row: blocks of terms are passes in the same task, and nothing is shuffled.
+    """
+    different = terms.where("term <> ''").distinct()
+    blocks = max(1, -(-different.count() // most))
+    out = docs.withColumn("held", F.array().cast("array<string>"))
+    at = docs.columns.index(column)
+    for k in range(blocks):
+        some = different if blocks == 1 else different.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        words = [r.term for r in some.collect()]  # a block is at most about `most` terms
+
+        def found(batches: Iterable[pa.RecordBatch], words: list[str] = words) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                held = [sorted({*old, *(word for _, word in automaton.iter(text or ""))}) for text, old in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.list_(pa.string()))], names=batch.schema.names)
+
+        if words:
+            out = out.mapInArrow(found, out.schema)
+    return out
+
+
+def _first_held(docs: DataFrame, terms: DataFrame, column: str, points: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (relative_path, priority, column) those that can be among a request's first `most` by worth and path: near
+    (relative_path, priority), and met (request_id, relative_path, worth, priority) where a term of the request is held.
+
+    Paths of one priority that hold the same terms are worth the same to every request, so of these the first `most` are
+    enough. Each task leaves out the others before anything is shuffled, and what meets the requests does not grow with docs.
+    """
+    own = _with_held(docs.select("relative_path", "priority", column), terms, column).drop(column)
+    place = F.dense_rank().over(W.partitionBy("priority", "held").orderBy("relative_path"))
+    near = cut(own.withColumn("place", place).where(F.col("place") <= most).drop("place").distinct(), "near")
+    each = near.select("held").distinct().select("held", F.explode("held").alias("term")).join(terms, "term")
+    worth = sum((F.count_if(F.col("kind") == kind) * n for kind, n in zip(KINDS, points, strict=True)), F.lit(0))
+    met = each.groupBy("request_id", "held").agg(worth.alias("worth")).join(near, "held").groupBy("request_id", "relative_path", "priority").agg(F.max("worth").alias("worth"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc(F.col("worth") + F.col("priority")), "relative_path"))
+    return near.select("relative_path", "priority").distinct(), met.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def _worth(points: tuple[int, ...]) -> Column:
     return sum((F.col(kind) * n for kind, n in zip(KINDS[1:], points[1:], strict=True)), F.col(KINDS[0]) * points[0])
 
@@ -203,11 +249,11 @@ def candidate_paths(requests: DataFrame, docs: DataFrame, hits: DataFrame, terms
     lists = [requests.select("request_id", F.posexplode(F.array_sort(F.array_distinct("anchors")) if name == "anchors" else F.col(name)).alias("nth", "relative_path"), F.lit(rank).alias("rank")) for rank, name in ((1, "anchors"), (2, "suggested"))]
     first = hits.where(F.col("place") <= MAX_LEXICAL).select("request_id", F.col("place").alias("nth"), "relative_path", F.lit(0).alias("rank"))
     named = first.unionByName(lists[0]).unionByName(lists[1]).withColumn("relative_path", F.translate("relative_path", "\\", "/"))
-    own = cut(_decision_docs(docs).select("relative_path", ascii_lower("relative_path").alias("lower"), path_priority("relative_path").alias("priority")), "paths")
-    met = _hits(own, terms, "lower").select("request_id", "relative_path", _worth(SEED_POINTS).alias("worth"))
-    strong = own.where("priority >= 10").orderBy(F.desc("priority"), "relative_path").limit(most).select("relative_path")
+    own = _decision_docs(docs).select("relative_path", ascii_lower("relative_path").alias("lower"), path_priority("relative_path").alias("priority"))
+    near, met = _first_held(own, terms, "lower", SEED_POINTS, most)
+    strong = near.where("priority >= 10").orderBy(F.desc("priority"), "relative_path").limit(most)
     always = requests.select("request_id").distinct().join(F.broadcast(strong))  # `most` rows
-    rest = met.unionByName(always.withColumn("worth", F.lit(0))).groupBy("request_id", "relative_path").agg(F.max("worth").alias("worth")).join(own, "relative_path")
+    rest = met.unionByName(always.withColumn("worth", F.lit(0))).groupBy("request_id", "relative_path", "priority").agg(F.max("worth").alias("worth"))
     rest = rest.select("request_id", (-(F.col("worth") + F.col("priority"))).cast("int").alias("nth"), "relative_path", F.lit(3).alias("rank"))
     order = F.min(F.struct("rank", "nth", "relative_path"))
     each = named.unionByName(rest).groupBy("request_id", "relative_path").agg(order.alias("at"))
