@@ -40,27 +40,40 @@ def index_terms(text: Column | str) -> Column:
     return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 
+#: Text, in bytes, whose words one task counts.
+TASK_BYTES = 32 << 20
+
+
 def build_index(docs: DataFrame) -> dict[str, DataFrame]:
     """Postings (snapshot_id, relative_path, term, tf) and lengths of docs (snapshot_id, relative_path, body).
 
-    Words are split once and written; both tables are read from there.
+    Texts are brought together by document, a bounded number of bytes for each task, and words are counted where their text
+    is: no word is shuffled. Lengths are written once.
     """
-    terms = cut(docs.select("snapshot_id", "relative_path", index_terms("body").alias("terms")), "terms")
-    postings = terms.select("snapshot_id", "relative_path", F.explode("terms").alias("term")).groupBy("snapshot_id", "relative_path", "term").agg(F.count("*").alias("tf"))
-    return {"postings": postings, "lengths": terms.select("snapshot_id", "relative_path", F.size("terms").cast("long").alias("length"))}
+    terms = index_terms("body").alias("terms")
+    sized = cut(docs.select("snapshot_id", "relative_path", F.size(terms).cast("long").alias("length"), F.octet_length("body").cast("long").alias("bytes")), "lengths")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    # by path alone: a constant snapshot_id is taken out of what is grouped by, and then rows would be shuffled again
+    own = docs.select("snapshot_id", "relative_path", "body").repartition(tasks, "relative_path").select("snapshot_id", "relative_path", terms)
+    postings = own.select("snapshot_id", "relative_path", F.explode("terms").alias("term")).groupBy("snapshot_id", "relative_path", "term").agg(F.count("*").alias("tf"))
+    return {"postings": postings, "lengths": sized.drop("bytes")}
 
 
-def search(index: dict[str, DataFrame], queries: DataFrame, stats_by_snapshot: bool = False) -> DataFrame:
+def search(index: dict[str, DataFrame], queries: DataFrame, stats_by_snapshot: bool = False, stored: bool = False) -> DataFrame:
     """Hits of queries (request_id, text, scope, limit; limit 0: all): bm25 (higher is better), score and place.
 
     score is what a store makes of a negative rank, always 1; the order is that of bm25, then path. The query's words are
-    joined to the postings, so that only their lists are read; statistics are one row, or one for each snapshot.
+    joined to the postings, so that only their lists are counted and, unless they are stored, written, once; statistics are one row, or one for each
+    snapshot.
     """
     keys = ["snapshot_id"] if stats_by_snapshot else []
     stats = index["lengths"].groupBy(*keys).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = queries.select("request_id", F.coalesce("scope", F.lit("")).alias("scope"), F.col("limit"), query_tokens("text").alias("tokens"))
     words = asked.select("request_id", F.size("tokens").alias("words"), F.explode("tokens").alias("term"))
-    listed = index["postings"].join(words.select("term").distinct(), "term", "left_semi")
+    # written, so that their size is known: where they fit, they go to every task and leave out other words before these are counted
+    few = cut(words.select("term").distinct(), "words")
+    listed = index["postings"].join(few, "term", "left_semi")
+    listed = listed if stored else cut(listed, "listed")
     spread = listed.groupBy("term", *keys).agg(F.count("*").alias("df"))
     found = words.join(listed, "term").join(spread, ["term", *keys]).join(index["lengths"], ["snapshot_id", "relative_path"])
     found = found.join(stats, keys) if keys else found.join(F.broadcast(stats))  # one row

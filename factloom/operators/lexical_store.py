@@ -55,8 +55,8 @@ def _written(root: str, number: int, fresh: DataFrame, kept: DataFrame) -> int:
     spark = fresh.sparkSession
     index = build_index(fresh.where("body is not null"))
     rows = index["postings"].withColumn("bucket", bucket_of("term"))
-    # ranges of (bucket, term, document): a word that most documents have is many tasks' work
-    rows = rows.repartitionByRange("bucket", "term", *KEYS).sortWithinPartitions("bucket", "term", *KEYS)
+    # each task sorts and writes what its documents have, in a file for each bucket; `compact` brings them into ranges
+    rows = rows.sortWithinPartitions("bucket", "term", *KEYS)
     rows.select("term", *KEYS, "tf", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={number}")
     made = fresh.select(*KEYS, "content_hash").join(index["lengths"], KEYS).withColumn("segment", F.lit(number))
     columns = [x.split()[0] for x in _DOCUMENTS.split(", ")]
@@ -131,6 +131,7 @@ def compact(spark: SparkSession, root: str) -> int:
     versions keep theirs."""
     number, old = _next(spark, root), documents(spark, root)
     rows = postings(spark, root).drop("segment").withColumn("bucket", bucket_of("term"))
+    # ranges of (bucket, term, document): a word that most documents have is many tasks' work
     rows = rows.repartitionByRange("bucket", "term", *KEYS).sortWithinPartitions("bucket", "term", *KEYS)
     rows.select("term", *KEYS, "tf", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={number}")
     old.withColumn("segment", F.lit(number)).write.mode("overwrite").parquet(f"{root}/documents/v{number}")
@@ -143,7 +144,7 @@ def search_stored(spark: SparkSession, root: str, queries: DataFrame, version: i
     words = queries.select(F.explode(query_tokens("text")).alias("term"))
     buckets = sorted(r.bucket for r in words.select(bucket_of("term").alias("bucket")).distinct().collect())
     index = {"postings": postings(spark, root, buckets, version), "lengths": documents(spark, root, version)}
-    return search(index, queries, stats_by_snapshot)
+    return search(index, queries, stats_by_snapshot, stored=True)
 
 
 __all__ = ["apply_changes", "compact", "documents", "ensure", "invalidate", "pins", "postings", "search_stored", "sync"]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import decisions
+from factloom.operators import decisions, lexical
 
 
 def _documents(spark, paths):
@@ -34,3 +34,13 @@ def test_terms_in_several_passes(spark):
     for most in (100, 1):
         got = decisions._with_held(docs, terms, "lower", most).orderBy("relative_path").collect()
         assert [(r.relative_path, r.held) for r in got] == [("a", ["one", "two"]), ("b", []), ("c", ["two"])]
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    """One exchange, that of the texts; also where all documents are of one snapshot."""
+    docs = spark.range(20).select(F.lit("s").alias("snapshot_id"), F.format_string("p%d", F.col("id") % 19).alias("relative_path"), F.lit("a b a").alias("body"))
+    index = lexical.build_index(docs)
+    got = index["postings"]
+    assert sorted({(r.relative_path, r.term, r.tf) for r in got.collect() if r.relative_path in ("p0", "p1")}) == [("p0", "a", 4), ("p0", "b", 2), ("p1", "a", 2), ("p1", "b", 1)]
+    plan = index["postings"].select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate ")
