@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import decisions, lexical
+from factloom.operators import align, decisions, lexical
 
 
 def _documents(spark, paths):
@@ -44,3 +44,24 @@ def test_words_are_counted_where_their_text_is(spark):
     assert sorted({(r.relative_path, r.term, r.tf) for r in got.collect() if r.relative_path in ("p0", "p1")}) == [("p0", "a", 4), ("p0", "b", 2), ("p1", "a", 2), ("p1", "b", 1)]
     plan = index["postings"].select("*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate ")
+
+
+def test_first_rows_are_found_by_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), (F.col("id") % 3).alias("b")).repartition(5)
+    for most in (0, 1, 250, 999, 1000, 2000):
+        found = align._first(rows, most, "b", "a")
+        want = sorted((r.b, r.a) for r in rows.collect())[:most]
+        assert sorted((r.b, r.a) for r in found.collect()) == want
+        assert "TakeOrderedAndProject" not in found._jdf.queryExecution().executedPlan().toString() or most < 1000
+
+
+def test_no_later_tier_is_run_once_there_are_pairs_enough(spark, monkeypatch):
+    columns = ("fact_id", "name", "relative_path", "language", "name_key", "behaviour", "id")
+    signals = spark.createDataFrame([(*(f"{c}{k}" if c != "language" else "x" for c in columns), k) for k in range(4)], ", ".join(f"{c} string" for c in columns) + ", line_number long")
+
+    def never(*_):
+        raise AssertionError("similarity is not asked for")
+
+    monkeypatch.setattr(align, "similar", never)
+    got = align.align(signals, signals, signature_aware=True, max_pairs=3).collect()
+    assert sorted((r.ref_id, r.tgt_id, r.score) for r in got) == [(f"fact_id{k}", f"fact_id{k}", 100) for k in range(3)]
