@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import align, decisions, lexical
+from factloom.plans import catalog_sources
+from factloom.sources import store
 
 
 def _documents(spark, paths):
@@ -65,3 +67,15 @@ def test_no_later_tier_is_run_once_there_are_pairs_enough(spark, monkeypatch):
     monkeypatch.setattr(align, "similar", never)
     got = align.align(signals, signals, signature_aware=True, max_pairs=3).collect()
     assert sorted((r.ref_id, r.tgt_id, r.score) for r in got) == [(f"fact_id{k}", f"fact_id{k}", 100) for k in range(3)]
+
+
+def test_a_snapshot_written_twice_is_extracted_once(spark, monkeypatch):
+    plans, write = [], store.write_snapshot
+
+    def noted(facts, root):
+        plans.extend(facts[n]._jdf.queryExecution().optimizedPlan().toString() for n in store.FACTS)
+        write(facts, root)
+
+    monkeypatch.setattr(store, "write_snapshot", noted)
+    assert catalog_sources.a7_a8_round_trip_by_value(spark, "/root/testdata/sf0.001").count() > 0
+    assert plans and not any("MapInArrow" in p for p in plans)
