@@ -303,7 +303,7 @@ UNION SELECT t, 'required verification remains passing: `' || chk || '`' FROM ch
 )
 def f14_invariants(spark, d):
     """What must stay true around every brand and every name."""
-    return graph.blast_radius(brand_requests(spark, d), brand_facts(spark, d))["invariants"]
+    return graph.blast_radius(brand_requests(spark, d), brand_facts(spark, d), related=False)["invariants"]
 
 
 _STEPS = "steps AS (SELECT t, list(summary ORDER BY CASE kind WHEN 'defines' THEN 2 WHEN 'imports' THEN 3 WHEN 'references' THEN 4 WHEN 'calls' THEN 5 WHEN 'builds' THEN 6 ELSE 7 END, src, dst, summary) AS xs FROM related GROUP BY t)"

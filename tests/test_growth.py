@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import align, decisions, lexical
+from factloom.operators import align, decisions, graph, lexical
 from factloom.plans import catalog_sources
 from factloom.sources import store
 
@@ -79,3 +79,19 @@ def test_a_snapshot_written_twice_is_extracted_once(spark, monkeypatch):
     monkeypatch.setattr(store, "write_snapshot", noted)
     assert catalog_sources.a7_a8_round_trip_by_value(spark, "/root/testdata/sf0.001").count() > 0
     assert plans and not any("MapInArrow" in p for p in plans)
+
+
+def test_invariants_need_no_relationships(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("relationships are not asked for")
+
+    monkeypatch.setattr(graph, "relationships", never)
+    assert catalog_sources.f14_invariants(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_edges_are_shuffled_once(spark):
+    columns = ("request_id", "kind", "src", "dst", "summary")
+    edges = spark.range(100).select(*[F.format_string(f"{c}%d", F.col("id") % 7).alias(c) for c in columns], F.array(F.lit("e")).alias("evidence_ids"))
+    found = graph.relationships(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert found.count() == 7
