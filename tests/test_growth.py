@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import align, decisions, graph, lexical
-from factloom.plans import catalog_sources
+from factloom.plans import catalog_pairs, catalog_sources
 from factloom.sources import store
 
 
@@ -69,6 +69,24 @@ def test_no_later_tier_is_run_once_there_are_pairs_enough(spark, monkeypatch):
     assert sorted((r.ref_id, r.tgt_id, r.score) for r in got) == [(f"fact_id{k}", f"fact_id{k}", 100) for k in range(3)]
 
 
+def test_candidates_are_made_from_the_best_scores_down(spark, monkeypatch):
+    """Of left-over functions alone: fewer than all pairs that score enough, and the same pairs are chosen."""
+    r, t = catalog_pairs._signals(spark, "/root/testdata/sf0.001")
+    every = align.similar(r, t, 65)
+    want = {(x.ref_id, x.tgt_id, x.score) for x in align.greedy(every).collect()}
+    rough = {(x.ref_id, x.tgt_id, x.rough) for x in align._near(r, t, 65).collect()}
+    assert rough == {(x.ref_id, x.tgt_id, x.score) for x in every.collect()}
+    made, greedy = [], align.greedy
+
+    def counted(candidates, *block):
+        made.append(candidates.count())
+        return greedy(candidates, *block)
+
+    monkeypatch.setattr(align, "greedy", counted)
+    assert {(x.ref_id, x.tgt_id, x.score) for x in align.matched(r, t, 65, many=500).collect()} == want
+    assert len(made) > 1 and sum(made) < every.count()
+
+
 def test_a_snapshot_written_twice_is_extracted_once(spark, monkeypatch):
     plans, write = [], store.write_snapshot
 
