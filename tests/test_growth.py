@@ -87,6 +87,12 @@ def test_candidates_are_made_from_the_best_scores_down(spark, monkeypatch):
     assert len(made) > 1 and sum(made) < every.count()
 
 
+def test_obligations_are_hashed_once(spark):
+    """What reads obligations, twice here, starts no Python: their hashes are written."""
+    plan = catalog_pairs.h15_pair_model(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "fnv1a" not in plan and "EvalPython" not in plan
+
+
 def test_a_snapshot_written_twice_is_extracted_once(spark, monkeypatch):
     plans, write = [], store.write_snapshot
 
