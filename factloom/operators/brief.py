@@ -148,7 +148,7 @@ def whole_brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[st
 
     Lists are made of bounded rows: statements from the first symbols and hits of a request, zones from its suggested files.
     """
-    parts = _parts(requests, facts, index, readiness)
+    parts = _parts(requests, facts, index, readiness, related=True)
     routed, out, hits, report = parts["routed"], graph.cut(parts["brief"], "briefs"), parts["hits"], parts["report"]
     found = parts["anchors"].select("request_id").distinct()
     targets = routed.select("request_id", F.col("scope_hint").alias("target"))
@@ -180,12 +180,12 @@ def whole_brief(requests: DataFrame, facts: dict[str, DataFrame], index: dict[st
     return out.withColumns({x: F.coalesce(x, none) for x in ("fragile_zones", "relevant_flows", "do_not_break")})
 
 
-def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str) -> dict:
-    """The stages that briefs are made of."""
+def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, DataFrame], readiness: str, related: bool = False) -> dict:
+    """The stages that briefs are made of. A brief asks only whether there are relationships; with related, they are made too."""
     state = F.col("readiness") if "readiness" in requests.columns else F.lit(readiness)
     routed = graph.cut(route(requests.where("scope_hint is not null")), "routed")
     targets = routed.select("request_id", F.col("scope_hint").alias("target"))
-    report = graph.blast_radius(targets, facts)
+    report = graph.blast_radius(targets, facts, related=related)
     seeds, paths, plan = report["seeds"], report["paths"], report["plan"]
     unknown = routed.join(seeds.select("request_id").distinct(), "request_id", "left_anti")
     queries = unknown.select("request_id", F.col("scope_hint").alias("text"), F.lit("").alias("scope"), F.col("max_candidates").alias("limit"))
@@ -202,7 +202,7 @@ def _parts(requests: DataFrame, facts: dict[str, DataFrame], index: dict[str, Da
     listed = lambda df, c, name: df.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", c))).alias("x")).select("request_id", F.col(f"x.{c}").alias(name))
     count = lambda df, name: df.groupBy("request_id").agg(F.count("*").alias(name))
     out = routed.join(listed(suggested, "relative_path", "suggested_files"), "request_id", "left").join(plan, "request_id", "left").join(listed(documents, "relative_path", "decision_docs"), "request_id", "left")
-    for part, name in ((anchors, "anchors"), (report["relationships"], "relationships"), (paths, "changed"), (paths.select("request_id").distinct(), "capsules")):
+    for part, name in ((anchors, "anchors"), (report["related"], "relationships"), (paths, "changed"), (paths.select("request_id").distinct(), "capsules")):
         out = out.join(count(part, name), "request_id", "left")
     none = F.array().cast("array<string>")
     for c in ("suggested_files", "required_checks", "recommended_checks", "coverage_gaps", "decision_docs"):

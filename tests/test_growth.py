@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import align, decisions, graph, lexical
-from factloom.plans import catalog_pairs, catalog_sources
+from factloom.plans import catalog_briefs, catalog_pairs, catalog_sources
 from factloom.sources import store
 
 
@@ -113,6 +113,26 @@ def test_invariants_need_no_relationships(spark, monkeypatch):
     assert catalog_sources.f14_invariants(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_requests_with_relationships_are_known_without_them(spark):
+    d = "/root/testdata/sf0.001"
+    facts = catalog_sources.brand_facts(spark, d) | {"verification_targets": catalog_sources.A.targets(spark).where("label = 'none'")}
+    facts["imports"] = facts["imports"].where("importer_path = 'Brand#1'")
+    facts["symbols"] = facts["symbols"].where("relative_path < 'Brand#2'")
+    asked = catalog_sources.brand_requests(spark, d)
+    report = graph.blast_radius(asked, facts)
+    ids = [{r.request_id for r in report[x].select("request_id").distinct().collect()} for x in ("related", "relationships", "seeds")]
+    assert ids[0] == ids[1] and ids[0] < ids[2]
+
+
+def test_briefs_need_no_relationships(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("relationships are not asked for")
+
+    monkeypatch.setattr(graph, "relationships", never)
+    monkeypatch.setattr(graph, "touching_imports", never)
+    assert catalog_briefs.i11_kept_briefs(spark, "/root/testdata/sf0.001").columns
+
+
 def test_edges_are_shuffled_once(spark):
     columns = ("request_id", "kind", "src", "dst", "summary")
     edges = spark.range(100).select(*[F.format_string(f"{c}%d", F.col("id") % 7).alias(c) for c in columns], F.array(F.lit("e")).alias("evidence_ids"))
